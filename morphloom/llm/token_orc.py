@@ -65,7 +65,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, files
     ranged = docs.select(F.col("doc_id").cast("bigint"), "text").repartitionByRange(files or shuffle_partitions(spark), "doc_id")
     rows = ranged.sortWithinPartitions("doc_id", F.octet_length("text"), F.xxhash64("text")).mapInArrow(_encode(vocabulary, end_id), ROWS)
     (
-        rows.write.option("orc.compress", "ZSTD")
+        rows.write.option("orc.compress", "NONE")
         .option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", 0.01)
         .option("orc.row.index.stride", 1000)
