@@ -84,7 +84,7 @@ def blocks(data: bytes, length: int, block: int, wanted: list[tuple[int, int]] |
             yield signed(common), signed(key(part[s : s + n + length - 1], 1000 + p - s)), base + s, n
 
 
-def _emit(rows: Iterator[tuple], size: int = 200_000) -> Iterator[pa.RecordBatch]:
+def _emit(rows: Iterator[tuple], size: int = 50_000) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     for row in rows:
         held.append(row)
@@ -161,7 +161,8 @@ def _picker(rows: DataFrame, bitmap: bytes) -> Callable[[bool], DataFrame]:
 
 def _resolve(rows: DataFrame, finest: bool) -> tuple[DataFrame, DataFrame | None]:
     """(k, at, n) of windows known to be repeated; and the blocks to be asked again, if any."""
-    often = rows.groupBy("common").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("common")
+    # written first, so that the join below has an exchange of its own, whose hot keys can be split
+    often = materialize(rows.groupBy("common").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("common"), "often")
     members = materialize(rows.join(often, "common"), "members")
     kinds = members.groupBy("common", "covered").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k", "at", "n")).alias("one"))
     kinds = materialize(kinds, "kinds")
