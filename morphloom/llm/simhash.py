@@ -155,4 +155,6 @@ def near_components(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
     named = linked.join(distinct, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
     of = linked.join(named, "root").select("fp", "component_id")
     of = distinct.join(of, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    # written first, so that the last join has an exchange of its own, whose hot keys can be split
+    of = materialize(of, "components")
     return marked.join(of, "fp").select("doc_id", "fp", "component_id")
