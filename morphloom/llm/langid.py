@@ -1,7 +1,8 @@
 """Language identification by hyperdimensional profiles.
 
 Each letter has a random bipolar vector; the vector of a trigram binds (multiplies) its letters'
-vectors, permuted by place: rho(rho(a)) * rho(b) * c. A document's vector bundles (adds) those of
+vectors, permuted by place: rho(rho(a)) * rho(b) * c. Signs are kept as bits, so that binding is
+an exclusive or. A document's vector bundles (adds) those of
 all its trigrams over the whole text; a language's prototype bundles the unit vectors of its
 training documents. The prediction is the prototype with the largest cosine.
 
@@ -48,10 +49,11 @@ class Space:
 
     def __init__(self, dimensions: int = DIMENSIONS, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.letters = rng.choice(np.array([-1, 1], np.int8), (SYMBOLS, dimensions))
+        self.letters = rng.integers(0, 2, (SYMBOLS, dimensions), np.uint8)
         rho = rng.permutation(dimensions)
         once = self.letters[:, rho]
-        self.pairs = (once[:, rho][:, None, :] * once[None, :, :]).reshape(SYMBOLS * SYMBOLS, dimensions)
+        pairs = (once[:, rho][:, None, :] ^ once[None, :, :]).reshape(SYMBOLS * SYMBOLS, dimensions)
+        self.pairs = np.ascontiguousarray(pairs)  # rows are gathered: each has to lie in one piece
         self.table = _symbol_table()
 
     def bundle(self, text: str | None) -> np.ndarray | None:
@@ -64,8 +66,8 @@ class Space:
         s = np.concatenate([[0], s, [0]]).astype(np.int32)
         s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]  # blanks between words count once
         codes, counts = np.unique(s[:-2] << 12 | s[1:-1] << 6 | s[2:], return_counts=True)
-        bound = self.pairs[codes >> 6] * self.letters[codes & 63]
-        out = counts.astype(np.float32) @ bound.astype(np.float32)
+        bound = self.pairs[codes >> 6] ^ self.letters[codes & 63]
+        out = np.float32(counts.sum()) - 2 * (counts.astype(np.float32) @ bound.astype(np.float32))
         norm = float(np.sqrt(out @ out))
         return out / norm if norm else out
 
