@@ -58,6 +58,7 @@ class MTree:
         self.x = x.astype(np.float64)
         norms = (self.x**2).sum(1)
         self.top = float(norms.max())
+        # a query (q, 0) is sqrt(|q|^2 + M^2 - 2 q.x) away from a row: no difference of vectors is needed
         self.y = np.concatenate([self.x, np.sqrt(np.maximum(self.top - norms, 0))[:, None]], 1)
         self.rng = np.random.default_rng(seed)
         self.pages: list[dict] = []
@@ -85,50 +86,65 @@ class MTree:
         self.pages[at] = {"pivots": own, "radius": np.array([r.max() for *_, r in parts]), "parent": self._distances(own, pivot), "children": children}
         return at
 
-    def search(self, q: np.ndarray, k: int, ids: list[np.ndarray], own: int) -> list[tuple[int, int]]:
-        """The k best (score, id), own id left out; ``ids`` lists each row's ids in order."""
-        qq = float(q @ q)
-        y = np.append(q, 0.0)
-        slack = 1e-7 * (1.0 + np.sqrt(qq + self.top))
-        best: list[tuple[int, int]] = []  # heap of (score, -id), worst first
-
-        def reach() -> float:
-            if len(best) < k:
-                return np.inf
-            return float(np.sqrt(max(qq + self.top - 2.0 * best[0][0], 0.0))) + slack
+    def search(self, queries: np.ndarray, k: int, ids: list[np.ndarray], own: np.ndarray) -> list[list[tuple[int, int]]]:
+        """The k best (score, id) of each query, its own id left out; ``ids`` lists each row's ids.
 
-        heap = [(0.0, self.root, float(np.sqrt(((y - self.y[0]) ** 2).sum())))]
+        A block of queries descends together, each with its own bounds: the page with the
+        smallest bound any query has is opened next, for the queries it can still serve.
+        """
+        n = len(queries)
+        qq = (queries**2).sum(1)
+        slack = 1e-7 * (1.0 + np.sqrt(qq + self.top))
+        limit = np.full(n, np.inf)
+        worst = np.full(n, -np.inf)
+        best: list[list[tuple[int, int]]] = [[] for _ in range(n)]  # (-score, id), in order
+        # products of doubles are exact below 2**53; beyond, scores are computed as integers
+        exact = float(np.abs(self.x).max(initial=0)) * float(np.abs(queries).max(initial=0)) * queries.shape[1] < 2**53
+        whole = queries.astype(np.int64)
+        counts = np.array([len(i) for i in ids])
+        flat, first = np.concatenate(ids), np.concatenate([[0], np.cumsum(counts)])
+
+        def distances(who: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            gap = qq[who, None] + self.top - 2.0 * (queries[who] @ self.x[rows].T)
+            return np.sqrt(np.maximum(gap, 0.0))
+
+        start = distances(np.arange(n), np.array([0]))[:, 0]
+        heap = [(0.0, self.root, np.arange(n), np.zeros(n), start)]
         while heap:
-            bound, at, to_pivot = heapq.heappop(heap)
-            limit = reach()
-            if bound > limit:
+            bound, at, who, bounds, to_pivot = heapq.heappop(heap)
+            if bound > limit.max():
                 break
+            on = bounds <= limit[who]
+            who, to_pivot = who[on], to_pivot[on]
+            if not len(who):
+                continue
             page = self.pages[at]
+            reach = limit[who, None]
+            apart = np.abs(page["parent"][None] - to_pivot[:, None])
             if "rows" in page:
-                near = page["rows"][np.abs(page["parent"] - to_pivot) <= limit]
-                scores = self.x[near] @ q
-                for s, row in sorted(zip(scores.tolist(), near.tolist()), reverse=True):
-                    if len(best) == k and s < best[0][0]:
-                        break
-                    for i in ids[row].tolist():
-                        if i == own:
-                            continue
-                        entry = (int(s), -i)
-                        if len(best) < k:
-                            heapq.heappush(best, entry)
-                        elif entry > best[0]:
-                            heapq.heapreplace(best, entry)
-                        else:
-                            break
-                continue
-            near = np.flatnonzero(np.abs(page["parent"] - to_pivot) - page["radius"] <= limit)
-            if not len(near):
+                rows = page["rows"][(apart <= reach).any(0)]
+                scores = queries[who] @ self.x[rows].T if exact else whole[who] @ self.x[rows].astype(np.int64).T
+                if not len(rows):
+                    continue
+                top = scores.max(1)
+                for i in np.flatnonzero(top >= worst[who]).tolist():
+                    q, found = int(who[i]), best[who[i]]
+                    for r in np.flatnonzero(scores[i] >= worst[q]).tolist():
+                        score = -int(scores[i, r])
+                        found += [(score, v) for v in flat[first[rows[r]] : first[rows[r] + 1]].tolist() if v != own[q]]
+                    found.sort()
+                    del found[k:]
+                    if len(found) == k:
+                        worst[q] = -found[-1][0] if exact else -found[-1][0] - 1e-12 * abs(found[-1][0])
+                        limit[q] = np.sqrt(max(qq[q] + self.top - 2.0 * worst[q], 0.0)) + slack[q]
                 continue
-            d = np.sqrt(((self.y[page["pivots"][near]] - y) ** 2).sum(1))
-            for lower, dist, c in zip(np.maximum(d - page["radius"][near], 0.0).tolist(), d.tolist(), near.tolist()):
-                if lower <= limit:
-                    heapq.heappush(heap, (lower, page["children"][c], dist))
-        return [(s, -i) for s, i in sorted(best, reverse=True)]
+            near = np.flatnonzero((apart - page["radius"][None] <= reach).any(0))
+            d = distances(who, page["pivots"][near])
+            lower = np.maximum(d - page["radius"][near][None], 0.0)
+            for j, c in enumerate(near.tolist()):
+                if len(to := np.flatnonzero(lower[:, j] <= limit[who])):
+                    heapq.heappush(heap, (float(lower[to, j].min()), page["children"][c], who[to], lower[to, j], d[to, j]))
+        return [[(-s, v) for s, v in found] for found in best]
 
 
 def _index(rows: DataFrame, shard_rows: int, k: int) -> DataFrame:
@@ -194,7 +210,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
                     x, cuts, flat = pickle.loads(payload.as_py())
                     tree, ids = MTree(x), np.split(flat, cuts)
                     continue
-                rows = [(int(i), v, s) for i, q in zip(*pickle.loads(payload.as_py())) for s, v in tree.search(q.astype(np.float64), k, ids, int(i))]
+                own, x = pickle.loads(payload.as_py())
+                found = tree.search(x.astype(np.float64), k, ids, own)
+                rows = [(int(i), v, s) for i, best in zip(own, found) for s, v in best]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ((), (), ()))], names=["query_id", "vec_id", "score"])
 
     found = work.repartition("shard", "size").sortWithinPartitions("shard", "size", "kind").mapInArrow(run, FOUND)
