@@ -99,9 +99,16 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], names=_NAMES)
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows a few at a time, so that few texts are Python objects at once."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def _first_blocks(texts: DataFrame, length: int, block: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for b in batches:
+        for b in small(batches):
             for k, text in zip(b.column(0).to_pylist(), b.column(1)):
                 data = text.as_py() or b""
                 if len(data) >= length:
@@ -113,7 +120,7 @@ def _first_blocks(texts: DataFrame, length: int, block: int) -> DataFrame:
 
 def _asked_blocks(texts: DataFrame, requests: DataFrame, length: int, block: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for b in batches:
+        for b in small(batches):
             for k, text, spans in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 for common, covered, at, n in blocks(text.as_py(), length, block, [(s["at"], s["n"]) for s in spans]):
                     yield common, covered, k, at, n
@@ -134,29 +141,27 @@ def _key_filter(keys: DataFrame) -> bytes:
     return words.tobytes()
 
 
-def pick(rows: DataFrame, keys: DataFrame, keep: bool = True) -> DataFrame:
-    """Rows whose ``k`` may be among ``keys`` (no key is missed), or with ``keep=False`` the others.
+def _may_hold(words: bytes, keys: pa.Array) -> np.ndarray:
+    bit = np.mod(keys.to_numpy(), FILTER_BITS)
+    return (np.frombuffer(words, np.int64)[bit >> 6] >> (bit & 63) & 1).astype(bool)
 
-    Without it, texts that no key names would be shuffled to the join only to be dropped there.
-    """
-    return _picker(rows, _key_filter(keys))(keep)
 
-
-def _picker(rows: DataFrame, bitmap: bytes) -> Callable[[bool], DataFrame]:
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+def _picked(rows: DataFrame, words) -> DataFrame:
     at = rows.columns.index("k")
 
-    def half(keep: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = np.frombuffer(shared.value, np.int64)
-            for b in batches:
-                bit = np.mod(b.column(at).to_numpy(), FILTER_BITS)
-                mask = (words[bit >> 6] >> (bit & 63) & 1).astype(bool)
-                yield b.filter(pa.array(mask == keep))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_may_hold(words.value, b.column(at))))
 
-        return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(run, rows.schema)
 
-    return half
+
+def pick(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose ``k`` may be among ``keys``; no key is missed.
+
+    Without it, texts that no key names would be shuffled to a join only to be dropped there.
+    """
+    return _picked(rows, rows.sparkSession.sparkContext.broadcast(_key_filter(keys)))
 
 
 def _resolve(rows: DataFrame, finest: bool) -> tuple[DataFrame, DataFrame | None]:
@@ -188,13 +193,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("k", F.xxhash64("doc_id", "text"))
 
 
-def _marked(docs: DataFrame, length: int) -> tuple[Callable[[bool], DataFrame], DataFrame]:
-    keyed = _keyed(docs)
+def _marked(keyed: DataFrame, length: int) -> DataFrame:
+    """(k, spans): the sorted ranges of repeated windows of each text that has any."""
     texts = keyed.select("k", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
-    windows = repeated_windows(texts, length)
-    merged = windows.groupBy("k").agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("spans"))
-    merged = materialize(merged, "spans")
-    return _picker(keyed, _key_filter(merged)), merged
+    merged = repeated_windows(texts, length).groupBy("k").agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("spans"))
+    return materialize(merged, "spans")
 
 
 def removed_runs(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
@@ -216,20 +219,28 @@ def kept_bytes(data: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 def _apply(docs: DataFrame, length: int, schema: T.StructType, row: Callable) -> DataFrame:
     """``row(columns of a batch by name, texts, runs)`` over all documents; only those with repeats are shuffled."""
-    half, spans = _marked(docs, length)
-    kind = spans.schema["spans"].dataType
-    whole = half(False).withColumn("spans", F.lit(None).cast(kind))
-    cut = half(True).join(spans, "k", "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols = dict(zip(b.schema.names, b.columns))
-            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in cols["text"]]
-            runs = [removed_runs(s, length) for s in cols["spans"].to_pylist()]
-            yield row(cols, texts, runs)
-
-    names = [*docs.columns, "spans"]
-    return whole.select(*names).mapInArrow(run, schema).unionByName(cut.select(*names).mapInArrow(run, schema))
+    keyed = _keyed(docs)
+    spans = _marked(keyed, length)
+    words = keyed.sparkSession.sparkContext.broadcast(_key_filter(spans))
+
+    def made(b: pa.RecordBatch) -> pa.RecordBatch:
+        cols = dict(zip(b.schema.names, b.columns))
+        texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in cols["text"]]
+        found = cols["spans"].to_pylist() if "spans" in cols else [None] * len(texts)
+        return row(cols, texts, [removed_runs(s, length) for s in found])
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            rest = b.filter(pa.array(~_may_hold(words.value, b.column(b.num_columns - 1))))
+            if rest.num_rows:
+                yield made(rest)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from map(made, small(batches))
+
+    names = docs.columns
+    whole = keyed.select(*names, "k").mapInArrow(untouched, schema)
+    return whole.unionByName(_picked(keyed, words).join(spans, "k", "left").select(*names, "spans").mapInArrow(cut, schema))
 
 
 def removal_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
