@@ -19,7 +19,7 @@ def vocabulary() -> str:
 
 def op1_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    out = langid.identify(docs, ~langid.held_out())
+    out = langid.identify(docs, ~langid.held_out(), keep=["doc_id"])
     return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
