@@ -223,9 +223,11 @@ def fold(node: Any, filters: Mapping[str, Callable[[str], str]]) -> Any:
     """The tree with constant expressions and branches evaluated and literals joined."""
     if isinstance(node, tuple):
         out: list[Any] = []
-        for x in (fold(n, filters) for n in node):
+        todo = [fold(n, filters) for n in node][::-1]
+        while todo:
+            x = todo.pop()
             if isinstance(x, tuple):
-                out.extend(x)
+                todo.extend(x[::-1])
             elif isinstance(x, Out) and isinstance(x.value, Const) and out and isinstance(out[-1], Out) and isinstance(out[-1].value, Const):
                 out[-1] = Out(Const(_text(out[-1].value.value) + _text(x.value.value)))
             else:
