@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morphloom.llm import decontaminate, langid, packing, repeats, simhash
+from morphloom.llm import decontaminate, langid, packing, repeats, similar, simhash
 from morphloom.llm.queries import vocabulary
 from morphloom.storage import materialize, table
 
@@ -23,12 +23,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays, in one copy.
 
-    Documents without an id cannot be named by a group and stay.
+    Groups are those of the fingerprint links, and among what these leave, those of documents
+    whose five-word shingle sets are similar by 0.8 or more. Documents without an id cannot be
+    named by a group and stay.
     """
     groups = simhash.near_components(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    firsts = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return firsts.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    firsts = materialize(groups.where("doc_id = component_id").select("doc_id").distinct(), "firsts")
+    copies = similar.similar_groups(docs, among=firsts).where("doc_id <> group_id").select("doc_id")
+    kept = firsts.join(copies, "doc_id", "left_anti")
+    stay = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return stay.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
