@@ -335,4 +335,4 @@ def internal_scores(df: DataFrame, label: str, columns: Sequence[str]) -> dict[s
     np.fill_diagonal(gap, np.inf)
     overall = (m * n[:, None]).sum(0) / n.sum()
     between, within = float((n * ((m - overall) ** 2).sum(1)).sum()), float(rows["w"].sum())
-    return {"davies_bouldin": float(((s[:, None] + s[None]) / gap).max(1).mean()), "calinski_harabasz": between / within * (n.sum() - k) / (k - 1)}
+    return {"davies_bouldin": float(((s[:, None] + s[None]) / gap).max(1).mean()), "calinski_harabasz": float(between / within * (n.sum() - k) / (k - 1))}
