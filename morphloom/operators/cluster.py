@@ -135,7 +135,6 @@ def leaf_clusters(linkage: np.ndarray, n: int, min_size: int, excess_of_mass: bo
     children = {n + i: (int(a), int(b)) for i, (a, b, *_) in enumerate(linkage)}
     size = lambda v: 1 if v < n else int(linkage[v - n, 3])
     lam = lambda v: 1.0 / max(linkage[v - n, 2], 1e-12)
-    members: dict[int, list[int]] = {}
 
     def under(v: int) -> list[int]:
         out, todo = [], [v]
@@ -168,7 +167,6 @@ def leaf_clusters(linkage: np.ndarray, n: int, min_size: int, excess_of_mass: bo
                 break
             stability[cluster] += gain * size(small)
             v = large
-        members[cluster] = [cluster]
     chosen = [c for c in stability if c not in parts]
     if excess_of_mass:
         best: dict[int, tuple[float, list[int]]] = {}
@@ -179,11 +177,7 @@ def leaf_clusters(linkage: np.ndarray, n: int, min_size: int, excess_of_mass: bo
         chosen = best[root][1]
     labels = np.full(n, -1)
     for k, c in enumerate(sorted(chosen, key=lambda c: min(under(c)))):
-        kept, v = [], c
-        while v >= n:  # what falls out of a leaf on the way down still belongs to it
-            kept = under(v)
-            break
-        labels[kept or [c]] = k
+        labels[under(c)] = k  # what falls out of a chosen cluster on the way down belongs to it
     return labels
 
 
@@ -258,8 +252,6 @@ def newick(linkage: np.ndarray, names: Sequence[str], cutoff: float = 0.0) -> st
 
 def leaves_under(tree: DataFrame, spark) -> DataFrame:
     """(node, side, leaf) of every split: the observations under its left and right branch."""
-    from morphloom.storage import fresh_path  # noqa: F401  (the tree is small: one row a merge)
-
     return spark.sql(
         """WITH RECURSIVE below (node, side, at) AS (
             SELECT node, 'left', left FROM {tree} UNION ALL SELECT node, 'right', right FROM {tree}),
