@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from morphloom.operators import aggregates as A
 from morphloom.operators import relational as R
-from morphloom.plans import pack_graph, pack_relational, pack_spatial
+from morphloom.plans import pack_context, pack_graph, pack_relational, pack_spatial
 from morphloom.storage import table as T
 
-PACKS = (pack_relational, pack_graph, pack_spatial)
+PACKS = (pack_relational, pack_graph, pack_spatial, pack_context)
 
 
 def class_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
