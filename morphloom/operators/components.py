@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from morphloom.storage import materialize
 
 
+EDGES_PER_FILE = 500_000
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Hang neighbours on the smallest member of each node's neighbourhood.
 
@@ -40,7 +43,8 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
         if seen == mark or seen[0] == 0:
             break
         mark = seen
-        now = materialize(_star(_star(now, large=True), large=False), "edges")
+        # a star round at most doubles the edges: few edges need few files
+        now = materialize(_star(_star(now, large=True), large=False).coalesce(1 + 2 * seen[0] // EDGES_PER_FILE), "edges")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -1,10 +1,11 @@
-"""Shared folder of the session, and tables written to it to cut lineage."""
+"""Shared folder of the session, tables written to it to cut lineage, results held on disk."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
@@ -37,6 +38,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Held:
+    """Intermediate results that a few steps read: kept on the executors' disks, never in memory.
+
+    Lineage stays, so what a lost executor held is made again. ``release`` drops all of them,
+    once a result that needs them no longer has been written.
+    """
+
+    def __init__(self) -> None:
+        self._frames: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self._frames.append(df.persist(StorageLevel.DISK_ONLY))
+        return self._frames[-1]
+
+    def release(self) -> None:
+        for df in self._frames:
+            df.unpersist()
+        self._frames.clear()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
