@@ -27,11 +27,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from morphloom.storage import materialize
+from morphloom.storage import Held, materialize
 
 LENGTH = 200
 GRAM = 12
@@ -118,14 +118,14 @@ def _first_blocks(texts: DataFrame, length: int, block: int) -> DataFrame:
     return texts.mapInArrow(lambda batches: _emit(rows(batches)), BLOCK_ROWS)
 
 
-def _asked_blocks(texts: DataFrame, requests: DataFrame, length: int, block: int) -> DataFrame:
+def _asked_blocks(texts: DataFrame, requests: DataFrame, length: int, block: int, hold: Held) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in small(batches):
             for k, text, spans in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 for common, covered, at, n in blocks(text.as_py(), length, block, [(s["at"], s["n"]) for s in spans]):
                     yield common, covered, k, at, n
 
-    asked = materialize(requests.groupBy("k").agg(F.collect_list(F.struct("at", "n")).alias("spans")), "asked")
+    asked = hold(requests.groupBy("k").agg(F.collect_list(F.struct("at", "n")).alias("spans")))
     # repeated rows have equal k: their windows must be counted for each of them
     return pick(texts, asked).join(asked, "k").select("k", "data", "spans").mapInArrow(lambda batches: _emit(rows(batches)), BLOCK_ROWS)
 
@@ -164,27 +164,33 @@ def pick(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return _picked(rows, rows.sparkSession.sparkContext.broadcast(_key_filter(keys)))
 
 
-def _resolve(rows: DataFrame, finest: bool) -> tuple[DataFrame, DataFrame | None]:
+def fresh_key(key: str) -> Column:
+    """The same key as a computed column: its rows count as dealt by nothing, so that a join deals
+    both of its sides anew and adaptive execution can split hot keys."""
+    return F.col(key).bitwiseXOR(F.lit(0).cast("bigint")).alias(key)
+
+
+def _resolve(rows: DataFrame, finest: bool, hold: Held) -> tuple[DataFrame, DataFrame | None]:
     """(k, at, n) of windows known to be repeated; and the blocks to be asked again, if any."""
-    # written first, so that the join below has an exchange of its own, whose hot keys can be split
-    often = materialize(rows.groupBy("common").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("common"), "often")
-    members = materialize(rows.join(often, "common"), "members")
+    often = rows.groupBy("common").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(fresh_key("common"))
+    members = hold(rows.join(often, "common"))
     kinds = members.groupBy("common", "covered").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k", "at", "n")).alias("one"))
-    kinds = materialize(kinds, "kinds")
-    spans = members.join(kinds.where("c > 1").select("common", "covered"), ["common", "covered"]).select("k", "at", "n")
+    kinds = hold(kinds)
+    twice = kinds.where("c > 1").select(fresh_key("common"), "covered")
+    spans = members.join(twice, ["common", "covered"]).select("k", "at", "n")
     if finest:
         return spans, None
     mixed = kinds.groupBy("common").agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("kinds")).where("least = 1 AND kinds > 1")
-    return spans, kinds.join(mixed.select("common"), "common").select("one.k", "one.at", "one.n")
+    return spans, kinds.join(mixed.select(fresh_key("common")), "common").select("one.k", "one.at", "one.n")
 
 
-def repeated_windows(texts: DataFrame, length: int = LENGTH, sizes: tuple[int, ...] = BLOCKS) -> DataFrame:
+def repeated_windows(texts: DataFrame, hold: Held, length: int = LENGTH, sizes: tuple[int, ...] = BLOCKS) -> DataFrame:
     """(k, at, n): windows of ``texts`` (k, data) whose bytes occur elsewhere too, as ranges of starts."""
-    rows = materialize(_first_blocks(texts, length, sizes[0]), "blocks")
-    out, requests = _resolve(rows, sizes[0] == 1)
+    rows = hold(_first_blocks(texts, length, sizes[0]))
+    out, requests = _resolve(rows, sizes[0] == 1, hold)
     for block in sizes[1:]:
-        rows = materialize(_asked_blocks(texts, requests, length, block), "blocks")
-        spans, requests = _resolve(rows, block == 1)
+        rows = hold(_asked_blocks(texts, requests, length, block, hold))
+        spans, requests = _resolve(rows, block == 1, hold)
         out = out.unionByName(spans)
     return out
 
@@ -196,8 +202,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _marked(keyed: DataFrame, length: int) -> DataFrame:
     """(k, spans): the sorted ranges of repeated windows of each text that has any."""
     texts = keyed.select("k", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
-    merged = repeated_windows(texts, length).groupBy("k").agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("spans"))
-    return materialize(merged, "spans")
+    hold = Held()
+    try:
+        merged = repeated_windows(texts, hold, length).groupBy("k").agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("spans"))
+        return materialize(merged, "spans")
+    finally:
+        hold.release()
 
 
 def removed_runs(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
