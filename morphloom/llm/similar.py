@@ -6,7 +6,7 @@ meet in shards keyed by minimum hashes of their shingle sets (a pair of similari
 all six with probability 0.2 ** 6) and by length class (similar sets have similar sizes). In a
 shard, a BK-tree over fingerprints follows edges within ``RADIUS``; what it finds is weighed by
 a 128-byte sketch, and a maximum spanning forest of the likely pairs leaves the shard, never all
-pairs. Shards beyond a page are split into pairs of pages. The links of the forest are then
+pairs. Shards beyond a page are cut by further minimum hashes. The links of the forest are then
 checked with the whole shingle sets.
 
 Edge cases: null or empty texts and texts of blanks share the empty set and are equal; a text of
@@ -24,10 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from morphloom.llm.repeats import pick
+from morphloom.llm.repeats import fresh_key, pick
 from morphloom.llm.simhash import SEED, BkTree
 from morphloom.operators.components import connected_components
-from morphloom.storage import materialize
+from morphloom.storage import Held, materialize
 
 WIDTH, THRESHOLD = 5, 0.8
 KEYS, SKETCH, RADIUS, PAGE = 6, 128, 16, 512
@@ -109,19 +109,37 @@ def _forest(ids: np.ndarray, n: np.ndarray, fp: np.ndarray, sketch: np.ndarray,
     return out
 
 
-def _proposed(nodes: DataFrame, threshold: float, page: int) -> DataFrame:
-    """(a, b): links between documents of different shingle sets that are likely similar."""
+def _units(nodes: DataFrame, threshold: float, page: int) -> DataFrame:
+    """(unit, doc_id, n, fp, sketch): rows that meet; no unit has many more than ``page`` rows.
+
+    A shard too large is cut by the next minimum hash, then by the one after that (similar sets
+    agree on each with their similarity, and meet through other keys if not here). What still
+    agrees in all of them is cut evenly, and its least document visits every part, so that the
+    parts of one group of copies stay connected. Rows are never paired with each other here.
+    """
     size_class = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(1.0 / threshold)))
     # sets of similar size are in one class or in neighbouring ones: each also visits the next
     classed = nodes.withColumn("size", size_class.cast("int")).select("*", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("class"))
-    keyed = classed.select("doc_id", "n", "fp", "sketch", "class", F.posexplode("keys").alias("m", "key"))
-    routed = keyed.select("doc_id", "n", "fp", "sketch", F.xxhash64("m", "key", "class").alias("shard"))
-    sizes = routed.groupBy("shard").agg(F.count(F.lit(1)).alias("c")).where("c > 1").withColumn("pages", F.ceil(F.col("c") / F.lit(page)).cast("int"))
-    sizes = materialize(sizes, "shards")
-    own = F.pmod(F.xxhash64("fp", "doc_id"), F.col("pages").cast("bigint")).cast("int")
-    units = F.transform(F.sequence(F.lit(0), F.col("pages") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
-    work = routed.join(sizes, "shard").withColumn("own", own).select("doc_id", "n", "fp", "sketch", "shard", F.explode(units).alias("u"))
-    work = work.select("doc_id", "n", "fp", "sketch", F.xxhash64("shard", "u.i", "u.j").alias("unit"))
+    payload = ["doc_id", "n", "fp", "sketch"]
+    rest = classed.select(*payload, "class", "keys", F.posexplode("keys").alias("m", "key")).drop("key")
+    out = None
+    for depth in range(1, 4):
+        agreed = [F.element_at("keys", (F.pmod(F.col("m") + i, F.lit(KEYS)) + 1).cast("int")) for i in range(depth)]
+        rest = rest.withColumn("unit", F.xxhash64("m", "class", *agreed))
+        sizes = rest.groupBy("unit").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("first")).where("c > 1")
+        joined = rest.join(sizes.select(fresh_key("unit"), "c", "first"), "unit")
+        fits = joined.where(F.col("c") <= page).select("unit", *payload)
+        out = fits if out is None else out.unionByName(fits)
+        rest = joined.where(F.col("c") > page).drop(*(["unit", "c", "first"] if depth < 3 else []))
+    parts = F.ceil(F.col("c") / F.lit(page)).cast("int")
+    own = F.array(F.pmod(F.xxhash64("doc_id"), parts.cast("bigint")).cast("int"))
+    visited = F.when(F.col("doc_id") == F.col("first"), F.sequence(F.lit(0), parts - 1)).otherwise(own)
+    cut = rest.select("unit", *payload, F.explode(visited).alias("part"))
+    return out.unionByName(cut.select(F.xxhash64("unit", "part").alias("unit"), *payload))
+
+
+def _proposed(nodes: DataFrame, threshold: float, page: int) -> DataFrame:
+    """(a, b): links between documents of different shingle sets that are likely similar."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         ids = t.column("doc_id").to_numpy()
@@ -129,12 +147,12 @@ def _proposed(nodes: DataFrame, threshold: float, page: int) -> DataFrame:
         links = _forest(ids, t.column("n").to_numpy(), t.column("fp").to_numpy().view(np.uint64), sketch, threshold)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    return work.groupBy("unit").applyInArrow(run, "a bigint, b bigint").distinct()
+    return _units(nodes, threshold, page).groupBy("unit").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _verified(links: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+def _verified(links: DataFrame, docs: DataFrame, threshold: float, hold: Held) -> DataFrame:
     """Links whose whole shingle sets have the similarity; only linked documents are read into sets."""
-    ends = materialize(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().withColumn("k", F.xxhash64("doc_id")), "ends")
+    ends = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().withColumn("k", F.xxhash64("doc_id"))
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), "text", F.xxhash64(F.col("doc_id").cast("bigint")).alias("k"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +160,7 @@ def _verified(links: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
             made = [(shingles(t.as_py()) >> np.uint64(32)).astype(np.uint32).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["doc_id", "hashes"])
 
-    known = materialize(pick(texts, ends).mapInArrow(sets, "doc_id bigint, hashes binary").dropDuplicates(["doc_id"]), "sets")
+    known = hold(pick(texts, ends).mapInArrow(sets, "doc_id bigint, hashes binary").dropDuplicates(["doc_id"]))
     both = links.join(known.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a").join(known.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb")), "b")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,10 +180,15 @@ def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, among: DataFra
 
     ``among`` (doc_id) restricts which documents take part.
     """
-    made = materialize(_sketches(docs), "sketches")
-    part = made if among is None else made.join(among, "doc_id", "left_semi")
-    firsts = materialize(part.groupBy("same").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "firsts")
-    nodes = part.join(firsts.select(F.col("first").alias("doc_id"), "same"), ["doc_id", "same"], "left_semi").dropDuplicates(["doc_id"])
-    links = materialize(_verified(materialize(_proposed(nodes, threshold, page), "proposed"), docs, threshold), "links")
-    copies = part.join(firsts.where("copies > 1").select("same", "first"), "same").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    return connected_components(links.unionByName(copies)).select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"))
+    hold = Held()
+    try:
+        made = _sketches(docs)
+        part = hold(made if among is None else made.join(among, "doc_id", "left_semi"))
+        firsts = hold(part.groupBy("same").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")))
+        nodes = hold(part.join(firsts.select(F.col("first").alias("doc_id"), "same"), ["doc_id", "same"], "left_semi").dropDuplicates(["doc_id"]))
+        links = _verified(hold(_proposed(nodes, threshold, page)), docs, threshold, hold)
+        copies = part.join(firsts.where("copies > 1").select("same", "first"), "same").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+        links = materialize(links.unionByName(copies), "links")
+    finally:
+        hold.release()
+    return connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"))

@@ -149,7 +149,8 @@ def test_segments_do_not_change_repeats(monkeypatch):
     assert zlib.crc32(repeats.kept_bytes(data, [(0, 10), (20, 3000)])) == zlib.crc32(data[10:20])
 
 
-def test_similar_groups_against_brute_force(spark):
+@pytest.mark.parametrize("page", [512, 40])
+def test_similar_groups_against_brute_force(spark, page):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     docs = []
@@ -162,7 +163,7 @@ def test_similar_groups_against_brute_force(spark):
             docs.append((len(docs), " ".join(copy)))
     docs += [(900, None), (901, ""), (902, "one"), (903, "one"), (None, docs[0][1]), (904, docs[0][1].upper())]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    got = {r.doc_id: r.group_id for r in similar.similar_groups(df, page=8).collect()}
+    got = {r.doc_id: r.group_id for r in similar.similar_groups(df, page=page).collect()}
     own = [(i, set(similar.shingles(t).tolist())) for i, t in docs if i is not None]
     root = {i: i for i, _ in own}
 
