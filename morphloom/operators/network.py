@@ -38,7 +38,8 @@ def ego_measures(edges: DataFrame, k: int = 5) -> DataFrame:
     nodes = kinds.agg(share(1).alias("dead_ends"), share(3).alias("three_way"), share(4).alias("four_way"), F.count(F.lit(1)).alias("nodes"), F.sum(F.col("degree") - 1).alias("weighted"))
     dead = deg.where("degree = 1").select(F.col("node").alias("dead"))
     e = edges.select(F.col("node_start").alias("a"), F.col("node_end").alias("b"), "length")
-    e = e.join(dead, (F.col("a") == F.col("dead")) | (F.col("b") == F.col("dead")), "left_semi").withColumn("dead", F.lit(True)).unionByName(e.join(dead, (F.col("a") == F.col("dead")) | (F.col("b") == F.col("dead")), "left_anti").withColumn("dead", F.lit(False)))
+    e = e.join(dead.select(F.col("dead").alias("a"), F.lit(True).alias("_a")), "a", "left").join(dead.select(F.col("dead").alias("b"), F.lit(True).alias("_b")), "b", "left")
+    e = e.select("a", "b", "length", F.coalesce("_a", "_b", F.lit(False)).alias("dead"))
     inner = near.join(e, near["neighbor"] == F.col("a")).select("focal", "a", "b", "length", "dead").join(near.select("focal", F.col("neighbor").alias("b")), ["focal", "b"])
     inner = inner.groupBy("focal").agg(F.sum("length").alias("length"), F.sum(F.when(F.col("dead"), F.col("length")).otherwise(0.0)).alias("dead_end_length"), F.count(F.lit(1)).alias("edges"))
     out = nodes.join(inner, "focal", "left")

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from morphloom.functions import geometry as G
@@ -88,7 +89,8 @@ def nearest(left: DataFrame, right: DataFrame, key: str, other: str, size: float
     pending, out, radius = left.select(key, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull()), None, float(size)
     target = right.select(F.col(other), x, y)
     if target.limit(1).count() == 0:
-        return left.select(key).limit(0).crossJoin(right.select(other).limit(0)).withColumn("distance", F.lit(0.0))
+        empty = T.StructType([left.schema[key], right.schema[other], T.StructField("distance", T.DoubleType())])
+        return left.sparkSession.createDataFrame([], empty)
     for _ in range(rounds):
         reach = radius if max_distance is None else min(radius, max_distance)
         found = within_distance(pending, target, reach, x, y).groupBy(key).agg(F.min(F.struct("distance", F.col(f"r_{other}").alias(other))).alias("_m"))
