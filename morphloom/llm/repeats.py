@@ -118,14 +118,13 @@ def _first_blocks(texts: DataFrame, length: int, block: int) -> DataFrame:
     return texts.mapInArrow(lambda batches: _emit(rows(batches)), BLOCK_ROWS)
 
 
-def _asked_blocks(texts: DataFrame, requests: DataFrame, length: int, block: int, hold: Held) -> DataFrame:
+def _asked_blocks(texts: DataFrame, asked: DataFrame, length: int, block: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in small(batches):
             for k, text, spans in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 for common, covered, at, n in blocks(text.as_py(), length, block, [(s["at"], s["n"]) for s in spans]):
                     yield common, covered, k, at, n
 
-    asked = hold(requests.groupBy("k").agg(F.collect_list(F.struct("at", "n")).alias("spans")))
     # repeated rows have equal k: their windows must be counted for each of them
     return pick(texts, asked).join(asked, "k").select("k", "data", "spans").mapInArrow(lambda batches: _emit(rows(batches)), BLOCK_ROWS)
 
@@ -146,8 +145,8 @@ def _may_hold(words: bytes, keys: pa.Array) -> np.ndarray:
     return (np.frombuffer(words, np.int64)[bit >> 6] >> (bit & 63) & 1).astype(bool)
 
 
-def _picked(rows: DataFrame, words) -> DataFrame:
-    at = rows.columns.index("k")
+def _picked(rows: DataFrame, words, key: str = "k") -> DataFrame:
+    at = rows.columns.index(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,44 +169,48 @@ def fresh_key(key: str) -> Column:
     return F.col(key).bitwiseXOR(F.lit(0).cast("bigint")).alias(key)
 
 
-def _resolve(rows: DataFrame, finest: bool, hold: Held) -> tuple[DataFrame, DataFrame | None]:
-    """(k, at, n) of windows known to be repeated; and the blocks to be asked again, if any."""
+def _resolve(rows: DataFrame, finest: bool) -> tuple[DataFrame, DataFrame | None]:
+    """(k, at, n) of windows known to be repeated; and by text the blocks to be asked again, if any.
+
+    Both are written, so that the next, finer round starts from tables; what leads to them is
+    held on disk only as long.
+    """
+    hold = Held()
+    rows = hold(rows)
     often = rows.groupBy("common").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(fresh_key("common"))
     members = hold(rows.join(often, "common"))
     kinds = members.groupBy("common", "covered").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k", "at", "n")).alias("one"))
     kinds = hold(kinds)
-    twice = kinds.where("c > 1").select(fresh_key("common"), "covered")
-    spans = members.join(twice, ["common", "covered"]).select("k", "at", "n")
-    if finest:
-        return spans, None
-    mixed = kinds.groupBy("common").agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("kinds")).where("least = 1 AND kinds > 1")
-    return spans, kinds.join(mixed.select(fresh_key("common")), "common").select("one.k", "one.at", "one.n")
+    try:
+        twice = kinds.where("c > 1").select(fresh_key("common"), "covered")
+        spans = materialize(members.join(twice, ["common", "covered"]).select("k", "at", "n"), "spans")
+        if finest:
+            return spans, None
+        mixed = kinds.groupBy("common").agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("kinds")).where("least = 1 AND kinds > 1")
+        again = kinds.join(mixed.select(fresh_key("common")), "common").select("one.k", "one.at", "one.n")
+        return spans, materialize(again.groupBy("k").agg(F.collect_list(F.struct("at", "n")).alias("spans")), "asked")
+    finally:
+        hold.release()
 
 
-def repeated_windows(texts: DataFrame, hold: Held, length: int = LENGTH, sizes: tuple[int, ...] = BLOCKS) -> DataFrame:
+def repeated_windows(texts: DataFrame, length: int = LENGTH, sizes: tuple[int, ...] = BLOCKS) -> DataFrame:
     """(k, at, n): windows of ``texts`` (k, data) whose bytes occur elsewhere too, as ranges of starts."""
-    rows = hold(_first_blocks(texts, length, sizes[0]))
-    out, requests = _resolve(rows, sizes[0] == 1, hold)
+    out, asked = _resolve(_first_blocks(texts, length, sizes[0]), sizes[0] == 1)
     for block in sizes[1:]:
-        rows = hold(_asked_blocks(texts, requests, length, block, hold))
-        spans, requests = _resolve(rows, block == 1, hold)
+        spans, asked = _resolve(_asked_blocks(texts, asked, length, block), block == 1)
         out = out.unionByName(spans)
     return out
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("k", F.xxhash64("doc_id", "text"))
+#: Columns that the operator adds for itself, named so that a table's own do not clash.
+KEY, SPANS = "__key", "__spans"
 
 
 def _marked(keyed: DataFrame, length: int) -> DataFrame:
     """(k, spans): the sorted ranges of repeated windows of each text that has any."""
-    texts = keyed.select("k", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
-    hold = Held()
-    try:
-        merged = repeated_windows(texts, hold, length).groupBy("k").agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("spans"))
-        return materialize(merged, "spans")
-    finally:
-        hold.release()
+    texts = keyed.select(F.col(KEY).alias("k"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
+    merged = repeated_windows(texts, length).groupBy("k").agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("spans"))
+    return materialize(merged, "merged")
 
 
 def removed_runs(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
@@ -229,14 +232,14 @@ def kept_bytes(data: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 def _apply(docs: DataFrame, length: int, schema: T.StructType, row: Callable) -> DataFrame:
     """``row(columns of a batch by name, texts, runs)`` over all documents; only those with repeats are shuffled."""
-    keyed = _keyed(docs)
+    keyed = docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
     spans = _marked(keyed, length)
     words = keyed.sparkSession.sparkContext.broadcast(_key_filter(spans))
 
     def made(b: pa.RecordBatch) -> pa.RecordBatch:
         cols = dict(zip(b.schema.names, b.columns))
         texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in cols["text"]]
-        found = cols["spans"].to_pylist() if "spans" in cols else [None] * len(texts)
+        found = cols[SPANS].to_pylist() if SPANS in cols else [None] * len(texts)
         return row(cols, texts, [removed_runs(s, length) for s in found])
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,8 +252,9 @@ def _apply(docs: DataFrame, length: int, schema: T.StructType, row: Callable) ->
         yield from map(made, small(batches))
 
     names = docs.columns
-    whole = keyed.select(*names, "k").mapInArrow(untouched, schema)
-    return whole.unionByName(_picked(keyed, words).join(spans, "k", "left").select(*names, "spans").mapInArrow(cut, schema))
+    whole = keyed.select(*names, KEY).mapInArrow(untouched, schema)
+    spans = spans.select(F.col("k").alias(KEY), F.col("spans").alias(SPANS))
+    return whole.unionByName(_picked(keyed, words, KEY).join(spans, KEY, "left").select(*names, SPANS).mapInArrow(cut, schema))
 
 
 def removal_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -274,7 +278,6 @@ def removal_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with repeated bytes cut from ``text``; a character cut in part goes whole."""
-    docs = docs.drop("k", "spans")
     names, at = docs.columns, docs.columns.index("text")
 
     def row(cols: dict, texts: list[bytes], runs: list) -> pa.RecordBatch:
