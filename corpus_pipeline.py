@@ -17,7 +17,8 @@ from morphloom.storage import materialize, table
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, which no language can claim, go."""
-    return langid.identify(docs).where(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    said = langid.identify(docs, added=("__language", "__score"))
+    return said.where(F.col("__language") != langid.UNDETERMINED).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +45,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0")
-    found = found.select(F.col("doc_id").alias("hit_id"), F.col("digest").alias("hit_digest")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("hit_digest"))
+    found = found.select(F.col("doc_id").alias("__hit_id"), F.col("digest").alias("__hit_digest")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__hit_id")) & (F.xxhash64("text") == F.col("__hit_digest"))
     return docs.join(found, same, "left_anti").select(*docs.columns)
 
 

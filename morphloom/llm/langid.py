@@ -115,17 +115,17 @@ def train(examples: DataFrame) -> dict[str, np.ndarray]:
     return {lang: v / (np.sqrt(v @ v) or 1.0) for lang, v in total.items()}
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str] | None = None, added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` (or its columns ``keep``) with lang_pred and score (the cosine, 0 to 1).
 
-    Only ``text`` is looked at; a text that is not kept does not come back from Python.
+    ``added`` names the two columns; columns of these names that were there are replaced. Only ``text`` is looked at; a text that is not kept does not come back from Python.
     """
     langs = sorted(prototypes)
     matrix = np.array([prototypes[x] for x in langs], np.float32) if langs else None
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    names = [c for c in (docs.columns if keep is None else keep) if c not in added]
     given = names if "text" in names else [*names, "text"]
     at, n = given.index("text"), len(names)
-    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = _space()
@@ -141,7 +141,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str]
                     k = int(cosines.argmax())
                     said.append(langs[k])
                     scores.append(round(min(1.0, max(0.0, float(cosines[k]))), 6))
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(said, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(said, pa.string()), pa.array(scores, pa.float64())], names=[*names, *added])
 
     return docs.select(*given).mapInArrow(run, schema)
 
@@ -150,6 +150,6 @@ def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, usable: Column | None = None, keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, usable: Column | None = None, keep: list[str] | None = None, added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Train on the labelled documents for which ``usable`` holds, then predict all of ``docs``."""
-    return predict(docs, train(sample(docs, F.lit(True) if usable is None else usable)), keep)
+    return predict(docs, train(sample(docs, F.lit(True) if usable is None else usable)), keep, added)

@@ -183,10 +183,10 @@ def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, among: DataFra
     hold = Held()
     try:
         made = _sketches(docs)
-        part = hold(made if among is None else made.join(among, "doc_id", "left_semi"))
+        part = materialize(made if among is None else made.join(among, "doc_id", "left_semi"), "sketches")
         firsts = hold(part.groupBy("same").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")))
-        nodes = hold(part.join(firsts.select(F.col("first").alias("doc_id"), "same"), ["doc_id", "same"], "left_semi").dropDuplicates(["doc_id"]))
-        links = _verified(hold(_proposed(nodes, threshold, page)), docs, threshold, hold)
+        nodes = materialize(part.join(firsts.select(F.col("first").alias("doc_id"), "same"), ["doc_id", "same"], "left_semi").dropDuplicates(["doc_id"]), "nodes")
+        links = _verified(materialize(_proposed(nodes, threshold, page), "proposed"), docs, threshold, hold)
         copies = part.join(firsts.where("copies > 1").select("same", "first"), "same").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
         links = materialize(links.unionByName(copies), "links")
     finally:

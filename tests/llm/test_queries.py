@@ -38,8 +38,8 @@ def sf(spark, tmp_path_factory):
     docs += [(200 + i, docs[5][1] + " a" * (i % 2), "en", "s0") for i in range(25)]  # copies and near copies
     docs += [(300, None, "en", None), (301, "", None, "s0"), (302, " \n\t ", "de", "s0"), (303, "12 34 !?", "de", "s0"), (304, "ab" * 900, "en", "s1"), (305, prose(rng, 9000), "en", "s1")]
     docs += [(306, "x  y   z\n\n\nw  ", "en", "s1"), (307, "tab\there <|endoftext|> nbsp end", "en", "s1"), (308, "né " * 400, "fr", "s1"), (5, docs[5][1], docs[5][2], "again")]
-    rows = [(a, b, c, d, None if b is None else len(b), "clash") for a, b, c, d in docs]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, word string").repartition(5).write.parquet(f"{at}/documents.parquet")
+    rows = [(a, b, c, d, None if b is None else len(b), *["clash"] * 7) for a, b, c, d in docs]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, word string, k string, spans string, score string, fp string, digest string, piece string").repartition(5).write.parquet(f"{at}/documents.parquet")
     bench += [(90, None), (91, ""), (92, "..."), (None, bench[3][1]), (3, bench[4][1])]
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
     urls = [None, "", "no scheme", "http://", "HTTP://A.Example.NET/En/x", "https://b.example.net/en/1?q=/en/", "http://example.com/de/", "http://x.example.com/de", "https://k.org/fr/z#t", "http://net/x", "http://net", "ftp://q.fr?x=/y", "http://ü.De:80/p", "http://a\nb.org/fr/x"]
