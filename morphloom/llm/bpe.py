@@ -107,3 +107,8 @@ def load(path: str) -> ByteBpe:
     if path not in _LOADED:
         _LOADED[path] = ByteBpe(path)
     return _LOADED[path]
+
+
+def unload() -> None:
+    """Drop the encoders of this worker process: it serves other operators now."""
+    _LOADED.clear()

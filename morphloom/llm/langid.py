@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from morphloom.llm import bpe
 from morphloom.storage import materialize
 
 DIMENSIONS = 1024
@@ -128,6 +129,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str]
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.unload()
         space = _space()
         for b in batches:
             said, scores = [], []

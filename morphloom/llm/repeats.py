@@ -27,10 +27,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from morphloom.llm import bpe
+from morphloom.llm.keys import fresh_key
 from morphloom.storage import Held, materialize
 
 LENGTH = 200
@@ -101,6 +103,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The same rows a few at a time, so that few texts are Python objects at once."""
+    bpe.unload()
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
@@ -163,12 +166,6 @@ def pick(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return _picked(rows, rows.sparkSession.sparkContext.broadcast(_key_filter(keys)))
 
 
-def fresh_key(key: str) -> Column:
-    """The same key as a computed column: its rows count as dealt by nothing, so that a join deals
-    both of its sides anew and adaptive execution can split hot keys."""
-    return F.col(key).bitwiseXOR(F.lit(0).cast("bigint")).alias(key)
-
-
 def _resolve(rows: DataFrame, finest: bool) -> tuple[DataFrame, DataFrame | None]:
     """(k, at, n) of windows known to be repeated; and by text the blocks to be asked again, if any.
 

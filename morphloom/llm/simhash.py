@@ -24,8 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from morphloom.llm import bpe
+from morphloom.llm.keys import fresh_key
 from morphloom.operators.components import connected_components
-from morphloom.storage import materialize
+from morphloom.storage import Held, materialize
 
 SEED = 42
 PAGE = 512
@@ -56,6 +58,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp): the fingerprint's 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.unload()
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), width) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
@@ -148,13 +151,14 @@ def near_links(distinct: DataFrame, radius: int = 2, page: int = PAGE) -> DataFr
 
 def near_components(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): the smallest ``doc_id`` reachable over links within the radius."""
-    marked = materialize(fingerprints(docs, width), "fingerprints")
-    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    links = materialize(near_links(distinct, radius), "links")
-    linked = connected_components(links).select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    named = linked.join(distinct, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
-    of = linked.join(named, "root").select("fp", "component_id")
-    of = distinct.join(of, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    # written first, so that the last join has an exchange of its own, whose hot keys can be split
-    of = materialize(of, "components")
-    return marked.join(of, "fp").select("doc_id", "fp", "component_id")
+    hold = Held()
+    try:
+        marked = hold(fingerprints(docs, width))
+        distinct = hold(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+        linked = connected_components(materialize(near_links(distinct, radius), "links")).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+        named = linked.join(distinct, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
+        of = linked.join(named, "root").select("fp", "component_id")
+        of = distinct.join(of, "fp", "left").select(fresh_key("fp"), F.coalesce("component_id", "first").alias("component_id"))
+        return materialize(marked.join(of, "fp").select("doc_id", "fp", "component_id"), "components")
+    finally:
+        hold.release()

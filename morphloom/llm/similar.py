@@ -24,7 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from morphloom.llm.repeats import fresh_key, pick
+from morphloom.llm import bpe
+from morphloom.llm.keys import fresh_key
+from morphloom.llm.repeats import pick
 from morphloom.llm.simhash import SEED, BkTree
 from morphloom.operators.components import connected_components
 from morphloom.storage import Held, materialize
@@ -59,6 +61,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, same, n, fp, keys, sketch): ``same`` names the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.unload()
         for b in batches:
             cols: tuple[list, ...] = ([], [], [], [], [])
             for text in b.column(1):
@@ -183,10 +186,10 @@ def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, among: DataFra
     hold = Held()
     try:
         made = _sketches(docs)
-        part = materialize(made if among is None else made.join(among, "doc_id", "left_semi"), "sketches")
+        part = hold(made if among is None else made.join(among, "doc_id", "left_semi"))
         firsts = hold(part.groupBy("same").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")))
         nodes = materialize(part.join(firsts.select(F.col("first").alias("doc_id"), "same"), ["doc_id", "same"], "left_semi").dropDuplicates(["doc_id"]), "nodes")
-        links = _verified(materialize(_proposed(nodes, threshold, page), "proposed"), docs, threshold, hold)
+        links = _verified(hold(_proposed(nodes, threshold, page)), docs, threshold, hold)
         copies = part.join(firsts.where("copies > 1").select("same", "first"), "same").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
         links = materialize(links.unionByName(copies), "links")
     finally:
