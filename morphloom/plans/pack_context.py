@@ -91,12 +91,12 @@ def unique_noise_labels(spark, d):
 CLASSES = "k AS (SELECT p_brand AS label, median(p_size) AS a, median(p_retailprice) AS b FROM part GROUP BY 1)"
 
 
-@query(f"""WITH {CLASSES}, g AS (SELECT CAST(p_partkey AS BIGINT) AS i, CAST(p_size AS DOUBLE) AS a, p_retailprice AS b FROM part WHERE p_partkey % 10 = 0), u AS (SELECT a, b FROM k UNION ALL SELECT a, b FROM g), s AS (SELECT avg(a) ma, avg(b) mb, stddev_pop(a) sa, stddev_pop(b) sb FROM u),
+@query(f"""WITH {CLASSES}, g AS (SELECT CAST(p_partkey AS BIGINT) AS i, CAST(p_size AS DOUBLE) AS a, p_retailprice AS b FROM part), u AS (SELECT a, b FROM k UNION ALL SELECT a, b FROM g), s AS (SELECT avg(a) ma, avg(b) mb, stddev_pop(a) sa, stddev_pop(b) sb FROM u),
     n AS (SELECT g.i, k.label, sqrt(((g.a - k.a) / sa) ** 2 + ((g.b - k.b) / sb) ** 2) AS dist FROM g, k, s), r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY dist, label DESC) AS r FROM n) SELECT i AS p_partkey, label FROM r WHERE r = 1""")
 def noise_to_nearest_class(spark, d):
     part = T(spark, d, "part")
     classes = part.groupBy(F.col("p_brand").alias("label")).agg(F.median("p_size").alias("a"), F.median("p_retailprice").alias("b"))
-    noise = part.where("p_partkey % 10 = 0").select("p_partkey", F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b"))
+    noise = part.select("p_partkey", F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b"))
     return taxonomy.assign_noise(noise, classes, "p_partkey", "label", ["a", "b"], 1)
 
 
@@ -171,7 +171,7 @@ def enclosed_tessellation(spark, d):
     """Grid cells of one enclosure by nearest building outline, with their areas."""
     from morphloom.functions import geometry as G
 
-    b = boxes(spark, d).where("id % 200 = 0").select("id", "ring")
+    b = boxes(spark, d).select("id", "ring")
     around = spark.range(1).select(F.col("id").alias("eID"), G.rectangle(F.lit(-3.0), F.lit(-3.0), F.lit(6.0), F.lit(6.0)).alias("ring"))
     return tessellation.cell_areas(tessellation.tessellate(b, around, 0.2, 20.0), 0.2)
 

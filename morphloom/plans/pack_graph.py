@@ -1,7 +1,7 @@
 """Catalogue: neighbour graphs, k-step neighbourhoods and what is aggregated over them.
 
-Graph of parts: two parts are neighbours if one order of the first orders has both. Graph of
-suppliers: neighbours share a part of the first parts.
+Dense graph: parts that share an order. Sparse graphs: parts with equal quantity in one order;
+suppliers of lines with the same part, quantity, discount and tax.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from morphloom.storage import table as T
 QUERIES, SQL = {}, {}
 
 #: Edges of the two graphs, for the SQL twins.
-PARTS = """e AS (SELECT DISTINCT a.l_partkey AS focal, b.l_partkey AS neighbor FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_orderkey < 4000 AND a.l_partkey <> b.l_partkey)"""
-LINES = """e AS (SELECT DISTINCT a.l_suppkey AS focal, b.l_suppkey AS neighbor FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey WHERE a.l_partkey % 100 = 0 AND a.l_suppkey <> b.l_suppkey)"""
+PARTS = """e AS (SELECT DISTINCT a.l_partkey AS focal, b.l_partkey AS neighbor FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_partkey <> b.l_partkey)"""
+LINES = """e AS (SELECT DISTINCT a.l_suppkey AS focal, b.l_suppkey AS neighbor FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_quantity = b.l_quantity AND a.l_discount = b.l_discount AND a.l_tax = b.l_tax WHERE a.l_suppkey <> b.l_suppkey)"""
 
 
 def query(sql: str):
@@ -30,11 +30,12 @@ def query(sql: str):
 
 
 def parts(spark, d):
-    return G.shared_value_edges(T(spark, d, "lineitem").where("l_orderkey < 4000"), "l_partkey", "l_orderkey")
+    return G.shared_value_edges(T(spark, d, "lineitem"), "l_partkey", "l_orderkey")
 
 
 def lines(spark, d):
-    return G.shared_value_edges(T(spark, d, "lineitem").where("l_partkey % 100 = 0"), "l_suppkey", "l_partkey")
+    via = F.struct("l_partkey", "l_quantity", "l_discount", "l_tax")
+    return G.shared_value_edges(T(spark, d, "lineitem").select("l_suppkey", via.alias("via")), "l_suppkey", "via")
 
 
 @query(f"WITH {PARTS} SELECT focal, neighbor, 1.0 AS weight FROM e")
@@ -86,11 +87,12 @@ def moran_local(spark, d):
     return G.local_moran(lines(spark, d), T(spark, d, "supplier"), "s_suppkey", "s_acctbal").select("focal", F.round("moran", 6).alias("moran"))
 
 
-SPARSE = """e AS (SELECT DISTINCT a.l_partkey AS a, b.l_partkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_orderkey % 40 = 0 AND a.l_partkey <> b.l_partkey)"""
+SPARSE = """e AS (SELECT DISTINCT a.l_partkey AS a, b.l_partkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_quantity = b.l_quantity WHERE a.l_partkey <> b.l_partkey)"""
 
 
 def sparse(spark, d):
-    return G.shared_value_edges(T(spark, d, "lineitem").where("l_orderkey % 40 = 0"), "l_partkey", "l_orderkey")
+    via = F.struct("l_orderkey", "l_quantity")
+    return G.shared_value_edges(T(spark, d, "lineitem").select("l_partkey", via.alias("via")), "l_partkey", "via")
 
 
 @query(f"WITH RECURSIVE {SPARSE}, r AS (SELECT a AS node, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.node WHERE r.c < e.b) SELECT node, least(min(c), node) AS component FROM r GROUP BY node")
@@ -122,16 +124,16 @@ def cardinalities(spark, d):
     return G.cardinalities(sparse(spark, d), T(spark, d, "part"), "p_partkey")
 
 
-@query("SELECT node, count(*) AS degree FROM (SELECT o_custkey % 50 AS node FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT (o_orderkey // 10) % 50 FROM orders WHERE o_orderkey % 10 = 0) t GROUP BY 1")
+@query("SELECT node, count(*) AS degree FROM (SELECT o_custkey % 50 AS node FROM orders UNION ALL SELECT (o_orderkey // 10) % 50 FROM orders) t GROUP BY 1")
 def node_degree(spark, d):
-    orders = T(spark, d, "orders").where("o_orderkey % 10 = 0")
+    orders = T(spark, d, "orders")
     return G.degree(orders.select((F.col("o_custkey") % 50).alias("a"), (F.expr("o_orderkey div 10") % 50).alias("b")), "a", "b")
 
 
-@query("""WITH s AS (SELECT o_custkey % 50 AS a, (o_orderkey // 10) % 50 AS b, o_totalprice AS len FROM orders WHERE o_orderkey % 10 = 0)
+@query("""WITH s AS (SELECT o_custkey % 50 AS a, (o_orderkey // 10) % 50 AS b, o_totalprice AS len FROM orders)
     SELECT node, round(avg(len), 4) AS mean_length FROM (SELECT a AS node, len FROM s UNION ALL SELECT b, len FROM s WHERE a <> b) t GROUP BY 1""")
 def mean_node_dist(spark, d):
-    orders = T(spark, d, "orders").where("o_orderkey % 10 = 0")
+    orders = T(spark, d, "orders")
     s = orders.select((F.col("o_custkey") % 50).alias("a"), (F.expr("o_orderkey div 10") % 50).alias("b"), F.col("o_totalprice").alias("len"))
     return G.mean_incident_length(s, "a", "b", "len").select("node", F.round("mean_length", 4).alias("mean_length"))
 

@@ -147,9 +147,9 @@ def crosstab_counts(spark, d):
     return A.crosstab_counts(T(spark, d, "orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "P"])
 
 
-@query("""SELECT c_custkey, CAST(coalesce(n_regionkey, -1) AS INTEGER) AS n_regionkey FROM customer LEFT JOIN (SELECT n_nationkey, n_regionkey FROM nation WHERE n_nationkey < 20) n ON c_nationkey = n_nationkey""")
+@query("""SELECT c_custkey, CAST(coalesce(n_regionkey, -1) AS INTEGER) AS n_regionkey FROM customer LEFT JOIN (SELECT n_nationkey, n_regionkey FROM nation WHERE n_regionkey <> 0) n ON c_nationkey = n_nationkey""")
 def dim_map_default(spark, d):
-    lookup = T(spark, d, "nation").where("n_nationkey < 20").withColumnRenamed("n_nationkey", "c_nationkey")
+    lookup = T(spark, d, "nation").where("n_regionkey <> 0").withColumnRenamed("n_nationkey", "c_nationkey")
     return R.map_with_default(T(spark, d, "customer").select("c_custkey", "c_nationkey"), lookup, "c_nationkey", "n_regionkey", -1).select("c_custkey", "n_regionkey")
 
 

@@ -16,8 +16,8 @@ from morphloom.storage import table as T
 QUERIES, SQL = {}, {}
 
 POINTS = "p AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, label FROM embeddings)"
-#: Every twentieth part as a rectangle.
-BOXES = "b AS (SELECT p_partkey AS id, (p_partkey % 37) / 10.0 - 2 AS minx, (p_partkey % 41) / 10.0 - 2 AS miny, p_size / 50.0 AS w, p_retailprice / 2000.0 AS h FROM part WHERE p_partkey % 20 = 0)"
+#: Every part as a rectangle, spread over the points by its key.
+BOXES = "b AS (SELECT p_partkey AS id, ((p_partkey * 37) % 1009) / 252.0 - 2 AS minx, ((p_partkey * 101) % 997) / 249.0 - 2 AS miny, p_size / 500.0 AS w, p_retailprice / 20000.0 AS h FROM part)"
 
 
 def query(sql: str | None):
@@ -36,9 +36,8 @@ def points(spark, d):
 
 
 def boxes(spark, d):
-    p = T(spark, d, "part").where("p_partkey % 20 = 0")
     k = F.col("p_partkey")
-    b = p.select(k.alias("id"), ((k % 37) / 10.0 - 2).alias("minx"), ((k % 41) / 10.0 - 2).alias("miny"), (F.col("p_size") / 50.0).alias("w"), (F.col("p_retailprice") / 2000.0).alias("h"))
+    b = T(spark, d, "part").select(k.alias("id"), ((k * 37) % 1009 / 252.0 - 2).alias("minx"), ((k * 101) % 997 / 249.0 - 2).alias("miny"), (F.col("p_size") / 500.0).alias("w"), (F.col("p_retailprice") / 20000.0).alias("h"))
     return b.select("id", "w", "h", G.rectangle(F.col("minx"), F.col("miny"), F.col("w"), F.col("h")).alias("ring"))
 
 
@@ -108,13 +107,13 @@ def rng_edges(spark, d):
     return P.proximity_graph(points(spark, d), "id", "rng", 0.08).select("focal", "neighbor")
 
 
-KNN = """n AS (SELECT q.vec_id AS query_id, v.vec_id AS id, v.label, sqrt(list_sum(list_transform(range(1, 65), lambda i: (CAST(q.embedding[i] AS DOUBLE) - CAST(v.embedding[i] AS DOUBLE)) ** 2))) AS distance FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
+KNN = """n AS (SELECT q.vec_id AS query_id, v.vec_id AS id, v.label, sqrt(list_sum(list_transform(range(1, 65), lambda i: (CAST(q.embedding[i] AS DOUBLE) - CAST(v.embedding[i] AS DOUBLE)) ** 2))) AS distance FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id),
     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank FROM n)"""
 
 
 def neighbours(spark, d, k):
     e = T(spark, d, "embeddings")
-    return P.knn(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", k)
+    return P.knn(e, e, "vec_id", "embedding", k)
 
 
 @query(f"WITH {KNN} SELECT query_id, rank, id, round(distance, 5) AS distance FROM r WHERE rank <= 10")
@@ -155,10 +154,15 @@ def l_shapes_and_courtyards(spark, d):
     return p.select("p_partkey", F.round(G.area(F.col("l")), 4).alias("area"), F.round(G.length(F.col("l")), 4).alias("perimeter"), G.corners(F.col("l")).alias("corners"), F.round(G.courtyard_area(F.col("rings")), 4).alias("courtyard"))
 
 
-def _tree(spark, d, n=120):
-    rows = T(spark, d, "embeddings").orderBy("vec_id").limit(n).select("vec_id", "embedding").toPandas()
-    x = np.stack(rows["embedding"].map(lambda v: np.asarray(v, float)[:8]))
-    return rows["vec_id"].to_numpy(), x, C.monotone(C.ward_tree(x))
+def _tree(spark, d):
+    """Ward tree of groups of embeddings: by label and the signs of four components, so at most
+    sixteen a label are gathered, however many rows there are."""
+    e = T(spark, d, "embeddings")
+    signs = F.concat(*(F.when(F.col("embedding")[i] > 0, "+").otherwise("-") for i in range(4)))
+    means = [F.avg(F.col("embedding")[i].cast("double")).alias(f"c{i}") for i in range(8)]
+    rows = e.groupBy(F.concat_ws(" ", F.col("label").cast("string"), signs).alias("name")).agg(*means).orderBy("name").toPandas()
+    x = rows.drop(columns="name").to_numpy(float)
+    return rows["name"].tolist(), x, C.monotone(C.ward_tree(x))
 
 
 @query(None)
@@ -171,7 +175,7 @@ def fcluster_cuts(spark, d):
     ids, _, z = _tree(spark, d)
     cuts = np.quantile(z[:, 2], [0.99, 0.95, 0.9, 0.8, 0.6, 0.4, 0.2])
     out = C.multi_cut(z, len(ids), cuts)
-    out.insert(0, "vec_id", ids)
+    out.insert(0, "name", ids)
     return spark.createDataFrame(out)
 
 
@@ -187,15 +191,15 @@ def hdbscan_leaves(spark, d):
 
 @query(None)
 def split_analysis(spark, d):
-    ids, x, z = _tree(spark, d, 60)
+    _, x, z = _tree(spark, d)
     features = spark.createDataFrame([(i, *map(float, v[:4])) for i, v in enumerate(x)], "obs bigint, a double, b double, c double, d double")
     return C.split_analysis(C.tree_table(z, spark), features, "obs", ["a", "b", "c", "d"])
 
 
 @query(None)
 def newick_tree(spark, d):
-    ids, _, z = _tree(spark, d, 60)
-    return spark.createDataFrame([(C.newick(z, [str(i) for i in ids], float(np.quantile(z[:, 2], 0.7))),)], "newick string")
+    names, _, z = _tree(spark, d)
+    return spark.createDataFrame([(C.newick(z, names, float(np.quantile(z[:, 2], 0.7))),)], "newick string")
 
 
 @query("""WITH t AS (SELECT label AS a, CAST(floor(embedding[1] * 4) AS BIGINT) AS b, count(*) AS n FROM embeddings GROUP BY 1, 2), s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM t) AS i, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM t GROUP BY a) x) AS a, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM t GROUP BY b) x) AS b, (SELECT sum(n) FROM t) AS n)
