@@ -110,7 +110,7 @@ def weighted_percentiles(df: DataFrame, keys: Sequence[str], value: str, weight:
 
     Below the first and beyond the last middle the extreme values hold.
     """
-    w = Window.partitionBy(*keys).orderBy(value)
+    w = Window.partitionBy(*keys).orderBy(value, weight)
     run = F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0))
     total = F.sum(weight).over(Window.partitionBy(*keys))
     ranked = df.where(F.col(value).isNotNull() & F.col(weight).isNotNull()).withColumn("_at", (run - 0.5 * F.col(weight)) / total)

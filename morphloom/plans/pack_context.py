@@ -44,7 +44,7 @@ def _at(spark, d):
 
 @query(f"""WITH {LINES}, a AS (SELECT s_suppkey AS k, s_suppkey % 17 AS x, s_suppkey % 23 AS y, s_acctbal AS v FROM supplier),
     p AS (SELECT focal, b.v, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS dist FROM e JOIN a ON focal = a.k JOIN a b ON neighbor = b.k), q AS (SELECT *, 1 / dist AS w FROM p WHERE dist > 0),
-    o AS (SELECT *, (sum(w) OVER (PARTITION BY focal ORDER BY v ROWS UNBOUNDED PRECEDING) - 0.5 * w) / sum(w) OVER (PARTITION BY focal) AS mid FROM q),
+    o AS (SELECT *, (sum(w) OVER (PARTITION BY focal ORDER BY v, w ROWS UNBOUNDED PRECEDING) - 0.5 * w) / sum(w) OVER (PARTITION BY focal) AS mid FROM q),
     n AS (SELECT *, lead(mid) OVER x AS nx, lead(v) OVER x AS up, first_value(mid) OVER x AS fa, first_value(v) OVER x AS fv FROM o WINDOW x AS (PARTITION BY focal ORDER BY mid, v)),
     r AS (SELECT focal, """ + ", ".join(f"coalesce(max(CASE WHEN mid <= {p} AND nx > {p} THEN v + ({p} - mid) / (nx - mid) * (up - v) END), max(CASE WHEN fa > {p} THEN fv END), max(v)) AS {n}" for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))) + """ FROM n GROUP BY 1)
     SELECT focal, round(p50, 4) AS median, round(p75 - p25, 4) AS iqr FROM r""")
