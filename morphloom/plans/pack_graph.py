@@ -155,13 +155,13 @@ def meshedness(spark, d):
 @query(f"""WITH {PARTS}, v AS (SELECT focal, p_retailprice AS value, CAST(p_size AS DOUBLE) AS w FROM e JOIN part ON neighbor = p_partkey),
     o AS (SELECT *, (sum(w) OVER (PARTITION BY focal ORDER BY value, w ROWS UNBOUNDED PRECEDING) - 0.5 * w) / sum(w) OVER (PARTITION BY focal) AS mid FROM v),
     n AS (SELECT *, lead(mid) OVER x AS nx, lead(value) OVER x AS up, first_value(mid) OVER x AS fa, first_value(value) OVER x AS fv FROM o WINDOW x AS (PARTITION BY focal ORDER BY mid, value))
-    SELECT focal, """ + ", ".join(f"round(coalesce(max(CASE WHEN mid <= {p} AND nx > {p} THEN value + ({p} - mid) / (nx - mid) * (up - value) END), max(CASE WHEN fa > {p} THEN fv END), max(value)), 7) AS {n}" for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))) + " FROM n GROUP BY 1")
+    SELECT focal, """ + ", ".join(f"round(coalesce(max(CASE WHEN mid <= {p} AND nx > {p} THEN value + ({p} - mid) / (nx - mid) * (up - value) END), max(CASE WHEN fa > {p} THEN fv END), max(value)), 8) AS {n}" for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))) + " FROM n GROUP BY 1")
 def weighted_percentile(spark, d):
     e = parts(spark, d)
     part = T(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("value"), F.col("p_size").cast("double").alias("w"))
     values = e.join(part, e["neighbor"] == part["p_partkey"]).select("focal", "value", "w")
     out = A.weighted_percentiles(values, ["focal"], "value", "w")
-    return out.select("focal", *(F.round(c, 7).alias(c) for c in ("p25", "p50", "p75")))
+    return out.select("focal", *(F.round(c, 8).alias(c) for c in ("p25", "p50", "p75")))
 
 
 @query(f"WITH {PARTS} SELECT focal, round(quantile_cont(p_retailprice, 0.05), 6) AS p5, round(quantile_cont(p_retailprice, 0.5), 6) AS p50, round(quantile_cont(p_retailprice, 0.95), 6) AS p95 FROM e JOIN part ON neighbor = p_partkey GROUP BY 1")
