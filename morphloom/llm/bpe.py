@@ -1,9 +1,10 @@
 """Byte-level BPE ids from the ``tokenizers`` library, with an exact cache of pieces.
 
 The pre-tokenizer of a byte-level BPE cuts a text before a single blank between non-blanks
-and around a single newline between non-blanks, and between a run of letters and the
-punctuation after it, whatever the neighbours are. Pieces between such cuts are encoded once
-by the library and remembered; the new words of a text are encoded in one call. Texts with
+and around a single newline between non-blanks, and between a letter or digit and the
+punctuation after it, whatever the neighbours are; a run of punctuation is never cut. Pieces
+between such cuts are encoded once by the library and remembered; the new words of a text are
+encoded in one call. Texts with
 other white space, with runs of it, or with the text of an added token go to the library
 whole. Long pieces are never remembered and the cache is bounded: when it is full, the
 half learnt last goes, since frequent words are met early.
@@ -33,6 +34,7 @@ class ByteBpe:
         self._pieces: dict[str, bytes] = {}  # a blank and this piece
         self._starts: dict[str, bytes] = {"": b""}  # the first piece of a line
         self._tails = {c: self.plain(c) for c in ".,;:!?"}
+        self._closed: dict[str, bool] = {}
         self._newline = self.plain("\n")
         self._newline_id = int.from_bytes(self._newline, "little")
         spelled = self._tokenizer.get_vocab(with_added_tokens=True)
@@ -43,6 +45,12 @@ class ByteBpe:
         """The library's ids of a text as little-endian unsigned 32-bit integers."""
         return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _closes(self, c: str) -> bool:
+        """Whether the library cuts between this character and the punctuation after it."""
+        if c not in self._closed:
+            self._closed[c] = c.isalnum() and len(self._tokenizer.pre_tokenizer.pre_tokenize_str(c + ".")) == 2
+        return self._closed[c]
+
     def _encode_words(self, words: list[str], before: str) -> list[bytes]:
         """Each word's ids, from one call for all: a word's first id, and no other, has the blank."""
         [found] = self._tokenizer.encode_batch_fast([(before or "\n") + (before or "\n").join(words)], add_special_tokens=False)
@@ -63,7 +71,7 @@ class ByteBpe:
             cache.update(zip(new, self._encode_words(new, before)))
         for p, w in core.items():
             if p is not w:
-                ids = cache.get(w) if w else None
+                ids = cache.get(w) if w and self._closes(w[-1]) else None
                 cache[p] = self.plain(before + p) if ids is None else ids + tails[p[-1]]
             elif p not in cache:
                 cache[p] = self.plain(before + p)

@@ -20,6 +20,16 @@ def test_cached_ids_are_the_library_s(text):
     assert encode(text) == encode.plain(text)
 
 
+def test_runs_of_punctuation_stay_together():
+    encode = bpe.ByteBpe(vocabulary())
+    for text in ("wait. wait.. (x) (x), ok! ok!!", "wait.\nwait..\nwait...\nwait?!", "x) x); a. a., he\" he\". don't don't. 7 7. 7.. ² ².", "é é. é.. _ _. 中 中, \u0301 \u0301."):
+        assert encode(text) == encode.plain(text)
+    rng = random.Random(8)
+    for _ in range(300):  # one cache for all of them
+        text = " ".join("".join(rng.choice("ab7.,;:!?)('\"é") for _ in range(rng.randint(1, 4))) for _ in range(20))
+        assert encode(text) == encode.plain(text), text
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_packing_keeps_every_constraint(rule):
     lengths = np.sort(np.random.default_rng(0).integers(1, 60, 400))[::-1]
