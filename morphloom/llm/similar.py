@@ -6,8 +6,8 @@ meet in shards keyed by minimum hashes of their shingle sets (a pair of similari
 all six with probability 0.2 ** 6) and by length class (similar sets have similar sizes). In a
 shard, a BK-tree over fingerprints follows edges within ``RADIUS``; what it finds is weighed by
 a 128-byte sketch, and a maximum spanning forest of the likely pairs leaves the shard, never all
-pairs. Shards beyond a page are cut by further minimum hashes. The links of the forest are then
-checked with the whole shingle sets.
+pairs. A shard beyond a page is split into pages, and each pair of pages is one unit of work. The
+links of the forest are then checked with the whole shingle sets.
 
 Edge cases: null or empty texts and texts of blanks share the empty set and are equal; a text of
 fewer words than a shingle is one shingle; repeated rows are equal; rows without ``doc_id`` take
@@ -113,32 +113,22 @@ def _forest(ids: np.ndarray, n: np.ndarray, fp: np.ndarray, sketch: np.ndarray,
 
 
 def _units(nodes: DataFrame, threshold: float, page: int) -> DataFrame:
-    """(unit, doc_id, n, fp, sketch): rows that meet; no unit has many more than ``page`` rows.
+    """(unit, same, doc_id, n, fp, sketch): rows that meet; no unit has many more than two pages.
 
-    A shard too large is cut by the next minimum hash, then by the one after that (similar sets
-    agree on each with their similarity, and meet through other keys if not here). What still
-    agrees in all of them is cut evenly, and its least document visits every part, so that the
-    parts of one group of copies stay connected. Rows are never paired with each other here.
+    A shard too large for a page is split into pages, and each pair of pages is one unit, so
+    that every pair of a shard meets. Rows are never paired with each other here.
     """
     size_class = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(1.0 / threshold)))
     # sets of similar size are in one class or in neighbouring ones: each also visits the next
     classed = nodes.withColumn("size", size_class.cast("int")).select("*", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("class"))
-    payload = ["doc_id", "n", "fp", "sketch"]
-    rest = classed.select(*payload, "class", "keys", F.posexplode("keys").alias("m", "key")).drop("key")
-    out = None
-    for depth in range(1, 4):
-        agreed = [F.element_at("keys", (F.pmod(F.col("m") + i, F.lit(KEYS)) + 1).cast("int")) for i in range(depth)]
-        rest = rest.withColumn("unit", F.xxhash64("m", "class", *agreed))
-        sizes = rest.groupBy("unit").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("first")).where("c > 1")
-        joined = rest.join(sizes.select(fresh_key("unit"), "c", "first"), "unit")
-        fits = joined.where(F.col("c") <= page).select("unit", *payload)
-        out = fits if out is None else out.unionByName(fits)
-        rest = joined.where(F.col("c") > page).drop(*(["unit", "c", "first"] if depth < 3 else []))
-    parts = F.ceil(F.col("c") / F.lit(page)).cast("int")
-    own = F.array(F.pmod(F.xxhash64("doc_id"), parts.cast("bigint")).cast("int"))
-    visited = F.when(F.col("doc_id") == F.col("first"), F.sequence(F.lit(0), parts - 1)).otherwise(own)
-    cut = rest.select("unit", *payload, F.explode(visited).alias("part"))
-    return out.unionByName(cut.select(F.xxhash64("unit", "part").alias("unit"), *payload))
+    payload = ["same", "doc_id", "n", "fp", "sketch"]
+    routed = classed.select(*payload, "class", F.posexplode("keys").alias("m", "key")).select(F.xxhash64("m", "class", "key").alias("shard"), *payload)
+    sizes = routed.groupBy("shard").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    sizes = sizes.select(fresh_key("shard"), F.ceil(F.col("c") / F.lit(page)).cast("int").alias("pages"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("pages").cast("bigint")).cast("int")
+    visited = F.transform(F.sequence(F.lit(0), F.col("pages") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
+    work = routed.join(sizes, "shard").withColumn("own", own).select("shard", *payload, F.explode(visited).alias("u"))
+    return work.select(F.xxhash64("shard", "u.i", "u.j").alias("unit"), *payload)
 
 
 def _proposed(nodes: DataFrame, threshold: float, page: int) -> DataFrame:

@@ -192,3 +192,40 @@ def test_similar_groups_against_brute_force(spark, page):
     want = {i: min(v) for v in groups.values() if len(v) > 1 for i in v}
     assert got == want
     assert similar.similar_groups(df.limit(0)).count() == 0
+
+
+def similar_pairs(docs):
+    own = [(i, set(similar.shingles(t).tolist())) for i, t in docs]
+    return {(min(i, j), max(i, j)) for a, (i, x) in enumerate(own) for j, y in own[:a] if len(x & y) >= 0.8 * len(x | y)}
+
+
+def groups_of(pairs):
+    root = {i: i for p in pairs for i in p}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for i, j in pairs:
+        root[max(find(i), find(j))] = min(find(i), find(j))
+    return {i: find(i) for i in root}
+
+
+def variants(n, words, share, seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(words)]
+    return [" ".join(word() if rng.random() < share else w for w in base) for _ in range(n)]
+
+
+def test_every_pair_of_a_large_shard_meets(spark):
+    docs = list(enumerate(variants(40, 300, 0.01, 2)))
+    nodes = similar._sketches(spark.createDataFrame(docs, "doc_id long, text string"))
+    met = {}
+    for r in similar._units(nodes.withColumn("group", nodes.doc_id), 0.8, 4).collect():
+        met.setdefault(r["unit"], set()).add(r["same"])
+    name = {r.doc_id: r.same for r in nodes.collect()}
+    pairs = similar_pairs(docs)
+    assert len(pairs) > 300 and max(map(len, met.values())) < 24
+    assert all(any(name[i] in u and name[j] in u for u in met.values()) for i, j in pairs)
