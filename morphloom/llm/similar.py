@@ -5,9 +5,9 @@ that must find similarity 0.8 needs a wider radius than key blocks can serve. He
 meet in shards keyed by minimum hashes of their shingle sets (a pair of similarity 0.8 misses
 all six with probability 0.2 ** 6) and by length class (similar sets have similar sizes). In a
 shard, a BK-tree over fingerprints follows edges within ``RADIUS``; what it finds is weighed by
-a 128-byte sketch, and a maximum spanning forest of the likely pairs leaves the shard, never all
-pairs. A shard beyond a page is split into pages, and each pair of pages is one unit of work. The
-links of the forest are then checked with the whole shingle sets.
+a 128-byte sketch. A shard beyond a page is split into pages, and each pair of pages is one unit
+of work. The rows of a unit that have a likely pair come again with their whole shingle sets, and
+the unit's spanning forest grows by true links only: no estimate takes a pair's place.
 
 Edge cases: null or empty texts and texts of blanks share the empty set and are equal; a text of
 fewer words than a shingle is one shingle; repeated rows are equal; rows without ``doc_id`` take
@@ -27,14 +27,15 @@ from pyspark.sql import functions as F
 from morphloom.llm import bpe
 from morphloom.llm.keys import fresh_key
 from morphloom.llm.repeats import pick
-from morphloom.llm.simhash import SEED, BkTree
+from morphloom.llm.simhash import SEED, BkTree, fingerprint
 from morphloom.operators.components import connected_components
 from morphloom.storage import Held, materialize
 
 WIDTH, THRESHOLD = 5, 0.8
-KEYS, SKETCH, RADIUS, PAGE = 6, 128, 16, 512
-#: The sketch's estimate has a deviation of 0.035; pairs from here on are checked exactly.
-LIKELY = 0.72
+KEYS, SKETCH, PAGE = 6, 128, 512
+#: Fingerprints of similarity 0.8 differ by about 10 bits, deviation 3; the sketch's estimate has a
+#: deviation of 0.035. Both bounds lie four to five deviations off; what they leave is checked exactly.
+RADIUS, LIKELY = 24, 0.62
 _ODD = np.random.default_rng(11).integers(1, 1 << 62, KEYS + SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -57,63 +58,59 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, same, n, fp, keys, sketch): ``same`` names the shingle set."""
+def set_name(hashes: np.ndarray) -> int:
+    return int(np.array(xxhash.xxh3_64_intdigest(hashes.tobytes()), np.uint64).view(np.int64))
+
+
+def _sketches(docs: DataFrame, marked: bool = False) -> DataFrame:
+    """(doc_id, same, n, fp, keys, sketch, mark): ``same`` names the shingle set, ``mark`` is the
+    fingerprint of ``simhash`` if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe.unload()
         for b in batches:
-            cols: tuple[list, ...] = ([], [], [], [], [])
-            for text in b.column(1):
-                h = shingles(text.as_py())
+            cols: tuple[list, ...] = ([], [], [], [], [], [])
+            for text in b.column(1).to_pylist():
+                h = shingles(text)
                 least = minima(h)
                 bits = np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
                 fp = int(np.packbits(2 * bits > len(h)).view(">i8")[0])
-                same = int(np.array(xxhash.xxh3_64_intdigest(h.tobytes()), np.uint64).view(np.int64))
                 sketch = (least[KEYS:] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8).tobytes()
-                for col, v in zip(cols, (same, len(h), fp, least[:KEYS].astype(np.int64).tolist(), sketch)):
+                keys = (least[:KEYS] >> np.uint64(24)).astype(np.uint32).view(np.int32).tolist()
+                mark = int(np.array(fingerprint(text), np.uint64).view(np.int64)) if marked else None
+                for col, v in zip(cols, (set_name(h), len(h), fp, keys, sketch, mark)):
                     col.append(v)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "same", "n", "fp", "keys", "sketch"])
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "same", "n", "fp", "keys", "sketch", "mark"])
 
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), "text")
-    return texts.mapInArrow(run, "doc_id bigint, same bigint, n int, fp bigint, keys array<bigint>, sketch binary")
+    return texts.mapInArrow(run, "doc_id bigint, same bigint, n int, fp bigint, keys array<int>, sketch binary, mark bigint")
 
 
-def _forest(ids: np.ndarray, n: np.ndarray, fp: np.ndarray, sketch: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """Spanning links of the likely pairs of a shard, the most similar first."""
+def _likely(rows: dict[str, np.ndarray], threshold: float) -> list[np.ndarray]:
+    """For each row of a unit, the later rows to check with it: pairs of different groups that the
+    sketch holds for likely, each in one unit only: that of its first common key and its upper class."""
+    fp, n, m, top, own, group, keys, sketch = (rows[c] for c in ("fp", "n", "m", "top", "own", "group", "keys", "sketch"))
+    across = bool((own != own[0]).any())
     values, at = np.unique(fp, return_inverse=True)
     members = np.split(np.argsort(at, kind="stable"), np.cumsum(np.bincount(at))[:-1])
-    left, right = [], []
+    found = [[np.empty(0, np.int32)] for _ in fp]
     for near, node in BkTree(values).pairs(values, RADIUS):
-        a = members[node]
         b = np.concatenate([members[k] for k in near.tolist()])
-        i, j = np.repeat(a, len(b)), np.tile(b, len(a))
-        fits = (i < j) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]))
-        i, j = i[fits], j[fits]
-        same = (sketch[i] == sketch[j]).mean(1) if len(i) else np.empty(0)
-        likely = same >= LIKELY
-        left.append(np.stack([i[likely], j[likely]], 1))
-        right.append(same[likely])
-    pairs, scores = np.concatenate(left), np.concatenate(right)
-    root, out = list(range(len(ids))), []
-
-    def find(v: int) -> int:
-        while root[v] != v:
-            root[v] = root[root[v]]
-            v = root[v]
-        return v
-
-    for i, j in pairs[np.argsort(-scores, kind="stable")].tolist():
-        a, b = find(i), find(j)
-        if a != b:
-            root[a] = b
-            out.append((int(ids[i]), int(ids[j])))
-    return out
+        for i in members[node].tolist():
+            j = b[b > i]
+            fits = (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j])) & (group[i] != group[j]) & (top[i] | top[j])
+            if across:
+                fits &= own[i] != own[j]
+            j = j[fits]
+            j = j[np.argmax(keys[i] == keys[j], 1) == m[i]]
+            j = j[(sketch[i] == sketch[j]).mean(1) >= LIKELY]
+            found[i].append(j.astype(np.int32))
+    return [np.concatenate(f) for f in found]
 
 
 def _units(nodes: DataFrame, threshold: float, page: int) -> DataFrame:
-    """(unit, same, doc_id, n, fp, sketch): rows that meet; no unit has many more than two pages.
+    """(unit, m, top, own, same, group, n, fp, keys, sketch): rows that meet, in two pages at most.
 
     A shard too large for a page is split into pages, and each pair of pages is one unit, so
     that every pair of a shard meets. Rows are never paired with each other here.
@@ -121,67 +118,113 @@ def _units(nodes: DataFrame, threshold: float, page: int) -> DataFrame:
     size_class = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(1.0 / threshold)))
     # sets of similar size are in one class or in neighbouring ones: each also visits the next
     classed = nodes.withColumn("size", size_class.cast("int")).select("*", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("class"))
-    payload = ["same", "doc_id", "n", "fp", "sketch"]
-    routed = classed.select(*payload, "class", F.posexplode("keys").alias("m", "key")).select(F.xxhash64("m", "class", "key").alias("shard"), *payload)
+    payload = ["m", "top", "same", "group", "n", "fp", "keys", "sketch"]
+    placed = classed.select("*", F.posexplode("keys").alias("m", "key"), (F.col("class") == F.col("size")).alias("top"))
+    routed = placed.select(F.xxhash64("m", "class", "key").alias("shard"), *payload)
     sizes = routed.groupBy("shard").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     sizes = sizes.select(fresh_key("shard"), F.ceil(F.col("c") / F.lit(page)).cast("int").alias("pages"))
-    own = F.pmod(F.xxhash64("doc_id"), F.col("pages").cast("bigint")).cast("int")
+    own = F.pmod(F.xxhash64("same"), F.col("pages").cast("bigint")).cast("int")
     visited = F.transform(F.sequence(F.lit(0), F.col("pages") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
-    work = routed.join(sizes, "shard").withColumn("own", own).select("shard", *payload, F.explode(visited).alias("u"))
-    return work.select(F.xxhash64("shard", "u.i", "u.j").alias("unit"), *payload)
+    work = routed.join(sizes, "shard").withColumn("own", own).select("shard", "own", *payload, F.explode(visited).alias("u"))
+    return work.select(F.xxhash64("shard", "u.i", "u.j").alias("unit"), "own", *payload)
 
 
 def _proposed(nodes: DataFrame, threshold: float, page: int) -> DataFrame:
-    """(a, b): links between documents of different shingle sets that are likely similar."""
+    """(unit, pos, same, group, later): rows of a unit with a likely pair, and where its later rows are."""
+    names = ["unit", "pos", "same", "group", "later"]
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        ids = t.column("doc_id").to_numpy()
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(ids), SKETCH)
-        links = _forest(ids, t.column("n").to_numpy(), t.column("fp").to_numpy().view(np.uint64), sketch, threshold)
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+        size = t.num_rows
+        rows = {c: t.column(c).to_numpy() for c in ("m", "top", "own", "same", "group", "n")}
+        rows["fp"] = t.column("fp").to_numpy().view(np.uint64)
+        rows["keys"] = np.stack(t.column("keys").to_numpy()).reshape(size, KEYS)
+        rows["sketch"] = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(size, SKETCH)
+        later = _likely(rows, threshold)
+        seen = np.zeros(size, bool)
+        for i, j in enumerate(later):
+            seen[j] = True
+            seen[i] |= len(j) > 0
+        at = np.flatnonzero(seen)
+        cols = [pa.array([key[0].as_py()] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array(rows["same"][at]), pa.array(rows["group"][at])]
+        return pa.table([*cols, pa.array([later[i].tobytes() for i in at], pa.binary())], names=names)
+
+    schema = "unit bigint, pos int, same bigint, group bigint, later binary"
+    return _units(nodes, threshold, page).groupBy("unit").applyInArrow(run, schema)
+
+
+def _forest(pos: np.ndarray, group: np.ndarray, later: list[np.ndarray], sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links that connect the groups of a unit as all its pairs of the similarity do: each likely
+    pair not yet connected by links that were found true is checked with the whole sets."""
+    at = {p: i for i, p in enumerate(pos.tolist())}
+    root, out = {g: g for g in group.tolist()}, []
+    own = group.tolist()
+
+    def find(v: int) -> int:
+        while root[v] != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
 
-    return _units(nodes, threshold, page).groupBy("unit").applyInArrow(run, "a bigint, b bigint").distinct()
+    for i, ends in enumerate(later):
+        x = sets[i]
+        for j in ends.tolist():
+            j = at[j]
+            a, b = find(own[i]), find(own[j])
+            if a == b:
+                continue
+            y = sets[j]
+            shared = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()) if len(x) else 0
+            if shared >= threshold * (len(x) + len(y) - shared):
+                root[a] = b
+                out.append((own[i], own[j]))
+    return out
 
 
-def _verified(links: DataFrame, docs: DataFrame, threshold: float, hold: Held) -> DataFrame:
-    """Links whose whole shingle sets have the similarity; only linked documents are read into sets."""
-    ends = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().withColumn("k", F.xxhash64("doc_id"))
+def _verified(likely: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float, hold: Held) -> DataFrame:
+    """(a, b): groups linked by the whole shingle sets; only likely documents are read into sets."""
+    wanted = likely.select(fresh_key("same")).distinct()
+    ends = nodes.join(wanted, "same", "left_semi").select("doc_id").distinct().withColumn("k", F.xxhash64("doc_id"))
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), "text", F.xxhash64(F.col("doc_id").cast("bigint")).alias("k"))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [(shingles(t.as_py()) >> np.uint64(32)).astype(np.uint32).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["doc_id", "hashes"])
+            made = [shingles(t.as_py()) for t in b.column(1)]
+            same = pa.array([set_name(h) for h in made], pa.int64())
+            yield pa.RecordBatch.from_arrays([same, pa.array([np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes() for h in made], pa.binary())], names=["same", "hashes"])
 
-    known = hold(pick(texts, ends).mapInArrow(sets, "doc_id bigint, hashes binary").dropDuplicates(["doc_id"]))
-    both = links.join(known.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a").join(known.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb")), "b")
+    known = pick(texts, ends).mapInArrow(whole, "same bigint, hashes binary").join(wanted, "same", "left_semi").dropDuplicates(["same"])
+    both = likely.select("unit", "pos", fresh_key("same"), "group", "later").join(hold(known), "same")
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.unique(np.frombuffer(x.as_py(), np.uint32)), np.unique(np.frombuffer(y.as_py(), np.uint32))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared >= threshold * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def judge(key: tuple, t: pa.Table) -> pa.Table:
+        later = [np.frombuffer(v.as_py(), np.int32) for v in t.column("later")]
+        sets = [np.frombuffer(v.as_py(), np.uint32) for v in t.column("hashes")]
+        links = _forest(t.column("pos").to_numpy(), t.column("group").to_numpy(), later, sets, threshold)
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    return both.select("a", "b", "ha", "hb").mapInArrow(judge, "a bigint, b bigint")
+    return both.select("unit", "pos", "group", "later", "hashes").groupBy("unit").applyInArrow(judge, "a bigint, b bigint").distinct()
 
 
-def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, among: DataFrame | None = None, page: int = PAGE) -> DataFrame:
+def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, among: DataFrame | None = None, known: DataFrame | None = None, page: int = PAGE) -> DataFrame:
     """(doc_id, group_id) of documents that have near copies: the smallest id reachable.
 
-    ``among`` (doc_id) restricts which documents take part.
+    ``among`` (doc_id) restricts which documents take part. ``known`` (doc_id, fp, component_id), as of ``simhash.near_components``, are links that hold
+    already: then components take the place of documents in the result.
     """
     hold = Held()
     try:
-        made = _sketches(docs)
-        part = hold(made if among is None else made.join(among, "doc_id", "left_semi"))
-        firsts = hold(part.groupBy("same").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")))
-        nodes = materialize(part.join(firsts.select(F.col("first").alias("doc_id"), "same"), ["doc_id", "same"], "left_semi").dropDuplicates(["doc_id"]), "nodes")
-        links = _verified(hold(_proposed(nodes, threshold, page)), docs, threshold, hold)
-        copies = part.join(firsts.where("copies > 1").select("same", "first"), "same").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-        links = materialize(links.unionByName(copies), "links")
+        made = _sketches(docs, known is not None)
+        made = made if among is None else made.join(among, "doc_id", "left_semi")
+        if known is None:
+            part = hold(made.withColumn("group", F.col("doc_id")))
+        else:
+            of = known.where("doc_id IS NOT NULL").select(fresh_key("doc_id"), F.col("fp").alias("mark"), F.col("component_id").alias("group")).distinct()
+            part = hold(made.join(of, ["doc_id", "mark"]))
+        firsts = hold(part.groupBy("same").agg(F.min("group").alias("first")))
+        one = part.dropDuplicates(["same"]).drop("group").join(firsts.select(fresh_key("same"), F.col("first").alias("group")), "same")
+        nodes = materialize(one, "nodes")
+        links = _verified(hold(_proposed(nodes, threshold, page)), nodes, docs, threshold, hold)
+        copies = part.select(fresh_key("same"), "group").join(firsts, "same").where("group <> first").select(F.col("group").alias("a"), F.col("first").alias("b"))
+        links = materialize(links.unionByName(copies.distinct()), "links")
     finally:
         hold.release()
     return connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"))

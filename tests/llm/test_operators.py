@@ -229,3 +229,12 @@ def test_every_pair_of_a_large_shard_meets(spark):
     pairs = similar_pairs(docs)
     assert len(pairs) > 300 and max(map(len, met.values())) < 24
     assert all(any(name[i] in u and name[j] in u for u in met.values()) for i, j in pairs)
+
+
+def test_false_likely_pairs_hide_no_true_ones(spark):
+    texts = variants(150, 400, 0.021, 5)
+    docs = list(enumerate(texts))
+    want = groups_of(similar_pairs(docs))
+    assert 20 < len(docs) - len(want) + len(set(want.values())) < 120  # many components of likely pairs
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.group_id for r in similar.similar_groups(df).collect()} == want
