@@ -24,13 +24,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays, in one copy.
 
-    Groups are those of the fingerprint links, and among what these leave, those of documents
-    whose five-word shingle sets are similar by 0.8 or more. Documents without an id cannot be
-    named by a group and stay.
+    Groups are the components of the fingerprint links and the links of documents whose five-word
+    shingle sets are similar by 0.8 or more, both over all documents. Documents without an id
+    cannot be named by a group and stay.
     """
     groups = simhash.near_components(docs)
     firsts = materialize(groups.where("doc_id = component_id").select("doc_id").distinct(), "firsts")
-    copies = similar.similar_groups(docs, among=firsts).where("doc_id <> group_id").select("doc_id")
+    copies = similar.similar_groups(docs, known=groups).where("doc_id <> group_id").select("doc_id")
     kept = firsts.join(copies, "doc_id", "left_anti")
     stay = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return stay.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

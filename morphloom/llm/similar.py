@@ -204,16 +204,15 @@ def _verified(likely: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: f
     return both.select("unit", "pos", "group", "later", "hashes").groupBy("unit").applyInArrow(judge, "a bigint, b bigint").distinct()
 
 
-def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, among: DataFrame | None = None, known: DataFrame | None = None, page: int = PAGE) -> DataFrame:
+def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, known: DataFrame | None = None, page: int = PAGE) -> DataFrame:
     """(doc_id, group_id) of documents that have near copies: the smallest id reachable.
 
-    ``among`` (doc_id) restricts which documents take part. ``known`` (doc_id, fp, component_id), as of ``simhash.near_components``, are links that hold
+    ``known`` (doc_id, fp, component_id), as of ``simhash.near_components``, are links that hold
     already: then components take the place of documents in the result.
     """
     hold = Held()
     try:
         made = _sketches(docs, known is not None)
-        made = made if among is None else made.join(among, "doc_id", "left_semi")
         if known is None:
             part = hold(made.withColumn("group", F.col("doc_id")))
         else:

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from morphloom.llm import bpe, chat, mtree, packing, repeats, similar, template, token_orc, warc
+from morphloom.llm import bpe, chat, mtree, packing, repeats, simhash, similar, template, token_orc, warc
 from morphloom.llm.queries import vocabulary
 from morphloom.storage import fresh_path
 
@@ -238,3 +238,21 @@ def test_false_likely_pairs_hide_no_true_ones(spark):
     assert 20 < len(docs) - len(want) + len(set(want.values())) < 120  # many components of likely pairs
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     assert {r.doc_id: r.group_id for r in similar.similar_groups(df).collect()} == want
+
+
+def test_links_through_any_member(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(200)]
+    last = list(base)
+    last[120:136] = [word() for _ in range(16)]
+    docs = [(1, " ".join(word() for _ in range(200))), (2, " ".join(base)), (3, " ".join(last)), (4, " ".join(word() for _ in range(200)))]
+    assert similar_pairs(docs) == {(2, 3)}
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    # let 1 and 2 be linked by their fingerprints: 3 is near to 2 alone
+    fps = {i: np.array(simhash.fingerprint(t), np.uint64).view(np.int64).item() for i, t in docs}
+    known = spark.createDataFrame([(i, fps[i], 1 if i < 3 else i) for i, _ in docs], "doc_id long, fp long, component_id long")
+    monkeypatch.setattr(simhash, "near_components", lambda docs: known)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()} == {1, 4}
