@@ -6,14 +6,18 @@ prefix word is enough: the words of the benchmark are ordered by how often all d
 them, and a window joins only through its rarest word. Length and position then bound where the
 window would lie, and the words there are compared one by one.
 
-Documents are split into words once to count the benchmark's words and once to join. Each
-document also emits one row that joins a row of its own, so that documents without a hit, and
-repeated rows, come out of the same aggregation. The benchmark's windows are broadcast only up
-to ``BROADCAST_WINDOWS`` of them; beyond, the same join shuffles.
+Documents are split into words once to count the benchmark's words and once to join. Up to
+``BROADCAST_WINDOWS`` windows are broadcast; each document then also emits one row that joins a
+row of its own, so that documents without a hit, and repeated rows, come out of the same
+aggregation. Beyond, places of words are shuffled, each with its document's name and length
+only; the documents with a candidate are asked once for the few words at each candidate, and
+those meet the windows. Both ways give the same rows.
 
 Edge cases: null text has no words; repeated documents are all returned; a null ``item_id``
 marks words as hit but is no item; items with equal ids are one item; an empty benchmark hits
-nothing; an empty table gives no row.
+nothing; an empty table gives no row; other columns are not looked at. A text's words are one
+array of one row, so a row has to fit a task's memory several times; beside it the shuffled way
+makes rows of constant size only.
 """
 
 from __future__ import annotations
@@ -47,15 +51,14 @@ def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     return each.groupBy(F.slice("w", F.col("at") + 1, width).alias("window")).agg(F.collect_set("item").alias("items"))
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_WINDOWS else df
-
-
 def prefixes(found: DataFrame, docs: DataFrame) -> tuple[DataFrame, int]:
     """(word, off, window, items): each window under its rarest word in ``docs``; and their number."""
     vocabulary = materialize(found.select(F.explode("window").alias("word")).distinct(), "vocabulary")
-    said = docs.select(F.explode(words(F.col("text"))).alias("word"))
-    counted = said.join(_bounded(vocabulary, vocabulary.count()), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    said, n = docs.select(F.explode(words(F.col("text"))).alias("word")), vocabulary.count()
+    if n <= BROADCAST_WINDOWS:
+        counted = said.join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    else:  # counting combines before the shuffle, so that no common word is hot in a join
+        counted = said.groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(vocabulary, "word", "left_semi")
     ranked = materialize(vocabulary.join(counted, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n")), "rarity")
     key = F.sha2(F.concat_ws(" ", "window"), 256)
     spread = found.select(key.alias("key"), "window", "items", F.posexplode("window").alias("off", "word"))
@@ -66,34 +69,14 @@ def prefixes(found: DataFrame, docs: DataFrame) -> tuple[DataFrame, int]:
         .agg(F.min(F.struct("n", "word", "off")).alias("least"))
         .select("key", "least.word", "least.off")
     )
-    out = materialize(found.select(key.alias("key"), "window", "items").join(rarest, "key").drop("key"), "prefixes")
+    out = materialize(found.select(key.alias("key"), "window", "items").join(rarest, "key"), "prefixes")
     return out, out.count()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_words, n_hit, items, ``digest`` of the row's text, for every document."""
-    found = materialize(windows(benchmark, width), "windows")
-    by_word, n = prefixes(found, docs)
-    own = docs.sparkSession.range(1).select(F.lit(DOCUMENT).alias("word"), F.lit(0).alias("off"), F.array().cast("array<string>").alias("window"), F.array().cast("array<string>").alias("items"))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("digest"), words(F.col("text")).alias("w"))
-    said = rows.select("doc_id", "digest", "w", F.posexplode(F.concat("w", F.array(F.lit(DOCUMENT)))).alias("pos", "word"))
-    start = F.col("pos") - F.col("off")
-    size = F.size("window")
-    fits = (start >= 0) & (start + size <= F.size("w"))
-    same = F.slice("w", F.when(fits, start + 1).otherwise(1), size) == F.col("window")
-    hits = (
-        said.join(_bounded(by_word.unionByName(own), n), "word")
-        .where((F.col("word") == DOCUMENT) | (fits & same))
-        .select("doc_id", "digest", F.when(F.col("word") == DOCUMENT, F.size("w")).alias("n_words"), F.when(F.col("word") != DOCUMENT, F.struct(start.alias("s"), (start + size).alias("e"))).alias("span"), "items")
-    )
-    whole = hits.groupBy("doc_id", "digest").agg(
-        F.max("n_words").cast("bigint").alias("n_words"),
-        F.count("n_words").alias("copies"),
-        F.array_sort(F.collect_set("span")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-    )
-    covered = F.aggregate(
-        "spans",
+def _covered(spans: str) -> Column:
+    """How many words the sorted spans cover together."""
+    return F.aggregate(
+        spans,
         F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("end")),
         lambda a, x: F.struct(
             (a["n"] + F.greatest(F.lit(0).cast("bigint"), x["e"] - F.greatest(x["s"].cast("bigint"), a["end"]))).alias("n"),
@@ -101,7 +84,52 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
         ),
         lambda a: a["n"],
     )
-    out = whole.select("doc_id", "digest", "n_words", covered.alias("n_hit"), "items", "copies")
+
+
+def _gathered() -> list[Column]:
+    return [F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")]
+
+
+def _broadcast_way(rows: DataFrame, by_word: DataFrame) -> DataFrame:
+    """doc_id, digest, n_words, copies, spans, items: windows go to the documents."""
+    own = rows.sparkSession.range(1).select(F.lit(DOCUMENT).alias("word"), F.lit(0).alias("off"), F.array().cast("array<string>").alias("window"), F.array().cast("array<string>").alias("items"))
+    said = rows.select("doc_id", "digest", "w", F.posexplode(F.concat("w", F.array(F.lit(DOCUMENT)))).alias("pos", "word"))
+    start, size = F.col("pos") - F.col("off"), F.size("window")
+    fits = (start >= 0) & (start + size <= F.size("w"))
+    same = F.slice("w", F.when(fits, start + 1).otherwise(1), size) == F.col("window")
+    is_document = F.col("word") == DOCUMENT
+    hits = (
+        said.join(F.broadcast(by_word.drop("key").unionByName(own)), "word")
+        .where(is_document | (fits & same))
+        .select("doc_id", "digest", F.when(is_document, F.size("w")).alias("n_words"), F.when(~is_document, F.struct(start.alias("s"), (start + size).alias("e"))).alias("span"), "items")
+    )
+    return hits.groupBy("doc_id", "digest").agg(F.max("n_words").cast("bigint").alias("n_words"), F.count("n_words").alias("copies"), *_gathered())
+
+
+def _shuffled_way(rows: DataFrame, by_word: DataFrame) -> DataFrame:
+    """The same by joins of narrow rows: no document's words are carried from place to place."""
+    name = ["digest", "digest2"]
+    named = rows.withColumn("digest2", F.xxhash64(F.lit("another seed"), "doc_id", "w"))
+    whole = named.groupBy(*name).agg(F.first("doc_id").alias("doc_id"), F.max(F.size("w")).cast("bigint").alias("n_words"), F.count(F.lit(1)).alias("copies"))
+    said = named.select(*name, F.size("w").alias("n"), "w").select(*name, "n", F.posexplode("w").alias("pos", "word"))
+    start = F.col("pos") - F.col("off")
+    likely = said.join(by_word.select("word", "off", "key", F.size("window").alias("size")), "word").where((start >= 0) & (start + F.col("size") <= F.col("n")))
+    asked = likely.select(*name, start.alias("s"), "size", "key").distinct().groupBy(*name).agg(F.collect_list(F.struct("s", "size", "key")).alias("asked"))
+    there = named.dropDuplicates(name).join(asked, name).select(*name, "w", F.explode("asked").alias("x"))
+    there = there.select(*name, "x.s", "x.size", "x.key", F.slice("w", F.col("x.s") + 1, F.col("x.size")).alias("run"))
+    hits = there.join(by_word.select("key", "window", "items"), "key").where(F.col("run") == F.col("window"))
+    hits = hits.select(*name, F.struct("s", (F.col("s") + F.col("size")).alias("e")).alias("span"), "items").groupBy(*name).agg(*_gathered())
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return whole.join(hits, name, "left").select("doc_id", "digest", "n_words", "copies", none("spans", "array<struct<s:int,e:int>>"), none("items", "array<string>"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, n_words, n_hit, items, ``digest`` of the row's text, for every document."""
+    found = materialize(windows(benchmark, width), "windows")
+    by_word, n = prefixes(found, docs)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("digest"), words(F.col("text")).alias("w"))
+    whole = (_broadcast_way if n <= BROADCAST_WINDOWS else _shuffled_way)(rows, by_word)
+    out = whole.select("doc_id", "digest", "n_words", _covered("spans").alias("n_hit"), "items", "copies")
     return out.select("doc_id", "digest", "n_words", "n_hit", "items", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy")).drop("copy")
 
 
