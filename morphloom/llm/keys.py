@@ -1,12 +1,26 @@
-"""Join keys that make the planner deal both sides anew."""
+"""Join keys that make the planner deal both sides anew, and joins whose hot keys are told apart."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: At most this many keys can each hold more than this part of all rows: a proven bound to broadcast.
+HOT_KEYS = 1000
+
 
 def fresh_key(key: str) -> Column:
     """The same long key as a computed column: its rows count as dealt by nothing, so that a join
     deals both of its sides anew and adaptive execution can split hot keys."""
     return F.col(key).bitwiseXOR(F.lit(0).cast("bigint")).alias(key)
+
+
+def join_counted(rows: DataFrame, side: DataFrame, on: str, total: int) -> DataFrame:
+    """``rows`` joined with a table of unique keys whose column ``n`` counts the rows of each key.
+
+    A key of more than a thousandth of all ``total`` rows meets them where they are, by a
+    broadcast of such keys alone (there cannot be more than ``HOT_KEYS``); all others are dealt.
+    """
+    hot = F.broadcast(side.where(F.col("n") > total / HOT_KEYS).drop("n"))
+    rest = rows.join(hot.select(on), on, "left_anti").join(side.where(F.col("n") <= total / HOT_KEYS).drop("n"), on)
+    return rows.join(hot, on).unionByName(rest)

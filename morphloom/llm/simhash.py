@@ -1,36 +1,40 @@
 """SimHash near-duplicates: fingerprints linked within a Hamming radius by BK-trees.
 
-Fingerprints are cut into ``radius + 2`` blocks; two within the radius agree on all but
-``radius`` of them, so each fingerprint is routed to one shard for every choice of blocks kept
-(the shard's key: the choice and those bits). A shard's distinct fingerprints form a BK-tree,
-children keyed by their integer Hamming distance to the parent; all members query it together,
-following only edges within the radius of their own distance to the node. A shard too large for
-one tree is split into pages, and each pair of pages is one unit of work, so that no task holds
-an unbounded group. A unit returns only a spanning forest of its links. Components come from
-large-star/small-star rounds over those links.
+Fingerprints are cut into ``radius + 1`` blocks of bits. Two within the radius agree on one block
+at least, so each fingerprint goes to one shard for each block, named by as many bits of the block
+as leave some ``PAGE`` fingerprints in a shard. A shard's distinct fingerprints form a BK-tree,
+children keyed by their integer Hamming distance to the parent; all members ask it together,
+following only edges within the radius of their own distance to the node. A shard of many pages
+is cut again by the whole block and by blocks of the other bits; what is still larger than a page
+is split into pages, each pair of pages one unit of work: the tree of one page, asked by the other.
+No task holds an unbounded group. Trees are not broadcast, since all together they have no bound;
+fingerprints travel to their shards instead. A unit returns only a spanning forest of its links.
+Components come from large-star/small-star rounds over those links.
 
 Edge cases: null or empty texts and texts of blanks have fingerprint zero and are linked like
 any other; repeated rows and ties share a fingerprint and so a component; an empty table gives
-no row; rows with a null ``doc_id`` are kept and are named only if no other row is reachable.
+no row; rows with a null ``doc_id`` are kept and are named only if no other row is reachable; other
+columns are not looked at. A long text's words and hashes are lists of one text at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from morphloom.llm import bpe
-from morphloom.llm.keys import fresh_key
+from morphloom.llm.keys import fresh_key, join_counted
 from morphloom.operators.components import connected_components
 from morphloom.storage import Held, materialize
 
 SEED = 42
-PAGE = 512
+PAGE = 4096
+#: Pages of a shard beyond which it is cut by more bits first.
+MANY_PAGES = 4
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -100,10 +104,11 @@ class BkTree:
                     todo.append((child, on))
 
 
-def _forest(left: np.ndarray, right: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that connect what the radius connects among left and right, as few as that takes."""
-    values = np.unique(np.concatenate([left, right]))
-    root = list(range(len(values)))
+def _forest(tree: np.ndarray, asked: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links that connect what the radius connects between a tree's values and those asked, as few as that takes."""
+    tree, asked = np.unique(tree), np.unique(asked)
+    root = {v: v for v in np.union1d(tree, asked).view(np.int64).tolist()}
+    nodes, askers = tree.view(np.int64).tolist(), asked.view(np.int64).tolist()
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -112,38 +117,55 @@ def _forest(left: np.ndarray, right: np.ndarray, radius: int) -> list[tuple[int,
         return x
 
     links = []
-    for near, node in BkTree(values).pairs(values, radius):
-        b = find(node)
+    for near, node in BkTree(tree).pairs(asked, radius):
+        b = find(nodes[node])
         for k in near.tolist():
-            if (a := find(k)) != b:
-                links.append((k, node))
+            if (a := find(askers[k])) != b:
+                links.append((askers[k], nodes[node]))
                 root[a] = b
-    signed = values.view(np.int64)
-    return [(int(signed[a]), int(signed[b])) for a, b in links]
+    return links
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _cut(bits: list[int], parts: int) -> list[list[int]]:
+    edge = [round(len(bits) * i / parts) for i in range(parts + 1)]
+    return [bits[a:b] for a, b in zip(edge, edge[1:])]
+
+
+def _masked(choices: list[list[int]]) -> Column:
+    """An array of (choice, the fingerprint's bits of it)."""
+    return F.array(*(F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << x for x in c)))).alias("bits")) for i, c in enumerate(choices)))
 
 
 def near_links(distinct: DataFrame, radius: int = 2, page: int = PAGE) -> DataFrame:
     """(a, b): links among distinct fingerprints ``fp`` that join all pairs within the radius."""
-    blocks = radius + 2
-    edge = [round(64 * i / blocks) for i in range(blocks + 1)]
-    masks = []
-    for keep in combinations(range(blocks), blocks - radius):
-        mask = sum(((1 << (edge[i + 1] - edge[i])) - 1) << edge[i] for i in keep)
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    choice = F.explode(F.array(*(F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks))))
-    routed = distinct.select("fp", choice.alias("c")).select("fp", "c.choice", "c.bits")
-    sizes = routed.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sizes = sizes.withColumn("pages", F.ceil(F.col("n") / F.lit(page)).cast("int"))
+    blocks = _cut(list(range(64)), radius + 1)
+    wide = min(len(blocks[0]), (distinct.count() // page).bit_length())
+    first = [b[:wide] for b in blocks] if wide else [[]]
+    routed = distinct.select("fp", F.explode(_masked(first)).alias("c")).select("fp", F.xxhash64("c.choice", "c.bits").alias("shard"), "c.choice")
+    counted = lambda rows: rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(fresh_key("shard"), "n")
+    sized = routed.join(counted(routed), "shard")
+    # fingerprints that agree on a whole block differ by the radius in the other bits: they agree on a block of those
+    finer = F.lit(None)
+    for i, b in enumerate(blocks):
+        others = _cut([x for x in range(64) if x not in b], radius + 1)
+        finer = F.when(F.col("choice") == i, _masked([b + o for o in others])).otherwise(finer)
+    large, sized = sized.where(F.col("n") > MANY_PAGES * page), sized.where(F.col("n") <= MANY_PAGES * page)
+    again = large.select("fp", "choice", F.explode(finer).alias("c")).select("fp", F.xxhash64("choice", "c.choice", "c.bits").alias("shard"))
+    placed = sized.select("fp", "shard", "n").unionByName(again.join(counted(again), "shard").select("fp", "shard", "n"))
     # a row goes to the units of its page with every page: one unit where all fit a page
+    placed = placed.withColumn("pages", F.ceil(F.col("n") / F.lit(page)).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("pages").cast("bigint")).cast("int")
     units = F.transform(F.sequence(F.lit(0), F.col("pages") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
-    work = routed.join(sizes, ["choice", "bits"]).withColumn("own", own).select("fp", "choice", "bits", F.explode(units).alias("u"))
-    unit = F.xxhash64("choice", "bits", "u.i", "u.j")
-    work = work.select("fp", unit.alias("unit"))
+    work = placed.withColumn("own", own).select("fp", "shard", "own", F.explode(units).alias("u"))
+    work = work.select("fp", F.xxhash64("shard", "u.i", "u.j").alias("unit"), (F.col("own") == F.col("u.i")).alias("tree"), (F.col("own") == F.col("u.j")).alias("asks"))
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         values = t.column("fp").to_numpy().view(np.uint64)
-        links = _forest(values, values[:0], radius)
+        links = _forest(values[t.column("tree").to_numpy()], values[t.column("asks").to_numpy()], radius)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return work.groupBy("unit").applyInArrow(run, "a bigint, b bigint")
@@ -154,11 +176,13 @@ def near_components(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
     hold = Held()
     try:
         marked = hold(fingerprints(docs, width))
-        distinct = hold(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-        linked = connected_components(materialize(near_links(distinct, radius), "links")).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+        distinct = hold(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
+        linked = connected_components(materialize(near_links(distinct.select("fp"), radius), "links")).select(F.col("node").alias("fp"), F.col("component").alias("root"))
         named = linked.join(distinct, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
         of = linked.join(named, "root").select("fp", "component_id")
-        of = distinct.join(of, "fp", "left").select(fresh_key("fp"), F.coalesce("component_id", "first").alias("component_id"))
-        return materialize(marked.join(of, "fp").select("doc_id", "fp", "component_id"), "components")
+        of = distinct.join(of, "fp", "left").select(fresh_key("fp"), F.coalesce("component_id", "first").alias("component_id"), "n")
+        total = distinct.agg(F.sum("n")).first()[0] or 0
+        found = join_counted(marked, materialize(of, "named"), "fp", total)
+        return materialize(found.select("doc_id", "fp", "component_id"), "components")
     finally:
         hold.release()
