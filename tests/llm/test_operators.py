@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -126,31 +127,105 @@ def test_orc_prunes_by_document(spark):
     assert np.array(raw, "<u4").tobytes() == bpe.load(vocabulary()).plain("text 17") + (2).to_bytes(4, "little")
 
 
-def test_mtree_skips_and_is_exact():
+def one_each(n):
+    return [np.array([i]) for i in range(n)]
+
+
+def best_of(x, q, k):
+    scores = [int(sum(int(a) * int(b) for a, b in zip(v, q))) for v in x]
+    return sorted(((s, i) for i, s in enumerate(scores)), key=lambda t: (-t[0], t[1]))[:k]
+
+
+def test_mtree_is_exact():
     rng = np.random.default_rng(4)
-    x = np.unique(rng.integers(-300, 300, (3000, 6)), axis=0)
-    tree, ids = mtree.MTree(x), [np.array([i]) for i in range(len(x))]
-    asked = x[::200]
-    for q, found in zip(asked, tree.search(asked.astype(float), 5, ids, np.full(len(asked), -1))):
-        scores = x @ q
-        want = sorted(range(len(x)), key=lambda i: (-scores[i], i))[:5]
-        assert [v for _, v in found] == want
-    flat = mtree.MTree(np.ones((1, 3), int))
-    assert flat.search(np.ones((1, 3)), 5, [np.array([3, 9])], np.array([3])) == [[(3, 9)]]
+    x = np.unique(rng.integers(-300, 300, (3000, 6)), axis=0).astype(float)
+    tree, asked = mtree.MTree(mtree.build(x, one_each(len(x)))), x[::200]
+    for q, found in zip(asked, tree.search(asked, 5, np.full(len(asked), -1))):
+        assert found == best_of(x, q, 5)
+    flat = mtree.MTree(mtree.build(np.ones((1, 3)), [np.array([3, 9])]))
+    assert flat.search(np.ones((1, 3)), 5, np.array([3])) == [[(3, 9)]]
+
+
+def test_mtree_skips_what_its_bounds_rule_out():
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(40, 16)) * 800
+    x = np.unique(np.floor(centres[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 16)) * 40), axis=0)
+    pages = mtree.build(x, one_each(len(x)))
+    asked = x[::50]
+    for block in (1, 64):
+        tree = mtree.MTree(pages)
+        found = [f for i in range(0, len(asked), block) for f in tree.search(asked[i : i + block], 5, np.full(len(asked[i : i + block]), -1))]
+        assert tree.work["distances"] + tree.work["scores"] < 0.25 * len(asked) * len(x)
+        assert block > 1 or len(tree._open) <= len(pages)
+        products = asked @ x.T
+        for q, best in enumerate(found):
+            assert [v for _, v in best] == np.lexsort((np.arange(len(x)), -products[q]))[:5].tolist()
+    one = mtree.MTree(pages)
+    one.search(asked[:1], 5, np.array([-1]))
+    assert len(one._open) < 0.5 * len(pages)  # pages that no bound admits are never decoded
 
 
 def test_mtree_scores_beyond_doubles():
     rng = np.random.default_rng(6)
-    x = np.unique(rng.integers(-(1 << 28), 1 << 28, (300, 4)), axis=0)
-    found = mtree.MTree(x).search(x[:20].astype(float), 3, [np.array([i]) for i in range(len(x))], np.full(20, -1))
+    x = np.unique(rng.integers(-(1 << 28), 1 << 28, (300, 4)), axis=0).astype(float)
+    found = mtree.MTree(mtree.build(x, one_each(len(x)))).search(x[:20], 3, np.full(20, -1))
     for q, best in zip(x, found):
-        assert best == sorted(((int(q @ v), i) for i, v in enumerate(x)), key=lambda t: (-t[0], t[1]))[:3]
+        assert best == best_of(x, q, 3)
+
+
+def test_every_finite_vector_takes_part(spark):
+    rows = [(0, [1.5e6, 0.0]), (1, [2e6, 1.0]), (2, [3e7, -1.0]), (3, [0.0, 5.0]), (3, [0.0, 5.0]), (4, [0.25, 0.0]), (5, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, mtree.top_k(df, df.where("vec_id = 0"), 4).collect()))
+    unit = 256 * 1_500_000
+    assert got == [(0, 1, 2, unit * 256 * 30_000_000), (0, 2, 1, unit * 256 * 2_000_000), (0, 3, 4, unit * 64), (0, 4, 3, 0)]
+    huge = spark.createDataFrame([(0, [3e38]), (1, [3e38])], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="OverflowError|too large|too big"):
+        mtree.top_k(huge, huge, 1).collect()
+
+
+def test_corpus_order_finds_equal_windows():
+    rng = random.Random(1)
+    for _ in range(40):
+        length, letters = rng.choice([20, 30]), rng.choice([b"ab", b"abcdef "])
+        base = [bytes(rng.choice(letters) for _ in range(rng.randint(length, 3 * length))) for _ in range(3)]
+        pieces, trigger, counts = [], [], []
+        for _ in range(12):
+            text = b""
+            for _ in range(rng.randint(1, 4)):
+                part, i = rng.choice(base), rng.randrange(length)
+                text += part[i : i + rng.randint(1, 2 * length)] + bytes(rng.choice(letters) for _ in range(rng.randint(0, 5)))
+            if len(text) >= length:
+                for _, _, at, shape in repeats.blocks(text, length, 8):
+                    pieces.append(text[at : at + (shape & 255) + length - 1])
+                    trigger.append(shape >> 8)
+                    counts.append(shape & 255)
+        windows = [p[i : i + length] for p, n in zip(pieces, counts) for i in range(n)]
+        want = [windows.count(w) > 1 for w in windows]
+        assert repeats.repeated_starts(pieces, np.array(trigger), np.array(counts), length).tolist() == want
+
+
+@pytest.mark.parametrize("most", [4096, 2, 0])
+def test_large_groups_are_cut_finer(spark, monkeypatch, most):
+    monkeypatch.setattr(repeats, "SORTED", most)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    line = " ".join(word() for _ in range(40))
+    docs = [(i, " ".join([word() for _ in range(rng.randint(0, 30))] + [line[rng.randint(0, 40) : rng.randint(190, 239)]] + [word() for _ in range(rng.randint(0, 30))])) for i in range(60)]
+    got = {r.doc_id: r.n_removed for r in repeats.removal_digests(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    seen = Counter(t[i : i + 200] for _, t in docs for i in range(len(t) - 199))
+    for i, t in docs:
+        gone = bytearray(len(t))
+        for at in range(len(t) - 199):
+            if seen[t[at : at + 200]] > 1:
+                gone[at : at + 200] = b"\1" * 200
+        assert got[i] == sum(gone)
 
 
 def test_segments_do_not_change_repeats(monkeypatch):
     rng = random.Random(1)
     data = bytes(rng.choice(b"abcdef ") for _ in range(3000))
-    starts = lambda rows: sorted((at + i) for _, _, at, n in rows for i in range(n))
+    starts = lambda rows: sorted((at + i) for _, _, at, shape in rows for i in range(shape & 255))
     whole = list(repeats.blocks(data, 200, 96))
     monkeypatch.setattr(repeats, "SEGMENT", 700)
     parts = list(repeats.blocks(data, 200, 96))
@@ -194,6 +269,20 @@ def test_similar_groups_against_brute_force(spark, page):
     assert similar.similar_groups(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page", [4096, 16, 3])
+def test_links_do_not_depend_on_pages(spark, page):
+    rng = random.Random(page)
+    values = [rng.getrandbits(64) for _ in range(150)]
+    values += [v ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 4))) for v in values for _ in range(rng.choice([0, 0, 1, 3]))]
+    # a family that shares most bits, so that some shards are cut again
+    values += [values[0] ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 3))) for _ in range(120)]
+    signed = np.array(sorted(set(values)), np.uint64).view(np.int64).tolist()
+    links = simhash.near_links(spark.createDataFrame([(v,) for v in signed], "fp long").repartition(3), page=page).collect()
+    assert all(bin((r.a ^ r.b) & (1 << 64) - 1).count("1") <= 2 for r in links)
+    near = {(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 2}
+    assert groups_of({(min(r.a, r.b), max(r.a, r.b)) for r in links}) == groups_of(near)
+
+
 def similar_pairs(docs):
     own = [(i, set(similar.shingles(t).tolist())) for i, t in docs]
     return {(min(i, j), max(i, j)) for a, (i, x) in enumerate(own) for j, y in own[:a] if len(x & y) >= 0.8 * len(x | y)}

@@ -86,6 +86,18 @@ def test_sql_twins(spark, sf):
         assert Counter(map(tuple, got.collect())) == Counter(want), name
 
 
+def test_decontamination_by_shuffles(spark, sf, monkeypatch):
+    from morphloom.llm import decontaminate
+
+    want = Counter(map(tuple, Q.op4_prefix_decontamination(spark, sf).collect()))
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    got = Q.op4_prefix_decontamination(spark, sf)
+    assert Counter(map(tuple, got.collect())) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    shuffled = [line for line in plan.splitlines() if "posexplode" in line and "Generate" in line]
+    assert shuffled and not any(", w#" in line.partition("posexplode(")[2].partition("], false")[0] for line in shuffled)
+
+
 def test_op1(spark, sf):
     got = Q.op1_hyperdimensional_langid(spark, sf).collect()
     texts = defaultdict(list)
