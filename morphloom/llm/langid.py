@@ -1,17 +1,19 @@
 """Language identification by hyperdimensional profiles.
 
-Each letter has a random bipolar vector; the vector of a trigram binds (multiplies) its letters'
-vectors, permuted by place: rho(rho(a)) * rho(b) * c. Signs are kept as bits, so that binding is
-an exclusive or. A document's vector bundles (adds) those of
-all its trigrams over the whole text; a language's prototype bundles the unit vectors of its
-training documents. The prediction is the prototype with the largest cosine.
+Each letter, of whatever script, has a random bipolar vector of its own, drawn by its code point; so
+has the blank. The vector of a trigram binds (multiplies) its letters' vectors, permuted by place:
+rho(rho(a)) * rho(b) * c. Signs are kept as packed bits, so that binding is an exclusive or. A
+document's vector bundles (adds) those of all its trigrams over the whole text; a language's
+prototype bundles the unit vectors of its training documents. The prediction is the prototype
+with the largest cosine.
 
 Training reads a bounded sample: ``PER_LANGUAGE`` hash buckets of doc ids, and in each bucket
 and language the labelled document with the smallest hash. Every language present is learnt.
 
 Edge cases: null text, or text without a letter, is ``und`` with score 0; ties go to the first
 language in alphabetical order; without training rows every text is ``und``; repeated rows are
-all returned; letters of any script count, case folded.
+all returned; letters of any script count, case folded; a long text is bundled a million characters
+at a time; columns of the names that are added replace a table's own.
 """
 
 from __future__ import annotations
@@ -28,49 +30,72 @@ from morphloom.llm import bpe
 from morphloom.storage import materialize
 
 DIMENSIONS = 1024
-SYMBOLS = 64
+SEGMENT = 1 << 20
 PER_LANGUAGE = 512
 BROADCAST_ROWS = 200_000
 UNDETERMINED = "und"
 
 
-def _symbol_table() -> np.ndarray:
-    """Code point -> symbol: 0 for what is no letter, a-z, then the other letters by a hash."""
-    out = np.zeros(0x110000, np.uint8)
+def _letters() -> np.ndarray:
+    """Code point -> code point of the letter in lower case; 0 for what is no letter."""
+    out = np.zeros(0x110000, np.int64)
     for cp in range(0x110000):
         c = chr(cp)
         if c.isalpha():
-            low = ord(c.lower()[0])
-            out[cp] = low - 96 if 97 <= low <= 122 else 27 + (low * 2654435761 >> 12) % (SYMBOLS - 27)
+            out[cp] = ord(c.lower()[0])
     return out
 
 
 class Space:
-    """The random vectors, equal in every process."""
+    """The random vectors, equal in every process; a letter's are drawn when it is first met."""
 
     def __init__(self, dimensions: int = DIMENSIONS, seed: int = 7):
-        rng = np.random.default_rng(seed)
-        self.letters = rng.integers(0, 2, (SYMBOLS, dimensions), np.uint8)
-        rho = rng.permutation(dimensions)
-        once = self.letters[:, rho]
-        pairs = (once[:, rho][:, None, :] ^ once[None, :, :]).reshape(SYMBOLS * SYMBOLS, dimensions)
-        self.pairs = np.ascontiguousarray(pairs)  # rows are gathered: each has to lie in one piece
-        self.table = _symbol_table()
+        self.dimensions, self.seed = dimensions, seed
+        self.rho = np.random.default_rng(seed).permutation(dimensions)
+        self.table = _letters()
+        self.row = np.full(0x110000, -1, np.int32)  # code point -> row of its vectors
+        self.places = np.empty((3, 64, dimensions // 8), np.uint8)  # rho(rho(a)), rho(b), c
+        self.known = 0
+
+    def vector(self, letter: int) -> np.ndarray:
+        """The signs of a letter as bits, 1 for minus."""
+        return np.random.default_rng([self.seed, letter]).integers(0, 2, self.dimensions, np.uint8)
+
+    def _rows(self, letters: np.ndarray) -> np.ndarray:
+        for x in np.unique(letters[self.row[letters] < 0]).tolist():
+            if self.known == self.places.shape[1]:
+                self.places = np.concatenate([self.places, np.empty_like(self.places)], 1)
+            v = self.vector(x)
+            self.places[:, self.known] = [np.packbits(p) for p in (v[self.rho][self.rho], v[self.rho], v)]
+            self.row[x], self.known = self.known, self.known + 1
+        return self.row[letters]
+
+    def _trigrams(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Distinct trigrams and how often each occurs, a segment of the text at a time."""
+        tail = np.zeros(1, np.int64)
+        for i in range(0, len(text), SEGMENT):
+            part = self.table[np.frombuffer(text[i : i + SEGMENT].encode("utf-32-le", "surrogatepass"), np.uint32)]
+            s = np.concatenate([tail, part, np.zeros(int(i + SEGMENT >= len(text)), np.int64)])
+            s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]  # blanks between words count once
+            if len(s) > 2:
+                yield np.unique(s[:-2] << 42 | s[1:-1] << 21 | s[2:], return_counts=True)
+            tail = s[-2:]
 
     def bundle(self, text: str | None) -> np.ndarray | None:
         """The unit vector of a whole text; None if it has no letter."""
-        if not text:
+        out, total, one = np.zeros(self.dimensions), 0, (1 << 21) - 1
+        for codes, counts in self._trigrams(text or ""):
+            first, second, third = (self.places[i, r] for i, r in enumerate([self._rows(codes >> 42), self._rows(codes >> 21 & one), self._rows(codes & one)]))
+            for at in range(0, len(codes), 4096):
+                some = slice(at, at + 4096)
+                bound = np.unpackbits(first[some] ^ second[some] ^ third[some], axis=1)
+                out -= 2 * (counts[some].astype(np.float32) @ bound.astype(np.float32))
+            total += int(counts.sum())
+        if not total:
             return None
-        s = self.table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        if not s.any():
-            return None
-        s = np.concatenate([[0], s, [0]]).astype(np.int32)
-        s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]  # blanks between words count once
-        codes, counts = np.unique(s[:-2] << 12 | s[1:-1] << 6 | s[2:], return_counts=True)
-        bound = self.pairs[codes >> 6] ^ self.letters[codes & 63]
-        out = np.float32(counts.sum()) - 2 * (counts.astype(np.float32) @ bound.astype(np.float32))
+        out += total
         norm = float(np.sqrt(out @ out))
-        return out / norm if norm else out
+        return (out / norm if norm else out).astype(np.float32)
 
 
 _SPACE: list[Space] = []
