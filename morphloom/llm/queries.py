@@ -64,8 +64,11 @@ def op7_chat_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path, min_bytes=0)
-    found = warc.read_warc(spark, path, payloads=False).where("record_type IS NOT NULL")
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = warc.read_warc(spark, path, payloads=False)
+    # nothing of what was just written may be lost or damaged
+    lost = F.raise_error(F.concat_ws(" ", F.lit("a gap in"), "path", F.lit("at"), "offset", F.lit(":"), "reason")).cast("bigint")
+    sound = F.when(F.col("record_type").isNull() | F.col("reason").isNotNull(), lost).otherwise(F.col("page_id")).alias("page_id")
+    return found.select(sound, "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:

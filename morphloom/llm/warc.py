@@ -1,17 +1,24 @@
 """WARC archives of pages, written by Spark's text sink and read by a salvage reader.
 
-``write_warc`` makes one gzip member for each record. Members are zero-padded apart by the text
-sink's separator (gzip allows zeros after a member), so the files go through Spark's committer
-to any file system. Of records with equal payloads (by digest, of at least ``min_bytes``), the
-one with the largest ``page_id`` is the response and the others revisit it.
+``write_warc`` makes one gzip member for each record. Members are gathered in chunks of bounded
+bytes, zero-padded apart by the text sink's separator (gzip allows zeros after a member), so the
+files go through Spark's committer to any file system and have bounded size. Of records with
+equal payloads (by digest, of at least ``min_bytes``), the one with the largest ``page_id`` is
+the response and the others revisit it. Who revisits whom is found on ids and digests alone;
+payloads are dealt once, by (digest, id), so that no common payload is hot.
 
 ``salvage`` reads archives with compressed and plain records. After a failed check (gzip CRC,
 version line, lengths, digests) it searches for the next gzip member or version line that holds
-a valid record, goes on there, and reports the bytes in between as a quarantined gap.
+a valid record, goes on there, and reports the bytes in between as a quarantined gap. Inside a
+member the same search goes over the inflated bytes, also over those before a gzip error. The
+search is one scan forward: a candidate is given up at its first bad line or length.
 
 Edge cases: a null html is an empty payload; rows that tie at the largest ``page_id`` are all
-responses; a payload group whose ids are all null has only responses; a null url has no target;
-an empty table gives an empty archive.
+responses, the first of them being the one that revisits name; record ids are unique, equal rows
+are numbered; a payload group whose ids are all null has only responses; a null url has no
+target; other columns are not looked at; an empty table gives an empty archive. One payload is
+in memory at a time with its compressed form; a file is read as one row, so archives from
+elsewhere must be under 2 GB each.
 """
 
 from __future__ import annotations
@@ -27,7 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RECORDS_PER_FILE = 1000
+from morphloom.llm.keys import join_counted
+from morphloom.storage import materialize
+
+#: Compressed bytes of a chunk of members, and chunks of a file; one longer record is a chunk of its own.
+CHUNK_BYTES, CHUNKS_PER_FILE = 8 << 20, 8
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MEMBER, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
 
@@ -36,16 +47,22 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def urn(page_id: int | None, digest: str, copy: int = 0) -> str:
+    """A record's id: its page, its payload, and which of equal rows it is."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{digest}:{copy}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, copy: int = 0) -> bytes:
     """One WARC/1.1 record; a revisit has the payload's HTTP header only."""
+    digest = base32_sha1(payload)
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = head + payload if refers_to is None else head
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {urn(page_id, digest, copy)}"]
     if url is not None:
         lines.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
-    lines += ["WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}", f"WARC-Block-Digest: sha1:{base32_sha1(block)}"]
+    lines += ["WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{base32_sha1(block)}"]
     if refers_to is not None:
-        lines += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {urn(refers_to, digest)}"]
     lines.append(f"Content-Length: {len(block)}")
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -55,21 +72,45 @@ def member(data: bytes, level: int = 6) -> bytes:
     return squeeze.compress(data) + squeeze.flush()
 
 
-def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE) -> None:
+def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES) -> None:
     """Write ``pages`` (page_id, url, html) as gzipped WARC files."""
     rows = pages.select(F.col("page_id").cast("bigint"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    large = F.octet_length("html") >= F.lit(min_bytes)
-    keys = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "kept")
-    refers = F.when(large & (F.col("page_id").isNull() | (F.col("page_id") < F.col("kept"))), F.col("kept"))
-    rows = rows.join(keys, "digest", "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    narrow = materialize(rows.where(F.octet_length("html") >= F.lit(min_bytes)).select("page_id", "digest"), "payloads")
+    keys = narrow.groupBy("digest").agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    older = join_counted(narrow, materialize(keys, "copies"), "digest", narrow.count()).where("page_id IS NULL OR page_id < kept").distinct()
+    # what a row refers to comes first, then the rows of that id and digest, each with its payload
+    none = lambda kind: F.lit(None).cast(kind)
+    named = older.select("digest", "page_id", F.lit(0).alias("kind"), none("string").alias("url"), none("string").alias("html"), "kept")
+    given = rows.select("digest", "page_id", F.lit(1).alias("kind"), "url", "html", none("bigint").alias("kept"))
+    met = named.unionByName(given).repartition("digest", "page_id").sortWithinPartitions("digest", "page_id", "kind", "url")
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        at, refers, copy = None, None, 0
+        for b in batches:
+            keys = zip(*(b.column(c).to_pylist() for c in ("digest", "page_id", "kind", "url", "kept")))
+            for (digest, page, kind, url, kept), html in zip(keys, b.column("html")):
+                if (digest, page) != at:
+                    at, refers, copy = (digest, page), None, 0
+                if kind == 0:
+                    refers = kept
+                    continue
+                yield member(record(page, url, html.as_py().encode("utf-8", "surrogatepass"), refers, copy))
+                copy += 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [member(record(i, u, h.encode("utf-8", "surrogatepass"), r)) for i, u, h, r in zip(*(c.to_pylist() for c in b.columns))]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["value"])
+        held: list[bytes] = []
+        size = 0
+        for one in members(batches):
+            if held and size + len(one) > chunk_bytes:
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
+                held, size = [], 0
+            held.append(one)
+            size += len(one)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
 
-    made = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
-    made.write.option("maxRecordsPerFile", records_per_file).text(path, lineSep="\0")
+    made = met.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+    made.write.option("maxRecordsPerFile", CHUNKS_PER_FILE).text(path, lineSep="\0")
 
 
 @dataclass
@@ -91,21 +132,22 @@ def _plain(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and end of the record that starts at ``at``, if every check holds."""
     if not re.match(rb"WARC/1\.[01]\r\n", data[at : at + 10]):
         raise Damaged("no version line")
-    end = data.find(b"\r\n\r\n", at)
-    if end < 0:
-        raise Damaged("headers do not end")
-    headers = {}
-    for line in data[at:end].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
-        if not colon:
-            raise Damaged("a header has no colon")
+    headers, line_at = {}, at + 10
+    while True:  # line by line: what is no header ends the search at once
+        end = data.find(b"\r\n", line_at)
+        if end == line_at:
+            break
+        name, colon, value = data[line_at:end].partition(b":") if end > 0 else (b"", b"", b"")
+        if end < 0 or not colon:
+            raise Damaged("headers do not end" if end < 0 else "a header has no colon")
         headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "surrogatepass" if _valid(value) else "replace").strip()
+        line_at = end + 2
     if not re.fullmatch(r"\d{1,18}", headers.get("content-length", "")):
         raise Damaged("no content length")
-    start, size = end + 4, int(headers["content-length"])
-    block = data[start : start + size]
-    if len(block) < size or data[start + size : start + size + 4] != b"\r\n\r\n":
+    start, size = end + 2, int(headers["content-length"])
+    if data[start + size : start + size + 4] != b"\r\n\r\n":
         raise Damaged("the block is cut or its length is wrong")
+    block = data[start : start + size]
     digest = headers.get("warc-block-digest", "")
     if digest.startswith("sha1:") and digest[5:] != base32_sha1(block):
         raise Damaged("the block's digest differs")
@@ -120,50 +162,88 @@ def _valid(value: bytes) -> bool:
     return True
 
 
-def _records_at(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
-    """The records of the gzip member, or the plain record, at ``at``; and where it ends."""
-    if data[at : at + 3] != _MEMBER:
-        headers, block, end = _plain(data, at)
-        return [(headers, block)], end
+def _inflated(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """What the gzip member at ``at`` holds, where it ends, and what is wrong with it."""
     inflate, parts, end = zlib.decompressobj(31), [], at
     try:
         while not inflate.eof and end < len(data):
             parts.append(inflate.decompress(data[end : end + 65536]))
             end = min(end + 65536, len(data))
     except zlib.error as e:
-        raise Damaged(f"gzip: {e}") from None
-    if not inflate.eof:
-        raise Damaged("gzip: the member is cut")
-    whole = b"".join(parts)
-    inside, found = 0, []
-    while inside < len(whole):
-        headers, block, inside = _plain(whole, inside)
-        found.append((headers, block))
-    if not found:
-        raise Damaged("an empty member")
-    return found, end - len(inflate.unused_data)
+        return b"".join(parts), end, f"gzip: {e}"
+    return b"".join(parts), end - len(inflate.unused_data), None if inflate.eof else "gzip: the member is cut"
+
+
+class _Next:
+    """Where a pattern occurs next; each byte is searched once."""
+
+    def __init__(self, data: bytes, pattern: bytes):
+        self.data, self.pattern, self.at = data, pattern, -1
+
+    def after(self, at: int) -> int:
+        if self.at <= at:
+            found = self.data.find(self.pattern, at + 1)
+            self.at = found if found >= 0 else len(self.data)
+        return self.at
+
+
+def _plain_records(data: bytes) -> Iterator[Found]:
+    """Records and gaps of inflated bytes."""
+    at, gap, reason, version = 0, None, "", _Next(data, _VERSION)
+    while at < len(data):
+        try:
+            headers, block, end = _plain(data, at)
+        except Damaged as e:
+            if gap is None:
+                gap, reason = at, str(e)
+            at = version.after(at)
+            continue
+        if gap is not None:
+            yield Found(gap, at - gap, reason=reason)
+            gap = None
+        yield Found(at, end - at, headers, block)
+        at = end
+    if gap is not None:
+        yield Found(gap, len(data) - gap, reason=reason)
 
 
 def salvage(data: bytes) -> Iterator[Found]:
-    """Records and gaps of an archive, in order; together they cover all bytes but zero padding."""
+    """Records and gaps of an archive, in order; together they cover all bytes but zero padding.
+
+    Records of a member have the member's place. A gap inside a sound member is the member again,
+    with the reason; records saved from the front of a broken member have no length, and the gap
+    that follows covers the member.
+    """
     at, gap, reason = 0, None, ""
+    member_at, version_at = _Next(data, _MEMBER), _Next(data, _VERSION)
     while at < len(data):
         if data[at] == 0 and gap is None:
             at += 1
             continue
+        saved: list[Found] = []
         try:
-            found, end = _records_at(data, at)
+            if data[at : at + 3] != _MEMBER:
+                headers, block, end = _plain(data, at)
+                found = [Found(at, end - at, headers, block)]
+            else:
+                whole, end, wrong = _inflated(data, at)
+                found = [Found(at, end - at, f.headers, f.block, f.reason and f"inside a member, {f.length} bytes at {f.offset}: {f.reason}") for f in _plain_records(whole)]
+                if wrong or not any(f.headers for f in found):
+                    saved = [Found(at, 0, f.headers, f.block) for f in found if f.headers]
+                    raise Damaged(wrong or (found[0].reason if found else "an empty member"))
         except Damaged as e:
+            if saved and gap is not None:
+                yield Found(gap, at - gap, reason=reason)
+                gap = None
+            yield from saved
             if gap is None:
                 gap, reason = at, str(e)
-            nexts = [x for x in (data.find(_MEMBER, at + 1), data.find(_VERSION, at + 1)) if x >= 0]
-            at = min(nexts, default=len(data))
+            at = min(member_at.after(at), version_at.after(at))
             continue
         if gap is not None:
             yield Found(gap, at - gap, reason=reason)
             gap = None
-        for headers, block in found:
-            yield Found(at, end - at, headers, block)
+        yield from found
         at = end
     if gap is not None:
         yield Found(gap, len(data) - gap, reason=reason)
@@ -174,7 +254,7 @@ _KINDS = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int6
 
 
 def _page(urn: str | None) -> int | None:
-    m = re.fullmatch(r"<urn:page:(-?\d+)>", urn or "")
+    m = re.fullmatch(r"<urn:page:(-?\d+):.*>", urn or "")
     return int(m[1]) if m else None
 
 

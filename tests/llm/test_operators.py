@@ -1,6 +1,7 @@
 """Operators' own interfaces: packing limits, templates, salvage, ORC pruning, near copies."""
 
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from morphloom.llm import bpe, chat, mtree, packing, repeats, simhash, similar, template, token_orc, warc
 from morphloom.llm.queries import vocabulary
@@ -110,6 +112,45 @@ def test_salvage_covers_every_byte(noise, at, squeeze):
     assert not data[end:].strip(b"\0")
 
 
+def test_records_inside_a_damaged_member_are_saved():
+    plain = archive(4, squeeze=False)
+    bad = plain[1].replace(b"Content-Length: ", b"Content-Length: 9", 1)
+    whole = warc.member(plain[0] + bad + plain[2] + plain[3])
+    found = list(warc.salvage(whole))
+    assert [warc._page(f.headers["warc-record-id"]) for f in found if f.headers] == [0, 2, 3]
+    assert [f.reason for f in found if f.reason] == [f"inside a member, {len(bad)} bytes at {len(plain[0])}: the block is cut or its length is wrong"]
+    noise = random.Random(3).randbytes(200_000)
+    long = warc.member(plain[0] + warc.record(9, None, noise, None) + plain[2])
+    cut = list(warc.salvage(long[: len(long) - 100_000]))
+    assert [warc._page(f.headers["warc-record-id"]) for f in cut if f.headers] == [0] and cut[-1].reason == "gzip: the member is cut"
+
+
+def test_salvage_time_follows_the_bytes():
+    took = []
+    for n in (4000, 16000):
+        for start in (b"WARC/1.1\r\nA: b\r\n", b"\x1f\x8b\x08junk"):
+            began = time.process_time()
+            found = list(warc.salvage(start * n + archive(1)[0]))
+            took.append(time.process_time() - began)
+            assert [bool(f.headers) for f in found] == [False, True]
+    assert took[2] < 12 * took[0] + 0.2 and took[3] < 12 * took[1] + 0.2
+
+
+def test_archives_have_unique_ids_and_bounded_files(spark):
+    rows = [(i % 40, f"http://h/{i}", f"<p>{i % 8}</p>" * 50) for i in range(200)] + [(None, None, "<p>1</p>" * 50)] * 3
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("own")).withColumn("kept", F.lit(1))
+    path = fresh_path(spark, "warc")
+    warc.write_warc(df.repartition(3), path, chunk_bytes=2000)
+    files = spark.read.format("binaryFile").load(path).collect()
+    assert len(files) > 3 and max(f.length for f in files) < 9 * 2600
+    found = [x for f in files for x in warc.salvage(bytes(f.content))]
+    ids = [f.headers["warc-record-id"] for f in found]
+    assert len(ids) == len(set(ids)) == len(rows)
+    responses = {f.headers["warc-record-id"] for f in found if f.headers["warc-type"] == "response"}
+    refers = [f.headers["warc-refers-to"] for f in found if f.headers["warc-type"] == "revisit"]
+    assert refers and set(refers) <= responses
+
+
 def test_gaps_are_reported(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(b"xx" + b"".join(archive()))
     rows = warc.read_warc(spark, f"file://{tmp_path}/a.warc.gz").collect()
