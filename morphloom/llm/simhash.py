@@ -177,9 +177,10 @@ def near_components(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
     try:
         marked = hold(fingerprints(docs, width))
         distinct = hold(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
-        linked = connected_components(materialize(near_links(distinct.select("fp"), radius), "links")).select(F.col("node").alias("fp"), F.col("component").alias("root"))
-        named = linked.join(distinct, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
-        of = linked.join(named, "root").select("fp", "component_id")
+        linked = connected_components(materialize(near_links(distinct.select("fp"), radius), "links"))
+        linked = materialize(linked.select(F.col("node").alias("fp"), F.col("component").alias("root")), "linked")
+        named = linked.join(distinct, "fp").groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n"))
+        of = join_counted(linked, materialize(named, "roots"), "root", linked.count()).select("fp", "component_id")
         of = distinct.join(of, "fp", "left").select(fresh_key("fp"), F.coalesce("component_id", "first").alias("component_id"), "n")
         total = distinct.agg(F.sum("n")).first()[0] or 0
         found = join_counted(marked, materialize(of, "named"), "fp", total)
