@@ -3,10 +3,10 @@
 Two bits of a 64-bit fingerprint tell apart texts that share most of their shingles, so a stage
 that must find similarity 0.8 needs a wider radius than key blocks can serve. Here documents
 meet in shards keyed by minimum hashes of their shingle sets (a pair of similarity 0.8 misses
-all six with probability 0.2 ** 6) and by length class (similar sets have similar sizes). In a
-shard, a BK-tree over fingerprints follows edges within ``RADIUS``; what it finds is weighed by
-a 128-byte sketch. A shard beyond a page is split into pages, and each pair of pages is one unit
-of work. The rows of a unit that have a likely pair come again with their whole shingle sets, and
+all six with probability 0.2 ** 6). In a shard, a BK-tree over fingerprints follows edges within
+``RADIUS``; what it finds is weighed by a 128-byte sketch. A shard beyond a page is cut by length
+class (similar sets have similar sizes: each visits its own class and the next), and what is still
+larger is split into pages, each pair of pages one unit of work. The rows of a unit that have a likely pair come again with their whole shingle sets, and
 the unit's spanning forest grows by true links only: no estimate takes a pair's place.
 
 Edge cases: null or empty texts and texts of blanks share the empty set and are equal; a text of
@@ -89,7 +89,8 @@ def _sketches(docs: DataFrame, marked: bool = False) -> DataFrame:
 
 def _likely(rows: dict[str, np.ndarray], threshold: float) -> list[np.ndarray]:
     """For each row of a unit, the later rows to check with it: pairs of different groups that the
-    sketch holds for likely, each in one unit only: that of its first common key and its upper class."""
+    sketch holds for likely, each in one unit only: that of its first common key and, where a shard
+    was cut by class, of its upper class."""
     fp, n, m, top, own, group, keys, sketch = (rows[c] for c in ("fp", "n", "m", "top", "own", "group", "keys", "sketch"))
     across = bool((own != own[0]).any())
     values, at = np.unique(fp, return_inverse=True)
@@ -115,17 +116,19 @@ def _units(nodes: DataFrame, threshold: float, page: int) -> DataFrame:
     A shard too large for a page is split into pages, and each pair of pages is one unit, so
     that every pair of a shard meets. Rows are never paired with each other here.
     """
-    size_class = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(1.0 / threshold)))
-    # sets of similar size are in one class or in neighbouring ones: each also visits the next
-    classed = nodes.withColumn("size", size_class.cast("int")).select("*", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("class"))
     payload = ["m", "top", "same", "group", "n", "fp", "keys", "sketch"]
-    placed = classed.select("*", F.posexplode("keys").alias("m", "key"), (F.col("class") == F.col("size")).alias("top"))
-    routed = placed.select(F.xxhash64("m", "class", "key").alias("shard"), *payload)
-    sizes = routed.groupBy("shard").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    sizes = sizes.select(fresh_key("shard"), F.ceil(F.col("c") / F.lit(page)).cast("int").alias("pages"))
+    placed = nodes.select("*", F.posexplode("keys").alias("m", "key"))
+    routed = placed.select(F.xxhash64("m", "key").alias("shard"), F.lit(True).alias("top"), *(c for c in payload if c != "top"))
+    counted = lambda rows: rows.groupBy("shard").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(fresh_key("shard"), "c")
+    sized = routed.join(counted(routed), "shard")
+    size_class = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(1.0 / threshold))).cast("int")
+    large = sized.where(F.col("c") > page).withColumn("size", size_class).select("*", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("class"))
+    classed = large.select(F.xxhash64("shard", "class").alias("shard"), (F.col("class") == F.col("size")).alias("top"), *(c for c in payload if c != "top"))
+    every = sized.where(F.col("c") <= page).select("shard", "c", *payload).unionByName(classed.join(counted(classed), "shard").select("shard", "c", *payload))
+    every = every.withColumn("pages", F.ceil(F.col("c") / F.lit(page)).cast("int"))
     own = F.pmod(F.xxhash64("same"), F.col("pages").cast("bigint")).cast("int")
     visited = F.transform(F.sequence(F.lit(0), F.col("pages") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
-    work = routed.join(sizes, "shard").withColumn("own", own).select("shard", "own", *payload, F.explode(visited).alias("u"))
+    work = every.withColumn("own", own).select("shard", "own", *payload, F.explode(visited).alias("u"))
     return work.select(F.xxhash64("shard", "u.i", "u.j").alias("unit"), "own", *payload)
 
 
@@ -183,7 +186,7 @@ def _forest(pos: np.ndarray, group: np.ndarray, later: list[np.ndarray], sets: l
 def _verified(likely: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float, hold: Held) -> DataFrame:
     """(a, b): groups linked by the whole shingle sets; only likely documents are read into sets."""
     wanted = likely.select(fresh_key("same")).distinct()
-    ends = nodes.join(wanted, "same", "left_semi").select("doc_id").distinct().withColumn("k", F.xxhash64("doc_id"))
+    ends = materialize(nodes.join(wanted, "same", "left_semi").select(F.xxhash64("doc_id").alias("k")).distinct(), "ends")
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), "text", F.xxhash64(F.col("doc_id").cast("bigint")).alias("k"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +225,7 @@ def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, known: DataFra
         one = part.dropDuplicates(["same"]).drop("group").join(firsts.select(fresh_key("same"), F.col("first").alias("group")), "same")
         nodes = materialize(one, "nodes")
         links = _verified(hold(_proposed(nodes, threshold, page)), nodes, docs, threshold, hold)
-        copies = part.select(fresh_key("same"), "group").join(firsts, "same").where("group <> first").select(F.col("group").alias("a"), F.col("first").alias("b"))
+        copies = part.select(fresh_key("same"), "group").distinct().join(firsts, "same").where("group <> first").select(F.col("group").alias("a"), F.col("first").alias("b"))
         links = materialize(links.unionByName(copies.distinct()), "links")
     finally:
         hold.release()

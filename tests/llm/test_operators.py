@@ -386,3 +386,38 @@ def test_links_through_any_member(spark, monkeypatch):
     known = spark.createDataFrame([(i, fps[i], 1 if i < 3 else i) for i, _ in docs], "doc_id long, fp long, component_id long")
     monkeypatch.setattr(simhash, "near_components", lambda docs: known)
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()} == {1, 4}
+
+
+def test_rows_without_an_id_of_their_own(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60))
+    a, b, c, d = text(), text(), text(), text()
+    docs = [(1, a, "x"), (1, b, "x"), (1, a + " more", "x"), (2, c, "x"), (None, c, "x"), (None, d, "x"), (None, d.upper(), "x"), (5, d + " end", "x"), (7, b, "x"), (7, b, "x"), (9, None, "x"), (9, "", "x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, group string").repartition(3)
+    got = corpus_pipeline.drop_near_copies(spark, df, "").collect()
+    kept = sorted((r.text or "").lower()[:20] for r in got)
+    assert kept == sorted(t[:20] for t in (a, b, c, d, ""))
+    assert {(r.doc_id, r.text) for r in got} <= {(i, t) for i, t, _ in docs} and {r.doc_id for r in got if r.text and r.text.lower()[:9] in (c[:9], d[:9])} == {2, 5}
+    own = df.where("doc_id = 2 OR doc_id = 5")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, own, "").collect()) == [2, 5]
+    assert corpus_pipeline.drop_near_copies(spark, df.limit(0), "").count() == 0
+
+
+def test_every_stage_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
+
+
+def test_language_stage_tells_the_language(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    hidden = docs.withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.col("lang")))
+    got = corpus_pipeline.identify_language(spark, hidden, "").join(docs.select("doc_id", F.col("lang").alias("true")), "doc_id")
+    assert got.where("lang IS NULL").count() == 0 and got.agg(F.avg((F.col("lang") == F.col("true")).cast("double"))).first()[0] > 0.95
