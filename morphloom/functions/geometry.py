@@ -156,3 +156,26 @@ def point_line_distance(x: Column, y: Column, line: Column) -> Column:
 def rectangle(x: Column, y: Column, w: Column, h: Column) -> Column:
     """A closed axis-parallel ring."""
     return F.array(point(x, y), point(x + w, y), point(x + w, y + h), point(x, y + h), point(x, y))
+
+
+def snapped(ring: Column, digits: int) -> Column:
+    """Coordinates on a grid of ``digits`` decimals; points that fall together in a row are one."""
+    near = F.transform(ring, lambda p: point(F.round(p["x"], digits), F.round(p["y"], digits)))
+    return F.filter(near, lambda p, i: (i == 0) | (F.get(near, i - 1) != p))
+
+
+def resampled(line: Column, step: float) -> Column:
+    """Points at most ``step`` apart along a line, its own vertices included."""
+
+    def between(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        n = F.greatest(F.lit(1), F.ceil(_distance(a, b) / F.lit(float(step))).cast("int"))
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: point(a["x"] + (b["x"] - a["x"]) * i / n, a["y"] + (b["y"] - a["y"]) * i / n))
+
+    return F.concat(F.flatten(F.transform(segments(line), between)), F.array(F.element_at(line, -1)))
+
+
+def lines_distance(a: Column, b: Column) -> Column:
+    """Smallest distance of two lines' vertices to each other's segments: exact where they do not cross."""
+    far = lambda p, q: F.array_min(F.transform(p, lambda v: point_line_distance(v["x"], v["y"], q)))
+    return F.least(far(a, b), far(b, a))

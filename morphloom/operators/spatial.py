@@ -7,7 +7,8 @@ so no pair needs to be made distinct afterwards.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -80,36 +81,65 @@ def within_distance(left: DataFrame, right: DataFrame, distance: float, x: str =
     return a.join(other, ["cx", "cy"]).withColumn("distance", d).where(F.col("distance") <= distance).drop("cx", "cy")
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, other: str, size: float, max_distance: float | None = None, x: str = "x", y: str = "y", rounds: int = 24) -> DataFrame:
-    """(key, other, distance): the nearest right point of each left one, the smaller key on a tie.
+def _finite(*columns: str) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < F.lit(float("inf")))
+    return out
+
+
+def widening(pending: DataFrame, key: str, radius: float, ask: Callable[[DataFrame, float], DataFrame], max_distance: float | None = None) -> DataFrame:
+    """What ``ask`` finds within a radius that doubles; each round asks only for the rows still without a hit.
 
-    The search radius doubles from ``size``; each round asks only for the rows still without a
-    hit, so that a dense area costs one round. With ``max_distance`` rows without a hit go.
+    It ends when all have one, or beyond ``max_distance``: rows are never given up for the number of
+    rounds. The caller sees to it that every row has something to find.
     """
-    pending, out, radius = left.select(key, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull()), None, float(size)
-    target = right.select(F.col(other), x, y)
-    if target.limit(1).count() == 0:
-        empty = T.StructType([left.schema[key], right.schema[other], T.StructField("distance", T.DoubleType())])
-        return left.sparkSession.createDataFrame([], empty)
-    for _ in range(rounds):
+    out, radius = None, float(radius)
+    while True:
         reach = radius if max_distance is None else min(radius, max_distance)
-        found = within_distance(pending, target, reach, x, y).groupBy(key).agg(F.min(F.struct("distance", F.col(f"r_{other}").alias(other))).alias("_m"))
-        found = materialize(found.select(key, f"_m.{other}", "_m.distance"), "nearest")
+        found = materialize(ask(pending, reach), "nearest")
         out = found if out is None else out.unionByName(found)
         pending = materialize(pending.join(found, key, "left_anti"), "pending")
-        if reach == max_distance or pending.limit(1).count() == 0:
-            break
+        if reach == max_distance or pending.isEmpty():
+            return out
+        if radius > 1e300:
+            raise ValueError("some rows have nothing to find")
         radius *= 2
-    return out
 
 
-def nearest_segment(points: DataFrame, lines: DataFrame, key: str, line_key: str, size: float, line: str = "line", x: str = "x", y: str = "y") -> DataFrame:
-    """(key, line_key, distance) of the nearest line whose box lies within ``size`` of the point."""
-    boxed = lines.withColumn("_b", G.bounds(F.col(line))).select("*", "_b.*").drop("_b")
-    around = points.withColumns({"minx": F.col(x) - size, "miny": F.col(y) - size, "maxx": F.col(x) + size, "maxy": F.col(y) + size})
-    pairs = box_join(around, boxed, size).withColumn("distance", G.point_line_distance(F.col(x), F.col(y), F.col(f"r_{line}")))
-    best = pairs.where(F.col("distance") <= size).groupBy(key).agg(F.min(F.struct("distance", F.col(f"r_{line_key}").alias(line_key))).alias("_m"))
-    return best.select(key, f"_m.{line_key}", "_m.distance")
+def nearest(left: DataFrame, right: DataFrame, key: str, other: str, size: float, max_distance: float | None = None, x: str = "x", y: str = "y") -> DataFrame:
+    """(key, other, distance): the nearest right point of each left one, the smaller key on a tie.
+
+    The search radius doubles from ``size`` until every point has a hit; with ``max_distance`` rows
+    without a hit go, and so do points without finite coordinates.
+    """
+    pending = left.select(key, x, y).where(_finite(x, y))
+    target = right.select(F.col(other), x, y).where(_finite(x, y))
+    if target.isEmpty() or pending.isEmpty():
+        empty = T.StructType([left.schema[key], right.schema[other], T.StructField("distance", T.DoubleType())])
+        return left.sparkSession.createDataFrame([], empty)
+
+    def ask(rows: DataFrame, reach: float) -> DataFrame:
+        found = within_distance(rows, target, reach, x, y).groupBy(key).agg(F.min(F.struct("distance", F.col(f"r_{other}").alias(other))).alias("_m"))
+        return found.select(key, f"_m.{other}", "_m.distance")
+
+    return widening(pending, key, size, ask, max_distance)
+
+
+def nearest_segment(points: DataFrame, lines: DataFrame, key: str, line_key: str, size: float, line: str = "line", x: str = "x", y: str = "y", max_distance: float | None = None) -> DataFrame:
+    """(key, line_key, distance) of the nearest line of each point, however far, the smaller key on a tie."""
+    boxed = lines.withColumn("_b", G.bounds(F.col(line))).select("*", "_b.*").drop("_b").where(_finite("minx", "miny", "maxx", "maxy"))
+    pending = points.select(key, x, y).where(_finite(x, y))
+    if boxed.isEmpty() or pending.isEmpty():
+        return points.sparkSession.createDataFrame([], T.StructType([points.schema[key], lines.schema[line_key], T.StructField("distance", T.DoubleType())]))
+
+    def ask(rows: DataFrame, reach: float) -> DataFrame:
+        around = rows.withColumns({"minx": F.col(x) - reach, "miny": F.col(y) - reach, "maxx": F.col(x) + reach, "maxy": F.col(y) + reach})
+        pairs = box_join(around, boxed, max(reach, size)).withColumn("distance", G.point_line_distance(F.col(x), F.col(y), F.col(f"r_{line}")))
+        best = pairs.where(F.col("distance") <= reach).groupBy(key).agg(F.min(F.struct("distance", F.col(f"r_{line_key}").alias(line_key))).alias("_m"))
+        return best.select(key, f"_m.{line_key}", "_m.distance")
+
+    return widening(pending, key, size, ask, max_distance)
 
 
 def nearest_node(assigned: DataFrame, lines: DataFrame, line_key: str, line: str = "line", x: str = "x", y: str = "y") -> DataFrame:
@@ -131,21 +161,58 @@ def zonal(raster: DataFrame, zones: DataFrame, size: float, value: str = "value"
     return at.join(raster, ["cx", "cy"]).groupBy("zone").agg(F.sum(value).alias("sum"), F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
+SECTORS, CLOSEST = 62, 8
+
+
+def _closed(near: DataFrame, reach: float) -> DataFrame:
+    """Ids around which no empty circle through the point reaches further than ``reach``.
+
+    A neighbour at distance d spoils every longer edge within arccos(d / reach) of its direction; a
+    point is closed when the sectors that its neighbours spoil are all there are.
+    """
+    wide = 2 * math.pi / SECTORS
+    half = F.acos(F.col("distance") / reach)
+    first, last = F.ceil((F.col("angle") - half) / wide), F.floor((F.col("angle") + half) / wide) - 1
+    sectors = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    bits = near.where("distance > 0").select("id", F.explode(sectors).alias("i")).select("id", F.expr(f"shiftleft(1L, CAST(pmod(i, {SECTORS}) AS INT))").alias("bit"))
+    return bits.groupBy("id").agg(F.bit_or("bit").alias("mask")).where(F.col("mask") == (1 << SECTORS) - 1).select("id")
+
+
 def proximity_graph(points: DataFrame, key: str, rule: str, reach: float, x: str = "x", y: str = "y") -> DataFrame:
-    """Gabriel (``rule="gabriel"``) or relative-neighbourhood (``"rng"``) edges up to ``reach`` long.
+    """All Gabriel (``rule="gabriel"``) or relative-neighbourhood (``"rng"``) edges, of any length.
 
     An edge stands unless a third point lies in its diametral circle, or is nearer to both ends
-    than they are to each other. Such a point is itself within ``reach`` of both ends.
+    than they are to each other. The search starts with pairs up to ``reach`` apart and doubles it;
+    only points around which a longer edge could still be empty go on, and both ends of one must.
+    Pairs are tried against the closest points of either end first, what is left against all.
     """
-    own = points.select(F.col(key).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    pairs = materialize(within_distance(own, own, reach).where("id < r_id").select("id", "r_id", "distance"), "pairs")
-    near = pairs.select("id", "r_id", "distance").unionByName(pairs.select(F.col("r_id").alias("id"), F.col("id").alias("r_id"), "distance"))
-    third = near.select("id", F.col("r_id").alias("k"), F.col("distance").alias("dk"))
-    back = near.select(F.col("id").alias("r_id"), F.col("r_id").alias("k"), F.col("distance").alias("dl"))
-    d2 = lambda c: F.col(c) * F.col(c)
-    blocked = (d2("dk") + d2("dl") < d2("distance")) if rule == "gabriel" else (F.greatest("dk", "dl") < F.col("distance"))
-    spoiled = pairs.join(third, "id").join(back, ["r_id", "k"]).where(blocked).select("id", "r_id").distinct()
-    return pairs.join(spoiled, ["id", "r_id"], "left_anti").select(F.col("id").alias("focal"), F.col("r_id").alias("neighbor"), F.col("distance").alias("weight"))
+    own = materialize(points.select(F.col(key).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where(_finite("x", "y")), "points")
+    box = own.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    longest = math.hypot(box[0] or 0.0, box[1] or 0.0)
+    d2 = lambda a, b: (F.col(f"{a}x") - F.col(f"{b}x")) ** 2 + (F.col(f"{a}y") - F.col(f"{b}y")) ** 2
+    spoils = lambda dk, dl, d: (dk + dl < d) if rule == "gabriel" else (F.greatest(dk, dl) < d)
+    going, found, low, reach = own, None, -1.0, float(reach)
+    while True:
+        near = materialize(within_distance(going, own, reach).where("id <> r_id").withColumn("angle", F.atan2(F.col("r_y") - F.col("y"), F.col("r_x") - F.col("x"))), "near")
+        w = Window.partitionBy("id").orderBy("distance", "r_id")
+        few = near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= CLOSEST).groupBy("id").agg(F.collect_list(F.struct(F.col("r_id").alias("k"), F.col("r_x").alias("x"), F.col("r_y").alias("y"))).alias("few"))
+        pairs = near.where((F.col("id") < F.col("r_id")) & (F.col("distance") > low)).join(going.select(F.col("id").alias("r_id")), "r_id", "left_semi")
+        for end in ("id", "r_id"):
+            pairs = pairs.join(few.select(F.col("id").alias(end), F.col("few").alias(f"few_{end}")), end)
+        to = lambda p, at: (p["x"] - F.col(f"{at}x")) ** 2 + (p["y"] - F.col(f"{at}y")) ** 2
+        hit = lambda c: F.exists(c, lambda p: (p["k"] != F.col("id")) & (p["k"] != F.col("r_id")) & spoils(to(p, ""), to(p, "r_"), d2("", "r_")))
+        likely = materialize(pairs.where(~hit("few_id") & ~hit("few_r_id")).select("id", "r_id", "x", "y", "r_x", "r_y", "distance"), "likely")
+        third = near.select("id", F.col("r_id").alias("k"), F.col("r_x").alias("k_x"), F.col("r_y").alias("k_y"), F.col("distance").alias("dk"))
+        tried = likely.join(third, "id").where((F.col("k") != F.col("r_id")) & (F.col("dk") <= F.col("distance")) & spoils(d2("", "k_"), d2("r_", "k_"), d2("", "r_")))
+        edges = materialize(likely.join(tried.select("id", "r_id").distinct(), ["id", "r_id"], "left_anti").select("id", "r_id", "distance"), "edges")
+        found = edges if found is None else found.unionByName(edges)
+        if reach > longest:
+            break
+        going = materialize(going.join(_closed(near, reach), "id", "left_anti"), "going")
+        if going.isEmpty():
+            break
+        low, reach = reach, 2 * reach
+    return found.select(F.col("id").alias("focal"), F.col("r_id").alias("neighbor"), F.col("distance").alias("weight"))
 
 
 def knn(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, shard_rows: int = 16384, include_self: bool = False) -> DataFrame:

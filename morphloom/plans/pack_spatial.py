@@ -93,7 +93,7 @@ def hexagon_cells(spark, d):
 
 
 def _proximity_sql(blocked: str) -> str:
-    return f"""WITH {POINTS}, g AS (SELECT a.id, b.id AS r_id, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d FROM p a JOIN p b ON a.id <> b.id WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 0.08 * 0.08)
+    return f"""WITH {POINTS}, g AS (SELECT a.id, b.id AS r_id, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d FROM p a JOIN p b ON a.id <> b.id)
         SELECT id AS focal, r_id AS neighbor FROM g WHERE id < r_id AND NOT EXISTS (SELECT 1 FROM g k JOIN g l ON k.r_id = l.r_id WHERE k.id = g.id AND l.id = g.r_id AND {blocked})"""
 
 
