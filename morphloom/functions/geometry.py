@@ -33,8 +33,14 @@ def length(line: Column) -> Column:
     return _sum(segments(line), lambda s: _distance(s["a"], s["b"]))
 
 
+def _cross(ring: Column, s: Column) -> Column:
+    """Cross product of a segment's ends around the ring's first point: large coordinates would cancel."""
+    o = ring[0]
+    return (s["a"]["x"] - o["x"]) * (s["b"]["y"] - o["y"]) - (s["b"]["x"] - o["x"]) * (s["a"]["y"] - o["y"])
+
+
 def signed_area(ring: Column) -> Column:
-    return 0.5 * _sum(segments(ring), lambda s: s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"])
+    return 0.5 * _sum(segments(ring), lambda s: _cross(ring, s))
 
 
 def area(ring: Column) -> Column:
@@ -57,11 +63,11 @@ def perimeter(rings: Column) -> Column:
 
 def centroid(ring: Column) -> Column:
     """Area centroid; the mean of the vertices where the ring has no area."""
-    cross = lambda s: s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"]
     a6 = 6.0 * signed_area(ring)
     n = F.size(ring) - 1
     plain = lambda c: _sum(F.slice(ring, F.lit(1), F.greatest(n, F.lit(1))), lambda p: p[c]) / F.greatest(n, F.lit(1))
-    axis = lambda c: F.coalesce(F.try_divide(_sum(segments(ring), lambda s: (s["a"][c] + s["b"][c]) * cross(s)), a6), plain(c))
+    moment = lambda c: _sum(segments(ring), lambda s: (s["a"][c] + s["b"][c] - 2 * ring[0][c]) * _cross(ring, s))
+    axis = lambda c: F.coalesce(F.try_divide(moment(c), a6) + ring[0][c], plain(c))
     return point(axis("x"), axis("y"))
 
 

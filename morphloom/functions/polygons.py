@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,9 @@ POINT_TYPE = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y"
 RINGS_TYPE = T.ArrayType(T.ArrayType(POINT_TYPE))
 PARTS_TYPE = T.ArrayType(RINGS_TYPE)
 RINGS = "array<array<struct<x:double,y:double>>>"
+ARROW_POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+ARROW_RINGS = pa.list_(pa.list_(ARROW_POINT))
+ARROW_PARTS = pa.list_(ARROW_RINGS)
 
 
 def to_polygon(rings) -> O.Polygon:
@@ -52,13 +55,13 @@ def polygon_gap(a: O.Polygon, b: O.Polygon) -> float:
 
 
 def _two(result: T.DataType, empty):
-    """A UDF of two arrays of rings, ``empty`` where one has none."""
+    """A UDF of two arrays of rings; ``empty`` tells the result where one has none."""
 
     def make(f):
-        @F.pandas_udf(result)
-        def run(a: pd.Series, b: pd.Series) -> pd.Series:
-            pairs = ((to_polygon(x), to_polygon(y)) for x, y in zip(a, b))
-            return pd.Series([f(x, y) if x and y else empty(x, y) for x, y in pairs], dtype=float if result == T.DoubleType() else object)
+        @F.arrow_udf(result)
+        def run(a: pa.Array, b: pa.Array) -> pa.Array:
+            pairs = ((to_polygon(x), to_polygon(y)) for x, y in zip(a.to_pylist(), b.to_pylist()))
+            return pa.array([f(x, y) if x and y else empty(x, y) for x, y in pairs], pa.float64() if isinstance(result, T.DoubleType) else ARROW_PARTS)
 
         return run
 
@@ -74,27 +77,27 @@ parts_without = _two(PARTS_TYPE, lambda x, y: [from_polygon(x)] if x else [])(la
 polygon_distance = _two(T.DoubleType(), lambda x, y: None)(polygon_gap)
 
 
-@F.pandas_udf(T.DoubleType())
-def line_distance(rings: pd.Series, line: pd.Series) -> pd.Series:
+@F.arrow_udf(T.DoubleType())
+def line_distance(rings: pa.Array, line: pa.Array) -> pa.Array:
     """Distance of a polygon's rim to a line."""
     out = []
-    for r, s in zip(rings, line):
+    for r, s in zip(rings.to_pylist(), line.to_pylist()):
         p, q = to_polygon(r), S._xy(s)
         out.append(segment_gap(O.closed_edges(p), np.stack([q[:-1], q[1:]], 1)) if p and len(q) > 1 else None)
-    return pd.Series(out, dtype=float)
+    return pa.array(out, pa.float64())
 
 
-@F.pandas_udf(POINT_TYPE)
-def representative_point(rings: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(POINT_TYPE)
+def representative_point(rings: pa.Array) -> pa.Array:
     """A point sure to lie inside."""
-    made = [O.representative_point(p) if (p := to_polygon(r)) else (None, None) for r in rings]
-    return pd.DataFrame(made, columns=["x", "y"], dtype=float)
+    made = [dict(zip("xy", O.representative_point(p))) if (p := to_polygon(r)) else None for r in rings.to_pylist()]
+    return pa.array(made, ARROW_POINT)
 
 
 def _one(f):
-    @F.pandas_udf(PARTS_TYPE)
-    def run(rings: pd.Series) -> pd.Series:
-        return pd.Series([[from_polygon(p) for p in f(q)] if (q := to_polygon(r)) else [] for r in rings], dtype=object)
+    @F.arrow_udf(PARTS_TYPE)
+    def run(rings: pa.Array) -> pa.Array:
+        return pa.array([[from_polygon(p) for p in f(q)] if (q := to_polygon(r)) else [] for r in rings.to_pylist()], ARROW_PARTS)
 
     return run
 
@@ -108,26 +111,34 @@ def buffered(distance: float, quarter: int = 8):
     return _one(lambda p: O.buffer([p], distance, quarter))
 
 
-@F.pandas_udf(RINGS_TYPE)
-def normalized(rings: pd.Series) -> pd.Series:
-    return pd.Series([from_polygon(O.normalized(p)) if (p := to_polygon(r)) else None for r in rings], dtype=object)
+@F.arrow_udf(RINGS_TYPE)
+def normalized(rings: pa.Array) -> pa.Array:
+    return pa.array([from_polygon(O.normalized(p)) if (p := to_polygon(r)) else None for r in rings.to_pylist()], ARROW_RINGS)
 
 
 def simplified_rings(tolerance: float):
     """Rings by Douglas-Peucker, from their first vertex; a hole that collapses goes."""
 
-    @F.pandas_udf(RINGS_TYPE)
-    def run(rings: pd.Series) -> pd.Series:
-        def thin(ring):
-            xy = S._xy(ring)
-            far = int(np.hypot(*(xy - xy[0]).T).argmax())
-            return np.concatenate([S.simplify(xy[: far + 1], tolerance)[:-1], S.simplify(xy[far:], tolerance)[:-1]])
+    def thin(ring):
+        xy = S._xy(ring)
+        far = int(np.hypot(*(xy - xy[0]).T).argmax())
+        return np.concatenate([S.simplify(xy[: far + 1], tolerance)[:-1], S.simplify(xy[far:], tolerance)[:-1]])
 
-        return pd.Series([from_polygon([t for k, t in enumerate(thin(r) for r in p) if k == 0 or len(t) > 2]) if p is not None else None for p in rings], dtype=object)
+    @F.arrow_udf(RINGS_TYPE)
+    def run(rings: pa.Array) -> pa.Array:
+        thinned = ([thin(r) for r in p] if p else None for p in rings.to_pylist())
+        return pa.array([from_polygon([t for k, t in enumerate(p) if k == 0 or len(t) > 2]) if p else None for p in thinned], ARROW_RINGS)
 
     return run
 
 
+@F.arrow_udf(PARTS_TYPE)
+def without(rings: pa.Array, cuts: pa.Array) -> pa.Array:
+    """Parts of a polygon outside all of an array of polygons."""
+    given = zip(rings.to_pylist(), cuts.to_pylist())
+    return pa.array([[from_polygon(p) for p in O.difference([to_polygon(g)], [to_polygon(x) for x in xs])] for g, xs in given], ARROW_PARTS)
+
+
 MEASURES = ["area", "perimeter", "outer_length", "n_rings", "longest", "shortest", "orientation", "mrr_area", "mrr_perimeter", "radius"]
 
 
@@ -136,3 +147,10 @@ def measures(polygon: O.Polygon) -> tuple[float, ...]:
     a, b, o = S.minimum_rectangle(polygon[0])
     o = o % 90
     return (O.polygon_area(polygon), sum(map(O.ring_length, polygon)), O.ring_length(polygon[0]), float(len(polygon) - 1), a, b, min(o, 90 - o), a * b, 2 * (a + b), S.enclosing_circle(polygon[0])[2])
+_MEASURES = T.StructType([T.StructField(c, T.DoubleType()) for c in MEASURES])
+
+
+@F.arrow_udf(_MEASURES)
+def measured(rings: pa.Array) -> pa.Array:
+    rows = [dict(zip(MEASURES, measures(p))) if (p := to_polygon(r)) else None for r in rings.to_pylist()]
+    return pa.array(rows, pa.struct([(c, pa.float64()) for c in MEASURES]))

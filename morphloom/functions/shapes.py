@@ -128,8 +128,10 @@ def clip_convex(subject: np.ndarray, clipper: np.ndarray) -> np.ndarray:
 
 
 def ring_area(points: np.ndarray) -> float:
-    x, y = points[:, 0], points[:, 1]
-    return abs(float(x @ np.roll(y, -1) - y @ np.roll(x, -1))) / 2 if len(points) > 2 else 0.0
+    if len(points) < 3:
+        return 0.0
+    x, y = (points - points[0]).T
+    return abs(float(x @ np.roll(y, -1) - y @ np.roll(x, -1))) / 2
 
 
 def hausdorff(a: np.ndarray, b: np.ndarray) -> float:

@@ -250,23 +250,28 @@ def newick(linkage: np.ndarray, names: Sequence[str], cutoff: float = 0.0) -> st
     return text[2 * n - 2] + ";"
 
 
-def leaves_under(tree: DataFrame, spark) -> DataFrame:
-    """(node, side, leaf) of every split: the observations under its left and right branch."""
-    return spark.sql(
-        """WITH RECURSIVE below (node, side, at) AS (
-            SELECT node, 'left', left FROM {tree} UNION ALL SELECT node, 'right', right FROM {tree}),
-        walk (node, side, at) AS (
-            SELECT node, side, at FROM below
-            UNION ALL SELECT w.node, w.side, x.at FROM walk w JOIN (SELECT node AS parent, at FROM below) x ON w.at = x.parent)
-        SELECT node, side, at AS leaf FROM walk WHERE at NOT IN (SELECT node FROM {tree})""",
-        tree=tree,
-    )
+def leaves_under(tree: DataFrame) -> DataFrame:
+    """(node, side, leaf) of every split: the observations under its left and right branch.
+
+    Paths to ancestors double in length each round, so that a tree of any depth takes as many
+    rounds as its depth has binary digits.
+    """
+    nodes = materialize(tree.select("node"), "nodes")
+    sides = [tree.select(F.col(side).alias("at"), "node", F.lit(side).alias("side"), F.lit(1).alias("steps")) for side in ("left", "right")]
+    paths, span = materialize(sides[0].unionByName(sides[1]), "paths"), 1
+    while True:
+        far = paths.where(F.col("steps") == span).select(F.col("at").alias("below"), F.col("node").alias("via"))
+        on = paths.select(F.col("at").alias("via"), "node", "side", F.col("steps").alias("more"))
+        longer = materialize(far.join(on, "via").select(F.col("below").alias("at"), "node", "side", (F.col("more") + span).alias("steps")), "paths")
+        if longer.isEmpty():
+            break
+        paths, span = paths.unionByName(longer), 2 * span
+    return paths.join(nodes.withColumnRenamed("node", "at"), "at", "left_anti").select("node", "side", F.col("at").alias("leaf"))
 
 
 def split_analysis(tree: DataFrame, features: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """(node, char, difference): mean under the left branch less mean under the right."""
-    spark = tree.sparkSession
-    under = leaves_under(tree, spark).join(features, F.col("leaf") == features[key])
+    under = leaves_under(tree).join(features, F.col("leaf") == features[key])
     side = lambda c, s: F.avg(F.when(F.col("side") == s, F.col(c)))
     wide = under.groupBy("node").agg(*((side(c, "left") - side(c, "right")).alias(c) for c in columns))
     return wide.unpivot(["node"], list(columns), "char", "difference")

@@ -56,13 +56,12 @@ def queen_contiguity(polygons: DataFrame, key: str, rings: str = "rings", digits
 def _united(df: DataFrame, keys: Sequence[str], rings: str, grow: float = 0.0, quarter: int = 8) -> DataFrame:
     """The union of each group as rows of parts; a group has to fit a task."""
     schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("part", T.IntegerType()), T.StructField(rings, K.RINGS_TYPE)])
-    of_rings = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         polygons = [p for p in map(K.to_polygon, t.column(rings).to_pylist()) if p]
         parts = (O.buffer(polygons, grow, quarter) if grow else O.union(polygons)) if polygons else []
         cols = [pa.array([k.as_py()] * len(parts), k.type) for k in key]
-        return pa.table([*cols, pa.array(range(len(parts)), pa.int32()), pa.array([K.from_polygon(p) for p in parts], of_rings)], names=[*keys, "part", rings])
+        return pa.table([*cols, pa.array(range(len(parts)), pa.int32()), pa.array([K.from_polygon(p) for p in parts], K.ARROW_RINGS)], names=[*keys, "part", rings])
 
     return df.select(*keys, rings).groupBy(*keys).applyInArrow(run, schema)
 
@@ -101,15 +100,7 @@ def structure_measures(buildings: DataFrame, component: str, rings: str = "rings
     Sums over parts; rectangle and circle are those of the part with the largest area.
     """
     parts = dissolve(buildings, [component], rings, tile, grow, quarter)
-    kinds = T.StructType([T.StructField(c, T.DoubleType()) for c in K.MEASURES])
-
-    @F.pandas_udf(kinds)
-    def measured(given):
-        import pandas as pd
-
-        return pd.DataFrame([K.measures(K.to_polygon(r)) for r in given], columns=K.MEASURES)
-
-    rows = parts.select(component, measured(rings).alias("m")).select(component, "m.*")
+    rows = parts.select(component, K.measured(rings).alias("m")).select(component, "m.*")
     own = ["longest", "shortest", "orientation", "mrr_area", "mrr_perimeter", "radius"]
     sums = [F.sum(c).alias(c) for c in ("area", "perimeter", "outer_length", "n_rings")]
     return rows.groupBy(component).agg(*sums, *(F.max_by(c, "area").alias(c) for c in own))
@@ -154,13 +145,7 @@ def trim_overlaps(polygons: DataFrame, key: str, size: float, rings: str = "ring
     cuts = full.select(F.when(gives, F.col("a")).otherwise(F.col("b")).alias(key), F.when(gives, F.col("g_b")).otherwise(F.col("g_a")).alias("_cut"))
     knives = dissolve(cuts, [key], "_cut", size).groupBy(key).agg(F.collect_list("_cut").alias("_cuts"))
 
-    @F.pandas_udf(K.PARTS_TYPE)
-    def rest(given, cut):
-        import pandas as pd
-
-        return pd.Series([[K.from_polygon(p) for p in O.difference([K.to_polygon(g)], [K.to_polygon(x) for x in xs])] for g, xs in zip(given, cut)], dtype=object)
-
-    cut = polygons.select(key, rings).join(knives, key).select(key, F.explode(rest(rings, "_cuts")).alias(rings))
+    cut = polygons.select(key, rings).join(knives, key).select(key, F.explode(K.without(rings, "_cuts")).alias(rings))
     return polygons.select(key, rings).join(knives.select(key), key, "left_anti").unionByName(cut)
 
 
@@ -241,12 +226,11 @@ def enclosures(streets: DataFrame, limits: DataFrame, by: Sequence[str], line: s
     rim = limits.select(*by, F.explode(rings).alias(line))
     drawn = streets.select(*by, line).unionByName(rim)
     schema = T.StructType([*(drawn.schema[k] for k in by), T.StructField("part", T.IntegerType()), T.StructField(rings, K.RINGS_TYPE)])
-    of_rings = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         faces = O.faces([K.S._xy(x) for x in t.column(line).to_pylist()])
         cols = [pa.array([k.as_py()] * len(faces), k.type) for k in key]
-        return pa.table([*cols, pa.array(range(len(faces)), pa.int32()), pa.array([K.from_polygon([f]) for f in faces], of_rings)], names=[*by, "part", rings])
+        return pa.table([*cols, pa.array(range(len(faces)), pa.int32()), pa.array([K.from_polygon([f]) for f in faces], K.ARROW_RINGS)], names=[*by, "part", rings])
 
     return drawn.groupBy(*by).applyInArrow(run, schema)
 
@@ -274,6 +258,22 @@ def uncovered(buildings: DataFrame, cells: DataFrame, key: str) -> DataFrame:
     return buildings.join(cells.select(key), key, "left_anti")
 
 
+def nearest_line(polygons: DataFrame, lines: DataFrame, key: str, line_key: str, size: float, rings: str = "rings", line: str = "line", max_distance: float | None = None) -> DataFrame:
+    """(key, line_key, distance): the line nearest to each polygon's rim, the smaller key on a tie."""
+    box = G.bounds(F.col(line))
+    target = lines.select(F.col(line_key), F.col(line).alias("_line"), box["minx"].alias("minx"), box["miny"].alias("miny"), box["maxx"].alias("maxx"), box["maxy"].alias("maxy")).where("_line IS NOT NULL")
+    pending = polygons.select(key, F.col(rings).alias("_g")).where("_g IS NOT NULL")
+    if target.isEmpty() or pending.isEmpty():
+        return polygons.sparkSession.createDataFrame([], T.StructType([polygons.schema[key], lines.schema[line_key], T.StructField("distance", T.DoubleType())]))
+
+    def ask(rows: DataFrame, reach: float) -> DataFrame:
+        pairs = P.box_join(boxed(rows, "_g", reach), target, max(size, reach)).withColumn("distance", K.line_distance("_g", "r__line"))
+        best = pairs.where(F.col("distance") <= reach).groupBy(key).agg(F.min(F.struct("distance", F.col(f"r_{line_key}").alias(line_key))).alias("_m"))
+        return best.select(key, f"_m.{line_key}", "_m.distance")
+
+    return P.widening(pending, key, size, ask, max_distance)
+
+
 def point_square(x: Column, y: Column, half: float) -> Column:
     """A point's buffer with a square cap."""
     return F.array(G.rectangle(x - half, y - half, F.lit(2.0 * half), F.lit(2.0 * half)))

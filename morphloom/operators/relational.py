@@ -63,11 +63,11 @@ def map_with_default(df: DataFrame, lookup: DataFrame, key: str, value: str, def
 
 
 def factorize(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Dense codes from 0 in the order of the distinct values.
+    """Dense codes from 0 in the order of the distinct values; null has none.
 
-    Codes are given to distinct values only (one row each), then joined back.
+    Distinct values (one row each) are numbered without pulling them into one task, then joined back.
     """
-    codes = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn(name, (F.dense_rank().over(Window.orderBy(column)) - 1).cast("bigint"))
+    codes = dense_ids(df.select(column).where(F.col(column).isNotNull()).distinct(), [column], name)
     return df.join(codes, column, "left")
 
 

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from morphloom.functions import geometry as G
 from morphloom.functions.scalar import ratio
+from morphloom.functions.polygons import polygon_distance
 from morphloom.functions.shapes import shape_chars
-from morphloom.operators import context, graph, network
+from morphloom.operators import context, graph, network, polygons, spatial
 from morphloom.operators import relational as R
 from morphloom.operators.components import connected_components
+from morphloom.storage import materialize
 
 
 def building_chars(buildings: DataFrame) -> DataFrame:
@@ -30,7 +32,7 @@ def building_chars(buildings: DataFrame) -> DataFrame:
         "id", area.alias("sdbAre"), perimeter.alias("sdbPer"), G.courtyard_area(F.col("rings")).alias("sdbCoA"), compact.alias("ssbCCo"),
         F.when(compact >= 0.95, 0).otherwise(G.corners(F.col("ring"))).alias("ssbCor"), F.when(compact >= 0.95, 90.0).otherwise(G.squareness(F.col("ring"))).alias("ssbSqu"),
         G.equivalent_rectangular_index(area, perimeter, F.col("s.mrr_area"), F.col("s.mrr_perimeter")).alias("ssbERI"), F.col("s.elongation").alias("ssbElo"), F.col("s.orientation").alias("stbOri"),
-        G.facade_ratio(area, perimeter).alias("mibFR"), centre.alias("c"), "ring",
+        (2 * F.col("s.radius")).alias("sdbLAL"), centre.alias("c"), "ring",
     )
     n = F.size("_r")
     mean = F.aggregate("_r", F.lit(0.0), lambda t, v: t + v) / n
@@ -83,26 +85,118 @@ def node_chars(streets: DataFrame) -> DataFrame:
     mean = graph.mean_incident_length(edges, "node_start", "node_end", "length").withColumnRenamed("mean_length", "mtdMDi")
     out = nodes.withColumnRenamed("degree", "mtdDeg").join(mean, "node", "left").join(graph.square_clustering(g).withColumnRenamed("clustering", "xcnSCl"), "node", "left")
     ego = network.ego_measures(edges, 5).select(F.col("focal").alias("node"), F.col("meshedness").alias("lcdMes"), F.col("three_way").alias("linP3W"), F.col("four_way").alias("linP4W"), F.col("dead_ends").alias("linPDE"), F.col("node_density").alias("lddNDe"), F.col("weighted_density").alias("linWID"), F.col("dead_end_length").alias("ldsCDL"))
+    ego = ego.drop("ldsCDL").join(network.ego_measures(edges, 3).select(F.col("focal").alias("node"), F.col("dead_end_length").alias("ldsCDL")), "node", "left")
     close = network.local_closeness(edges, 5).select(F.col("focal").alias("node"), F.col("closeness").alias("lcnClo"))
     return out.join(ego, "node", "left").join(close, "node", "left")
 
 
-def joined_structures(buildings: DataFrame, touching: DataFrame) -> DataFrame:
-    """(id, component, mibCou, mibAre): buildings that touch, as one structure."""
+def with_rings(buildings: DataFrame) -> DataFrame:
+    """``buildings`` with ring and holes as one array of rings."""
+    none = F.array().cast("array<array<struct<x:double,y:double>>>")
+    return buildings.withColumn("rings", F.concat(F.array("ring"), F.coalesce("holes", none)))
+
+
+def structure_chars(buildings: DataFrame, touching: DataFrame, tile: float | None = None, same_as_released: bool = True) -> DataFrame:
+    """What a building's joined structure is like: (id, component, mibCou, mibLen, mibAre, mibElo, mibERI,
+    mibCCo, mibLAL, mibFR, mibSCo, libNCo, ldbPWL).
+
+    Structures are components of ``touching``. Their shape is that of the union grown by 0.1;
+    courtyards and the outer wall are those of the union of buildings grown by 0.25. The released
+    mibSCo repeats mibFR; with ``same_as_released`` off it is the square compactness it is named for.
+    """
     comps = connected_components(touching.select("focal", "neighbor"), "focal", "neighbor").withColumnRenamed("node", "id")
-    own = buildings.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    stats = own.groupBy("component").agg(F.count(F.lit(1)).alias("mibCou"), F.sum("sdbAre").alias("mibAre"))
-    return own.select("id", "component").join(stats, "component")
+    own = materialize(with_rings(buildings).join(comps, "id", "left").select("id", F.coalesce("component", "id").alias("component"), "rings"), "structures")
+    whole = polygons.structure_measures(polygons.dissolve(own, ["component"], "rings", tile), "component", "rings", 0.1, 16, tile)
+    walls = polygons.structure_measures(own, "component", "rings", 0.25, 16, tile).select("component", F.col("n_rings").cast("int").alias("libNCo"), F.col("outer_length").alias("ldbPWL"))
+    count = own.groupBy("component").agg(F.count(F.lit(1)).alias("mibCou"))
+    area, perimeter = F.col("area"), F.col("perimeter")
+    facade = G.facade_ratio(area, perimeter)
+    square = (4 * F.sqrt(area) / perimeter) * (4 * F.sqrt(area) / perimeter)
+    shape = whole.select(
+        "component", perimeter.alias("mibLen"), area.alias("mibAre"), ratio(F.col("shortest"), F.col("longest")).alias("mibElo"),
+        G.equivalent_rectangular_index(area, perimeter, F.col("mrr_area"), F.col("mrr_perimeter")).alias("mibERI"), G.circular_compactness(area, F.col("radius")).alias("mibCCo"),
+        (2 * F.col("radius")).alias("mibLAL"), facade.alias("mibFR"), (facade if same_as_released else square).alias("mibSCo"),
+    )
+    return own.select("id", "component").join(count, "component").join(shape, "component").join(walls, "component").select("id", "component", *count.columns[1:], *shape.columns[1:], *walls.columns[1:])
+
+
+def wall_chars(buildings: DataFrame, size: float, tolerance: float = 0.15) -> DataFrame:
+    """mtbSWR: the share of a building's rim that runs along others."""
+    b = with_rings(buildings)
+    walls = polygons.shared_walls(b, "id", size, tolerance).groupBy(F.col("focal").alias("id")).agg(F.sum("length").alias("_w"))
+    return b.select("id", G.perimeter(F.col("rings")).alias("_p")).join(walls, "id", "left").select("id", ratio(F.coalesce("_w", F.lit(0.0)), F.col("_p")).alias("mtbSWR"))
 
 
 def building_context(buildings: DataFrame, edges: DataFrame, structures: DataFrame) -> DataFrame:
-    """ltcBuA, mtbAli: structures per building among neighbours; difference of orientation."""
-    loops = graph.with_self(edges, buildings, "id")
+    """ltcBuA, mtbAli: structures per building among neighbours; difference of orientation.
+
+    Neighbours are those of the building's cell that have a building too.
+    """
+    near = graph.subgraph(edges, buildings, "id")
+    loops = graph.with_self(near, buildings, "id")
     share = graph.neighbourhood(loops, structures.select(F.col("id").alias("_id"), "component"), "_id", [ratio(F.countDistinct("component"), F.count(F.lit(1))).alias("ltcBuA")]).withColumnRenamed("focal", "id")
-    ali = context.neighbour_difference(edges, buildings, "id", "stbOri", "mtbAli").withColumnRenamed("focal", "id")
+    ali = context.neighbour_difference(near, buildings, "id", "stbOri", "mtbAli").withColumnRenamed("focal", "id")
     return buildings.select("id").join(share, "id", "left").join(ali, "id", "left")
 
 
+def distance_context(buildings: DataFrame, edges: DataFrame, k: int = 3) -> DataFrame:
+    """mtbNDi, ltbIBD: mean distance to neighbours, and between all neighbours within k steps.
+
+    Steps go over all cells, distances are between neighbouring cells' buildings.
+    """
+    b = with_rings(buildings).select("id", "rings")
+    pairs = edges.where("focal < neighbor").select("focal", "neighbor").join(b.select(F.col("id").alias("focal"), F.col("rings").alias("_a")), "focal").join(b.select(F.col("id").alias("neighbor"), F.col("rings").alias("_b")), "neighbor")
+    gaps = materialize(pairs.select("focal", "neighbor", polygon_distance("_a", "_b").alias("distance")), "gaps")
+    both = gaps.unionByName(gaps.select(F.col("neighbor").alias("focal"), F.col("focal").alias("neighbor"), "distance"))
+    near = both.groupBy(F.col("focal").alias("id")).agg(F.avg("distance").alias("mtbNDi"))
+    loops = edges.where("focal <> neighbor").select("focal", "neighbor").unionByName(edges.select(F.explode(F.array("focal", "neighbor")).alias("focal")).distinct().select("focal", F.col("focal").alias("neighbor")))
+    around = context.mean_pair_distance(loops, gaps, k).select(F.col("focal").alias("id"), F.col("mean").alias("ltbIBD"))
+    return b.select("id").join(near, "id", "left").join(around, "id", "left")
+
+
+def alignment(rows: DataFrame, key: str, own: str, other: DataFrame, link: str, orientation: str, name: str) -> DataFrame:
+    """(key, name): absolute difference of a row's orientation and that of what it is linked to (by ``link``)."""
+    side = other.select(F.col(link).alias("_k"), F.col(orientation).alias("_o"))
+    return rows.join(side, rows[link] == side["_k"], "left").select(key, F.abs(F.col(own) - F.col("_o")).alias(name))
+
+
+def street_profile(streets: DataFrame, buildings: DataFrame, distance: float = 3.0, tick: float = 50.0) -> DataFrame:
+    """sdsSPW, sdsSPO, sdsSWD: width between facades, share of ticks without any, spread of the hits.
+
+    Every ``distance`` along a street a tick goes out on either side, half of ``tick`` long; a side
+    without any hit counts as that far.
+    """
+    half = tick / 2.0
+    part = streets.select("nID", F.posexplode(G.segments(F.col("line"))).alias("k", "s")).withColumn("_l", F.hypot(F.col("s.b.x") - F.col("s.a.x"), F.col("s.b.y") - F.col("s.a.y"))).where("_l > 0")
+    n = F.greatest(F.lit(1), F.floor(F.col("_l") / distance).cast("int"))
+    at = part.select("nID", "k", "s", "_l", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"), n.alias("n")).withColumn("t", (F.col("i") + 0.5) * F.least(F.lit(distance), F.col("_l")) / F.col("_l"))
+    c = F.col
+    ux, uy = (c("s.b.x") - c("s.a.x")) / c("_l"), (c("s.b.y") - c("s.a.y")) / c("_l")
+    px, py = c("s.a.x") + c("t") * (c("s.b.x") - c("s.a.x")), c("s.a.y") + c("t") * (c("s.b.y") - c("s.a.y"))
+    ticks = at.select("nID", F.concat_ws(" ", "nID", "k", "i").alias("tick"), px.alias("px"), py.alias("py"), F.explode(F.array(F.struct((-uy).alias("dx"), ux.alias("dy"), F.lit(1).alias("side")), F.struct(uy.alias("dx"), (-ux).alias("dy"), F.lit(-1).alias("side")))).alias("d"))
+    ticks = ticks.select("nID", "tick", "px", "py", "d.*").withColumns({"minx": F.least(c("px"), c("px") + half * c("dx")), "maxx": F.greatest(c("px"), c("px") + half * c("dx")), "miny": F.least(c("py"), c("py") + half * c("dy")), "maxy": F.greatest(c("py"), c("py") + half * c("dy"))})
+    e = polygons.segments_of(with_rings(buildings), "id")
+    e = e.withColumns({"minx": F.least("ax", "bx"), "maxx": F.greatest("ax", "bx"), "miny": F.least("ay", "by"), "maxy": F.greatest("ay", "by")})
+    ex, ey = c("r_bx") - c("r_ax"), c("r_by") - c("r_ay")
+    cross = c("dx") * ey - c("dy") * ex
+    wx, wy = c("r_ax") - c("px"), c("r_ay") - c("py")
+    far, along = F.try_divide(wx * ey - wy * ex, cross), F.try_divide(wx * c("dy") - wy * c("dx"), cross)
+    hits = spatial.box_join(ticks, e, tick).withColumns({"_far": far, "_along": along}).where(c("_far").between(0.0, half) & c("_along").between(0.0, 1.0))
+    near = hits.groupBy("nID", "tick", "side").agg(F.min("_far").alias("d"))
+    every = ticks.select("nID", "tick", "side").join(near, ["nID", "tick", "side"], "left")
+    mean = lambda s: F.coalesce(F.avg(F.when(c("side") == s, c("d"))), F.lit(half))
+    out = every.groupBy("nID").agg((mean(1) + mean(-1)).alias("sdsSPW"), F.avg(c("d").isNull().cast("double")).alias("sdsSPO"), F.stddev_pop("d").alias("sdsSWD"))
+    return streets.select("nID").join(out, "nID", "left")
+
+
+def node_context(nodes: DataFrame, node_edges: DataFrame, attached: DataFrame) -> DataFrame:
+    """midBAD, sddAre, midRea, midAre: spread of building areas and cell area at a node, count and area of
+    the cells at its neighbours. ``attached`` has node, cell_area and building_area (null without a building)."""
+    per = attached.groupBy("node").agg(F.coalesce(F.stddev_samp("building_area"), F.lit(0.0)).alias("midBAD"), F.sum("cell_area").alias("sddAre"))
+    around = graph.reached(node_edges, 1, attached, "node", "cell_area", [F.sum("_n").alias("midRea"), F.sum("_s").alias("midAre")], nodes, "node").withColumnRenamed("focal", "node")
+    return nodes.select("node").join(per, "node", "left").join(around, "node", "left")
+
+
 def primary(cells: DataFrame, buildings: DataFrame, enclosures: DataFrame, streets: DataFrame, nodes: DataFrame) -> DataFrame:
     """The wide table: every cell with what its building, enclosure, street and node have."""
     dims = [(buildings.withColumnRenamed("id", "_b"), "id", "_b"), (enclosures.withColumnRenamed("eID", "_e"), "eID", "_e"), (streets.withColumnRenamed("nID", "_s"), "nID", "_s"), (nodes.withColumnRenamed("node", "_n"), "node", "_n")]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,8 +11,11 @@ from pyspark.sql.window import Window
 from morphloom.functions.scalar import is_noise, morph_label
 from morphloom.operators import aggregates as A
 from morphloom.operators import cluster as C
+from morphloom.operators import relational as R
 from morphloom.operators import spatial as P
+from morphloom.operators import ward as W
 from morphloom.operators.components import connected_components
+from morphloom.storage import materialize
 
 
 def delineate(cells: DataFrame, edges: DataFrame, key: str, columns: Sequence[str], region: str, min_size: int = 75) -> DataFrame:
@@ -63,23 +65,18 @@ def spacing(buildings: DataFrame, labels: DataFrame, reach: float, key: str = "i
     return own.join(spread, "label", "left").select("label", F.when(F.col("_n") < 3, 0.35).otherwise(F.try_divide(F.coalesce("_s", F.lit(0.0)), F.col("_p"))).alias("limSDi"))
 
 
-def taxonomy(groups: DataFrame, key: str, columns: Sequence[str], cuts: Sequence[float], k: int = 10, most: int = 50_000) -> tuple[np.ndarray, DataFrame]:
-    """Linkage of the groups over their k-nearest-neighbour graph, and (key, level_1 ...).
+def taxonomy(groups: DataFrame, key: str, columns: Sequence[str], cuts: Sequence[float], k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Merges of the groups over their k-nearest-neighbour graph, and (key, level_1 ...).
 
-    A tree is sequential: the groups (not the buildings) are gathered, at most ``most`` of them.
+    Groups are numbered in the order of their key. Nothing is gathered: neighbours come from blocks
+    of rows, merges from rounds of mutual nearest neighbours.
     """
-    spark = groups.sparkSession
-    n = groups.count()
-    if n > most:
-        raise ValueError(f"{n} groups: a tree is built from at most {most}; cut regions first")
-    scaled = A.zscore(groups.select(key, *columns), list(columns)).orderBy(key).toPandas()
-    numbered = scaled.reset_index(names="_i")
-    rows = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(numbered["_i"], scaled[list(columns)].to_numpy())], "i bigint, v array<double>")
-    near = P.knn(rows, rows, "i", "v", min(k, max(1, n - 1))).select("query_id", "id").toPandas().to_numpy()
-    linkage = C.monotone(C.ward_tree(scaled[list(columns)].to_numpy(float), near))
-    levels = C.multi_cut(linkage, n, cuts)
-    levels.insert(0, key, scaled[key])
-    return linkage, spark.createDataFrame(levels)
+    scaled = A.zscore(groups.select(key, *columns), list(columns))
+    rows = materialize(R.dense_ids(scaled, [key], "id").select(key, "id", F.array(*(F.col(c).cast("double") for c in columns)).alias("v")), "groups")
+    near = P.knn(rows, rows, "id", "v", k).select(F.col("query_id").alias("a"), F.col("id").alias("b"))
+    merges = W.ward_merges(rows.select("id", F.lit(1).alias("size"), "v"), near)
+    levels = W.cut_levels(rows, merges, cuts)
+    return merges, rows.select(key, "id").join(levels, "id").drop("id")
 
 
 def assign_noise(noise: DataFrame, classes: DataFrame, key: str, label: str, columns: Sequence[str], k: int = 5) -> DataFrame:

@@ -53,8 +53,10 @@ def test_primary_characters(spark, town):
     assert street[0].sdsLen == 50.0 and street[0].sdsAre == 500.0 and street[0].sisBpM == 0.1 and street[2].ldsRea == 10 and street[2].sisBpM is None
     n = characters.node_chars(town["streets"])
     assert sorted(r.mtdDeg for r in n.collect()) == [1, 1, 1, 3]
-    joined = characters.joined_structures(b, spark.createDataFrame([(0, 1), (1, 0)], "focal long, neighbor long"))
-    assert {r.id: (r.mibCou, r.mibAre) for r in joined.collect()}[1] == (2, 45.0)
+    joined = characters.structure_chars(town["buildings"], spark.createDataFrame([(0, 1), (1, 0)], "focal long, neighbor long"))
+    row = {r.id: r for r in joined.collect()}
+    assert row[1].mibCou == 2 and row[1].libNCo == 0 and row[9].libNCo == 1 and math.isclose(row[1].mibAre, 45 + 0.1 * 38 + 2 * math.pi * 0.01, rel_tol=1e-4)
+    assert row[2].mibFR == row[2].mibSCo and math.isclose(row[2].mibFR, (20 + 1.8 + math.pi / 100) / (18 + math.pi / 5), rel_tol=1e-4)
     around = {r.id: r.ltcBuA for r in characters.building_context(b, town["edges"], joined).collect()}
     assert math.isclose(around[0], 1 / 2) and math.isclose(around[2], 3 / 3)
     wide = characters.primary(c.withColumns({"nID": F.lit(0).cast("long"), "node": F.lit("50.0 12.0")}), b, e, s, n)
@@ -87,8 +89,8 @@ def test_taxonomy_of_two_kinds(spark):
     assert len(got) == 61 and len({got[i] for i in range(30)}) == 1 and len({got[i] for i in range(60)}) == 2 and got[100].endswith("-1")
     stats = taxonomy.group_stats(cells, labels, "id", ["a", "b"])
     assert sorted(r["size"] for r in stats.collect()) == [30, 30]
-    linkage, levels = taxonomy.taxonomy(stats.select("label", F.col("a__median").alias("a"), F.col("b__median").alias("b")), "label", ["a", "b"], [0.5, 100.0])
-    assert len(linkage) == 1 and sorted((r.level_1, r.level_2) for r in levels.collect()) == [(0, 0), (0, 1)]
+    merges, levels = taxonomy.taxonomy(stats.select("label", F.col("a__median").alias("a"), F.col("b__median").alias("b")), "label", ["a", "b"], [0.5, 100.0])
+    assert merges.count() == 1 and sorted((r.level_1, r.level_2) for r in levels.collect()) == [(0, 0), (0, 1)]
     classes = stats.select("label", F.col("a__median").alias("a"), F.col("b__median").alias("b"))
     voted = taxonomy.assign_noise(spark.createDataFrame([(7, 0.1, 0.2), (8, 9.0, 8.8)], "g long, a double, b double"), classes, "g", "label", ["a", "b"], 1)
     assert {r.g: r.label for r in voted.collect()} == {7: got[0], 8: got[40]}
