@@ -32,7 +32,7 @@ from morphloom.operators.components import connected_components
 from morphloom.storage import Held, materialize
 
 WIDTH, THRESHOLD = 5, 0.8
-KEYS, SKETCH, PAGE = 6, 128, 512
+KEYS, SKETCH, PAGE = 6, 128, 2048
 #: Fingerprints of similarity 0.8 differ by about 10 bits, deviation 3; the sketch's estimate has a
 #: deviation of 0.035. Both bounds lie four to five deviations off; what they leave is checked exactly.
 RADIUS, LIKELY = 24, 0.62
@@ -111,25 +111,27 @@ def _likely(rows: dict[str, np.ndarray], threshold: float) -> list[np.ndarray]:
 
 
 def _units(nodes: DataFrame, threshold: float, page: int) -> DataFrame:
-    """(unit, m, top, own, same, group, n, fp, keys, sketch): rows that meet, in two pages at most.
+    """(unit, own, m, top, same, group, n, fp, keys, sketch): rows that meet, in two pages at most.
 
-    A shard too large for a page is split into pages, and each pair of pages is one unit, so
-    that every pair of a shard meets. Rows are never paired with each other here.
+    Names and sizes are dealt first; only rows that share a shard with another take their sketch
+    along, once a unit. A shard too large for a page is cut by class, then split into pages, and
+    each pair of pages is one unit, so that every pair of a shard meets. Rows are never paired with
+    each other here.
     """
-    payload = ["m", "top", "same", "group", "n", "fp", "keys", "sketch"]
-    placed = nodes.select("*", F.posexplode("keys").alias("m", "key"))
-    routed = placed.select(F.xxhash64("m", "key").alias("shard"), F.lit(True).alias("top"), *(c for c in payload if c != "top"))
-    counted = lambda rows: rows.groupBy("shard").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(fresh_key("shard"), "c")
-    sized = routed.join(counted(routed), "shard")
     size_class = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(1.0 / threshold))).cast("int")
-    large = sized.where(F.col("c") > page).withColumn("size", size_class).select("*", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("class"))
-    classed = large.select(F.xxhash64("shard", "class").alias("shard"), (F.col("class") == F.col("size")).alias("top"), *(c for c in payload if c != "top"))
-    every = sized.where(F.col("c") <= page).select("shard", "c", *payload).unionByName(classed.join(counted(classed), "shard").select("shard", "c", *payload))
+    placed = nodes.select("same", size_class.alias("size"), F.posexplode("keys").alias("m", "key"))
+    routed = placed.select("same", "size", "m", F.xxhash64("m", "key").alias("shard"), F.lit(True).alias("top"))
+    counted = lambda rows: rows.groupBy("shard").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(fresh_key("shard"), "c")
+    sized = materialize(routed.join(counted(routed), "shard"), "shards")
+    large = sized.where(F.col("c") > page).select("same", "size", "m", "shard", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("class"))
+    classed = large.select("same", "m", F.xxhash64("shard", "class").alias("shard"), (F.col("class") == F.col("size")).alias("top"))
+    every = sized.where(F.col("c") <= page).select("same", "m", "shard", "top", "c").unionByName(classed.join(counted(classed), "shard").select("same", "m", "shard", "top", "c"))
     every = every.withColumn("pages", F.ceil(F.col("c") / F.lit(page)).cast("int"))
     own = F.pmod(F.xxhash64("same"), F.col("pages").cast("bigint")).cast("int")
     visited = F.transform(F.sequence(F.lit(0), F.col("pages") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
-    work = every.withColumn("own", own).select("shard", "own", *payload, F.explode(visited).alias("u"))
-    return work.select(F.xxhash64("shard", "u.i", "u.j").alias("unit"), "own", *payload)
+    work = every.withColumn("own", own).select("same", "m", "top", "shard", "own", F.explode(visited).alias("u"))
+    work = work.select(fresh_key("same"), "m", "top", "own", F.xxhash64("shard", "u.i", "u.j").alias("unit"))
+    return work.join(nodes.select("same", "group", "n", "fp", "keys", "sketch"), "same").select("unit", "own", "m", "top", "same", "group", "n", "fp", "keys", "sketch")
 
 
 def _proposed(nodes: DataFrame, threshold: float, page: int) -> DataFrame:
