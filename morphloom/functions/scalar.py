@@ -16,7 +16,9 @@ def clip(x: Column, low: float, high: float) -> Column:
 
 
 def nan_to_zero(x: Column) -> Column:
-    return F.coalesce(F.nanvl(x.cast("double"), F.lit(0.0)), F.lit(0.0))
+    """Null and NaN become 0, infinities the largest finite doubles."""
+    most = 1.7976931348623157e308
+    return F.greatest(F.lit(-most), F.least(F.lit(most), F.coalesce(F.nanvl(x.cast("double"), F.lit(0.0)), F.lit(0.0))))
 
 
 def ratio(a: Column, b: Column) -> Column:

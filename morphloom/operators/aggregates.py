@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from morphloom.functions.scalar import is_noise, ratio
+from morphloom.operators.quantiles import exact_percentiles, known
 
 
 def describe(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -100,9 +102,8 @@ def crosstab_counts(df: DataFrame, row: str, column: str, values: Sequence[str])
 
 
 def quantile_edges(df: DataFrame, value: str, k: int) -> list[float]:
-    """Upper edges of the k quantile classes: k numbers."""
-    q = F.percentile(F.col(value).cast("double"), F.array(*(F.lit(i / k) for i in range(1, k + 1))))
-    return list(df.agg(q.alias("q")).first().q)
+    """Upper edges of the k quantile classes: k numbers, none for a column without values."""
+    return exact_percentiles(df, value, [i / k for i in range(1, k + 1)]) or []
 
 
 def weighted_percentiles(df: DataFrame, keys: Sequence[str], value: str, weight: str, at: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
@@ -113,7 +114,8 @@ def weighted_percentiles(df: DataFrame, keys: Sequence[str], value: str, weight:
     w = Window.partitionBy(*keys).orderBy(value, weight)
     run = F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0))
     total = F.sum(weight).over(Window.partitionBy(*keys))
-    ranked = df.where(F.col(value).isNotNull() & F.col(weight).isNotNull()).withColumn("_at", (run - 0.5 * F.col(weight)) / total)
+    # null and NaN are left out alike: NaN would sort last and pass for the largest value
+    ranked = df.where(known(value) & known(weight)).withColumn("_at", (run - 0.5 * F.col(weight)) / total)
     ahead = Window.partitionBy(*keys).orderBy("_at", value)
     ranked = ranked.withColumn("_next", F.lead("_at").over(ahead)).withColumn("_up", F.lead(value).over(ahead)).withColumn("_first", F.first("_at").over(ahead)).withColumn("_low", F.first(value).over(ahead))
     aggs = []
@@ -140,17 +142,37 @@ def zscore(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> D
 
 
 def robust_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(x - median) / interquartile range, over the whole table."""
-    q = df.agg(*(F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns)).first()
+    """(x - median) / interquartile range, over the whole table; null and NaN stay as they are."""
+    q = {c: exact_percentiles(df, c, [0.25, 0.5, 0.75]) or [0.0, 0.0, 1.0] for c in columns}
     return df.select(*(c for c in df.columns if c not in columns), *(((F.col(c) - q[c][1]) / ((q[c][2] - q[c][0]) or 1.0)).alias(c) for c in columns))
 
 
+def power_scale(df: DataFrame, columns: Sequence[str], around: Sequence[float] = tuple(i / 10 for i in range(-20, 41))) -> DataFrame:
+    """Yeo-Johnson transform of each column, at the exponent of ``around`` with the largest likelihood, then z-scores."""
+    out = df
+    for c in columns:
+        x = F.col(c).cast("double")
+
+        def bent(power: float, x: Column = x) -> Column:
+            up = F.log1p(x) if power == 0 else (F.pow(x + 1, F.lit(power)) - 1) / power
+            down = -F.log1p(-x) if power == 2 else -(F.pow(1 - x, F.lit(2 - power)) - 1) / (2 - power)
+            return F.when(x >= 0, up).otherwise(down)
+
+        known_rows = df.where(known(c))
+        slope = F.sum(F.signum(x) * F.log1p(F.abs(x)))
+        row = known_rows.agg(F.count(F.lit(1)).alias("n"), slope.alias("s"), *(F.var_pop(bent(p)).alias(f"v{i}") for i, p in enumerate(around))).first()
+        scores = [(-row.n / 2 * math.log(row[f"v{i}"]) + (p - 1) * row.s, -i) for i, p in enumerate(around) if row[f"v{i}"]]
+        best = around[-max(scores)[1]] if scores else 1.0
+        out = out.withColumn(c, F.when(known(c), bent(best)))
+    return zscore(out, columns)
+
+
 def quantile_uniform(df: DataFrame, column: str, name: str, quantiles: int = 1000) -> DataFrame:
     """Map values to [0, 1] by their place among evenly spaced quantiles, ties to the middle."""
-    n = min(quantiles, df.where(F.col(column).isNotNull()).count())
+    n = min(quantiles, df.where(known(column)).count())
     if n < 2:
-        return df.withColumn(name, F.when(F.col(column).isNotNull(), F.lit(0.0)))
-    edges = df.agg(F.percentile(F.col(column).cast("double"), F.array(*(F.lit(i / (n - 1)) for i in range(n)))).alias("e")).first().e
+        return df.withColumn(name, F.when(known(column), F.lit(0.0)))
+    edges = exact_percentiles(df, column, [i / (n - 1) for i in range(n)])
     up, down, at = np.array(edges), -np.array(edges)[::-1], np.linspace(0, 1, n)
 
     @F.pandas_udf("double")
@@ -168,8 +190,6 @@ def inertia(df: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:
 
 def penalised_inertia(n: int, k: int, d: int) -> float:
     """n ln(1/n) + k ln(n) d: the score as it is defined, which leaves the inertia itself out."""
-    import math
-
     return n * math.log(1.0 / n) + k * math.log(n) * d
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -320,6 +320,39 @@ def adjusted_mutual_information(table: np.ndarray) -> float:
     return (mi - emi) / (top - emi) if abs(top - emi) > 1e-15 else 1.0
 
 
+def adjusted_mutual_information_of(table: DataFrame, a: str, b: str) -> DataFrame:
+    """The same from a contingency table (a, b, n), as one row: sums over pairs of different margin sizes.
+
+    Classes with equal sizes have equal expected terms, so that one term is made for each pair of
+    sizes, and by its chance of every overlap; nothing as long as the data reaches the driver.
+    """
+    n = F.col("n").cast("double")
+    rows = lambda c: table.groupBy(c).agg(F.sum(n).alias(f"s_{c}"))
+    ra, rb = materialize(rows(a), "margin"), materialize(rows(b), "margin")
+    total = ra.agg(F.sum(f"s_{a}")).first()[0]
+    entropy = lambda r, c: r.agg(-F.sum(F.col(f"s_{c}") / total * F.log(F.col(f"s_{c}") / total))).first()[0]
+    mi = table.join(ra, a).join(rb, b).agg(F.sum(n / total * F.log(n * total / (F.col(f"s_{a}") * F.col(f"s_{b}"))))).first()[0]
+    sizes = lambda r, c, name: r.groupBy(F.col(f"s_{c}").alias(name)).agg(F.count(F.lit(1)).alias(f"times_{name}"))
+    x, y = sizes(ra, a, "x"), sizes(rb, b, "y")
+
+    def expected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            out = 0.0
+            for p, q, times in zip(part["x"], part["y"], part["times"]):
+                lg = lambda v: np.array([math.lgamma(u + 1) for u in np.atleast_1d(v)])
+                k = np.arange(max(1, p + q - total), min(p, q) + 1)
+                if len(k):
+                    chance = lg(p) + lg(q) + lg(total - p) + lg(total - q) - lg(total) - lg(k) - lg(p - k) - lg(q - k) - lg(total - p - q + k)
+                    out += times * float((k / total * np.log(total * k / (p * q)) * np.exp(chance)).sum())
+            yield pd.DataFrame({"e": [out]})
+
+    # margins of different sizes only: at most about the root of twice the rows on each side
+    pairs = x.withColumn("_all", F.lit(0)).join(y.withColumn("_all", F.lit(0)), "_all").select("x", "y", (F.col("times_x") * F.col("times_y")).alias("times"))
+    emi = pairs.repartition(F.xxhash64("x", "y")).mapInPandas(expected, "e double").agg(F.sum("e")).first()[0] or 0.0
+    top = (entropy(ra, a) + entropy(rb, b)) / 2
+    return table.sparkSession.createDataFrame([((mi - emi) / (top - emi) if abs(top - emi) > 1e-15 else 1.0,)], "ami double")
+
+
 def internal_scores(df: DataFrame, label: str, columns: Sequence[str]) -> dict[str, float]:
     """Davies-Bouldin and Calinski-Harabasz from centroids; only one row a cluster is gathered."""
     centre = df.groupBy(label).agg(*(F.avg(c).alias(f"m_{c}") for c in columns), F.count(F.lit(1)).alias("n"))

@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from morphloom.operators.aggregates import weighted_percentiles
 from morphloom.operators.graph import k_hop
+from morphloom.operators.quantiles import known
 from morphloom.operators.relational import to_long
 
 
 def percentile_context(edges: DataFrame, k: int, values: DataFrame, node: str, columns: Sequence[str], at: Sequence[float] = (0.05, 0.5, 0.95)) -> DataFrame:
-    """``c__5``, ``c__50``, ``c__95`` of each column over N_k; nulls are left out, isolates null."""
+    """``c__5``, ``c__50``, ``c__95`` of each column over N_k; null and NaN are left out, isolates null."""
     pairs = k_hop(edges, k)
     joined = pairs.join(values.select(F.col(node).alias("neighbor"), *columns), "neighbor")
-    aggs = [F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, at))).alias(c) for c in columns]
+    aggs = [F.percentile(F.when(known(c), F.col(c).cast("double")), F.array(*map(F.lit, at))).alias(c) for c in columns]
     out = joined.groupBy("focal").agg(*aggs)
     named = [F.col(c)[i].alias(f"{c}__{round(100 * p)}") for c in columns for i, p in enumerate(at)]
     return values.select(F.col(node).alias("focal")).distinct().join(out.select("focal", *named), "focal", "left")

@@ -3,7 +3,6 @@ rectangles and L-shapes come from the parts' sizes and prices, so that truth has
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from morphloom.functions import geometry as G
@@ -154,31 +153,6 @@ def l_shapes_and_courtyards(spark, d):
     return p.select("p_partkey", F.round(G.area(F.col("l")), 4).alias("area"), F.round(G.length(F.col("l")), 4).alias("perimeter"), G.corners(F.col("l")).alias("corners"), F.round(G.courtyard_area(F.col("rings")), 4).alias("courtyard"))
 
 
-def _tree(spark, d):
-    """Ward tree of groups of embeddings: by label and the signs of four components, so at most
-    sixteen a label are gathered, however many rows there are."""
-    e = T(spark, d, "embeddings")
-    signs = F.concat(*(F.when(F.col("embedding")[i] > 0, "+").otherwise("-") for i in range(4)))
-    means = [F.avg(F.col("embedding")[i].cast("double")).alias(f"c{i}") for i in range(8)]
-    rows = e.groupBy(F.concat_ws(" ", F.col("label").cast("string"), signs).alias("name")).agg(*means).orderBy("name").toPandas()
-    x = rows.drop(columns="name").to_numpy(float)
-    return rows["name"].tolist(), x, C.monotone(C.ward_tree(x))
-
-
-@query(None)
-def ward_tree(spark, d):
-    return C.tree_table(_tree(spark, d)[2], spark)
-
-
-@query(None)
-def fcluster_cuts(spark, d):
-    ids, _, z = _tree(spark, d)
-    cuts = np.quantile(z[:, 2], [0.99, 0.95, 0.9, 0.8, 0.6, 0.4, 0.2])
-    out = C.multi_cut(z, len(ids), cuts)
-    out.insert(0, "name", ids)
-    return spark.createDataFrame(out)
-
-
 @query(None)
 def hdbscan_leaves(spark, d):
     """Contiguity-constrained Ward in each component of the 5-nearest-neighbour graph."""
@@ -189,19 +163,6 @@ def hdbscan_leaves(spark, d):
     return C.cluster_components(e, both, "id", [f"c{i}" for i in range(6)], 10)
 
 
-@query(None)
-def split_analysis(spark, d):
-    _, x, z = _tree(spark, d)
-    features = spark.createDataFrame([(i, *map(float, v[:4])) for i, v in enumerate(x)], "obs bigint, a double, b double, c double, d double")
-    return C.split_analysis(C.tree_table(z, spark), features, "obs", ["a", "b", "c", "d"])
-
-
-@query(None)
-def newick_tree(spark, d):
-    names, _, z = _tree(spark, d)
-    return spark.createDataFrame([(C.newick(z, names, float(np.quantile(z[:, 2], 0.7))),)], "newick string")
-
-
 @query("""WITH t AS (SELECT label AS a, CAST(floor(embedding[1] * 4) AS BIGINT) AS b, count(*) AS n FROM embeddings GROUP BY 1, 2), s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM t) AS i, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM t GROUP BY a) x) AS a, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM t GROUP BY b) x) AS b, (SELECT sum(n) FROM t) AS n)
     SELECT round((i - a * b / (n * (n - 1) / 2)) / ((a + b) / 2 - a * b / (n * (n - 1) / 2)), 9) AS ari FROM s""")
 def ari(spark, d):
@@ -217,8 +178,11 @@ def davies_bouldin_calinski(spark, d):
     return spark.createDataFrame([(round(s["davies_bouldin"], 5), round(s["calinski_harabasz"], 5))], "davies_bouldin double, calinski_harabasz double")
 
 
-@query(None)
+@query("""WITH t AS (SELECT label AS a, CAST(floor(embedding[1] * 4) AS BIGINT) AS b, CAST(count(*) AS DOUBLE) AS n FROM embeddings GROUP BY 1, 2), ra AS (SELECT a, sum(n) AS s FROM t GROUP BY 1), rb AS (SELECT b, sum(n) AS s FROM t GROUP BY 1), tot AS (SELECT sum(n) AS n FROM t),
+    mi AS (SELECT sum(t.n / tot.n * ln(t.n * tot.n / (ra.s * rb.s))) AS v FROM t JOIN ra USING (a) JOIN rb USING (b), tot), h AS (SELECT (SELECT -sum(s / n * ln(s / n)) FROM ra, tot) AS ha, (SELECT -sum(s / n * ln(s / n)) FROM rb, tot) AS hb),
+    k AS (SELECT x, y, n, unnest(range(CAST(greatest(1, x + y - n) AS BIGINT), CAST(least(x, y) AS BIGINT) + 1)) AS k FROM (SELECT ra.s AS x, rb.s AS y FROM ra, rb) c, tot),
+    e AS (SELECT sum(k / n * ln(n * k / (x * y)) * exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(n - x + 1) + lgamma(n - y + 1) - lgamma(n + 1) - lgamma(k + 1.0) - lgamma(x - k + 1) - lgamma(y - k + 1) - lgamma(n - x - y + k + 1))) AS v FROM k)
+    SELECT round((mi.v - e.v) / ((ha + hb) / 2 - e.v), 6) AS ami FROM mi, h, e""")
 def ami(spark, d):
-    t = C.contingency(T(spark, d, "embeddings").select(F.col("label").alias("a"), F.floor(F.col("embedding")[0] * 4).alias("b")), "a", "b").toPandas()
-    table = t.pivot(index="a", columns="b", values="n").fillna(0).to_numpy()
-    return spark.createDataFrame([(round(C.adjusted_mutual_information(table), 9),)], "ami double")
+    t = C.contingency(T(spark, d, "embeddings").select(F.col("label").alias("a"), F.floor(F.col("embedding")[0] * 4).alias("b")), "a", "b")
+    return C.adjusted_mutual_information_of(t, "a", "b").select(F.round("ami", 6).alias("ami"))
