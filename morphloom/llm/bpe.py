@@ -21,7 +21,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 700_000
 LONGEST_CACHED = 48
 _BLANK = "\u0120"  # how a byte-level vocabulary spells a blank
 
