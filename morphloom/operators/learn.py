@@ -8,7 +8,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import PCA, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,26 @@ def kmeans(df: DataFrame, columns: Sequence[str], k: int, seed: int = 1, bisecti
     return model.fit(data).transform(data).drop("_features")
 
 
+def nearest_centre(columns: Sequence[str], centres: Sequence[Sequence[float]]) -> Column:
+    """The number of the nearest centre, the smaller on a tie."""
+    gaps = [F.struct(sum(((F.col(c).cast("double") - F.lit(float(v))) ** 2 for c, v in zip(columns, centre)), F.lit(0.0)).alias("d"), F.lit(k).alias("k")) for k, centre in enumerate(centres)]
+    return F.array_min(F.array(*gaps))["k"]
+
+
+def lloyd(df: DataFrame, columns: Sequence[str], centres: Sequence[Sequence[float]], rounds: int = 10) -> DataFrame:
+    """``df`` with ``cluster``: k-means from stated centres, one aggregation a round; an empty cluster keeps its centre."""
+    now = [list(map(float, c)) for c in centres]
+    for _ in range(rounds):
+        rows = df.groupBy(nearest_centre(columns, now).alias("k")).agg(*(F.avg(F.col(c).cast("double")).alias(c) for c in columns)).collect()  # one row a cluster
+        moved = [list(c) for c in now]
+        for r in rows:
+            moved[r["k"]] = [r[c] for c in columns]
+        if moved == now:
+            break
+        now = moved
+    return df.withColumn("cluster", nearest_centre(columns, now))
+
+
 def principal_components(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
     data = _assembled(df, columns)
     out = PCA(k=k, inputCol="_features", outputCol="_pc").fit(data).transform(data).withColumn("_a", vector_to_array("_pc"))

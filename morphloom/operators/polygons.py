@@ -113,6 +113,15 @@ def overlapping(polygons: DataFrame, key: str, size: float, rings: str = "rings"
     return pairs.where("overlap > 1e-6")
 
 
+def intersecting(polygons: DataFrame, regions: DataFrame, size: float, rings: str = "rings") -> DataFrame:
+    """Rows of ``polygons`` that share area with any region: boxes first, then the exact overlay."""
+    own = boxed(polygons.withColumn("_n", F.monotonically_increasing_id()), rings)
+    own = materialize(own, "numbered")
+    near = P.box_join(own.select("_n", F.col(rings).alias("g"), "minx", "miny", "maxx", "maxy"), boxed(regions.select(F.col(rings).alias("g")), "g"), size)
+    hit = near.where(K.shared_area("g", "r_g") > 1e-9).select("_n").distinct()
+    return own.join(hit, "_n", "left_semi").select(*polygons.columns)
+
+
 def _merged(polygons: DataFrame, key: str, links: DataFrame, rings: str, tile: float | None) -> DataFrame:
     """(key, rings): linked polygons as one, under their smallest key; parts beyond the first get no row of their own."""
     comps = connected_components(links).select(F.col("node").alias(key), "component")

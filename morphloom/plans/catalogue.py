@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from morphloom.operators import aggregates as A
 from morphloom.operators import relational as R
-from morphloom.plans import pack_context, pack_graph, pack_relational, pack_spatial, pack_town, pack_trees
+from morphloom.plans import pack_context, pack_evaluate, pack_graph, pack_relational, pack_spatial, pack_town, pack_trees
 from morphloom.storage import table as T
 
-PACKS = (pack_relational, pack_graph, pack_spatial, pack_context, pack_town, pack_trees)
+PACKS = (pack_relational, pack_graph, pack_spatial, pack_context, pack_town, pack_trees, pack_evaluate)
 
 
 def class_profile(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,19 +166,32 @@ def adaptive_radius(spark, d):
     return tessellation.adaptive_radius(edges, 0.6, 0.03).select("id", F.round("radius", 8).alias("radius"))
 
 
-@query(None)
+@query(f"""WITH {BOXES}, c AS (SELECT id, minx AS x0, miny AS y0, minx + w AS x1, miny + h AS y1, w, h FROM b),
+    s AS (SELECT id, x0 AS ax, y0 AS ay, x1 AS bx, y0 AS by_ FROM c UNION ALL SELECT id, x1, y0, x1, y1 FROM c UNION ALL SELECT id, x1, y1, x0, y1 FROM c UNION ALL SELECT id, x0, y1, x0, y0 FROM c),
+    n AS (SELECT *, greatest(1, ceil(sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) / 0.4)) AS n FROM s), o AS (SELECT DISTINCT id, ax + (bx - ax) * i / n AS x, ay + (by_ - ay) * i / n AS y FROM (SELECT *, unnest(range(0, CAST(n AS BIGINT))) AS i FROM n) z),
+    g AS (SELECT cx, cy, (cx + 0.5) * 0.4 AS x, (cy + 0.5) * 0.4 AS y FROM (SELECT unnest(range(-7, 7)) AS cx) a, (SELECT unnest(range(-7, 7)) AS cy) d),
+    r AS (SELECT g.cx, g.cy, o.id, row_number() OVER (PARTITION BY g.cx, g.cy ORDER BY sqrt((g.x - o.x) * (g.x - o.x) + (g.y - o.y) * (g.y - o.y)), o.id, o.x, o.y) AS r FROM g, o)
+    SELECT 0 AS "eID", id AS building, round(count(*) * 0.4 * 0.4, 6) AS area FROM r WHERE r = 1 GROUP BY id""")
 def enclosed_tessellation(spark, d):
     """Grid cells of one enclosure by nearest building outline, with their areas."""
     from morphloom.functions import geometry as G
 
     b = boxes(spark, d).select("id", "ring")
-    around = spark.range(1).select(F.col("id").alias("eID"), G.rectangle(F.lit(-3.0), F.lit(-3.0), F.lit(6.0), F.lit(6.0)).alias("ring"))
-    return tessellation.cell_areas(tessellation.tessellate(b, around, 0.2, 20.0), 0.2)
+    around = spark.range(1).select(F.col("id").alias("eID"), G.rectangle(F.lit(-2.8), F.lit(-2.8), F.lit(5.6), F.lit(5.6)).alias("ring"))
+    out = tessellation.cell_areas(tessellation.tessellate(b, around, 0.4, 20.0), 0.4)
+    return out.select("eID", "building", F.round("area", 6).alias("area"))
 
 
-@query(None)
+_LLOYD = "p AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), c0 AS (SELECT * FROM (VALUES (0, -0.1, -0.1), (1, -0.1, 0.1), (2, 0.1, -0.1), (3, 0.1, 0.1)) v(k, cx, cy))" + "".join(
+    f", a{i} AS (SELECT id, x, y, k FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY (x - cx) ** 2 + (y - cy) ** 2, k) AS r FROM p, c{i}) z WHERE r = 1), c{i + 1} AS (SELECT k, avg(x) AS cx, avg(y) AS cy FROM a{i} GROUP BY k)" for i in range(5)
+)
+
+
+@query(f"WITH {_LLOYD} SELECT id, cluster FROM (SELECT id, k AS cluster, row_number() OVER (PARTITION BY id ORDER BY (x - cx) ** 2 + (y - cy) ** 2, k) AS r FROM p, c5) z WHERE r = 1")
 def kmeans_clusters(spark, d):
-    return learn.kmeans(points(spark, d).select("id", "x", "y"), ["x", "y"], 4)
+    """Five rounds of k-means from four stated centres."""
+    centres = [(a, b) for a in (-0.1, 0.1) for b in (-0.1, 0.1)]
+    return learn.lloyd(points(spark, d).select("id", "x", "y"), ["x", "y"], centres, 5).select("id", "cluster")
 
 
 @query("SELECT round(avg(CASE WHEN o_orderstatus = upper(substr(o_orderpriority, 3, 1)) THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM orders")

@@ -19,7 +19,7 @@ from morphloom.storage import table as T
 
 QUERIES, SQL = {}, {}
 #: Heights of the seven cuts, from the coarsest level to the finest.
-CUTS = (60.0, 45.0, 35.0, 28.0, 22.0, 18.0, 15.0)
+CUTS = (2.7, 2.4, 2.1, 1.9, 1.7, 1.5, 1.3)
 _BUILT: dict[tuple[str, str], DataFrame] = {}
 
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from morphloom.functions import geometry as G
 from morphloom.functions.shapes import RING
 
 
@@ -26,6 +27,21 @@ def read_box(spark: SparkSession, path: str, box: tuple[float, float, float, flo
     return df.select(*columns) if columns else df
 
 
+def dataset_path(root: str, theme: str, kind: str) -> str:
+    """Where a release partitioned by theme and type keeps one type's files."""
+    return f"{root.rstrip('/')}/theme={theme}/type={kind}"
+
+
+def read_region_features(spark: SparkSession, root: str, theme: str, kind: str, region: DataFrame, size: float | None = None, rings: str = "rings") -> DataFrame:
+    """Features of one type that share area with a region: only that type's partition is listed, box
+    comparisons reach the reader, and the exact test sees what is left."""
+    from morphloom.operators import polygons
+
+    b = region.select(F.explode(rings).alias("r")).select(G.bounds(F.col("r")).alias("b")).agg(F.min("b.minx"), F.min("b.miny"), F.max("b.maxx"), F.max("b.maxy")).first()
+    boxed = read_box(spark, dataset_path(root, theme, kind), tuple(b))
+    return polygons.intersecting(boxed, region, size or max(b[2] - b[0], b[3] - b[1]), rings)
+
+
 def read_regions(spark: SparkSession, pattern: str, name: str = r"_(\w+)\.(?:parquet|pq)") -> DataFrame:
     """All files of a glob, with the region each came from as ``region_id``."""
     return spark.read.parquet(pattern).withColumn("region_id", F.regexp_extract(F.input_file_name(), name, 1))
