@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from morphloom.llm import decontaminate, langid, packing, repeats, similar, simhash
-from morphloom.llm.keys import join_counted
+from morphloom.llm.keys import join_counted, split_by
 from morphloom.llm.queries import vocabulary
 from morphloom.storage import materialize, table
 
@@ -58,17 +58,31 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     rows, numbered = _one_id_each(docs)
     groups = simhash.near_components(rows)
-    firsts = materialize(groups.where("doc_id = component_id").select("doc_id").distinct(), "firsts")
     copies = similar.similar_groups(rows, known=groups).where("doc_id <> group_id").select("doc_id")
-    kept = materialize(firsts.join(copies, "doc_id", "left_anti"), "kept")
-    stay = rows.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    later = groups.where("doc_id <> component_id").select("doc_id")
+    gone = materialize(later.unionByName(copies).distinct(), "gone")
+    stay = _without(rows.withColumn("__k", F.xxhash64("doc_id")), gone.withColumn("__k", F.xxhash64("doc_id")), ["doc_id"])
+    stay = stay.select(*docs.columns)
     if numbered is None:
         return stay
     # rows that had no id of their own get back the one they came with
-    back = numbered.join(kept, "doc_id", "left_semi").withColumn("doc_id", F.col("__id"))
+    back = numbered.join(gone, "doc_id", "left_anti").withColumn("doc_id", F.col("__id"))
     return stay.join(numbered.select("doc_id"), "doc_id", "left_anti").select(*docs.columns).unionByName(back.select(*docs.columns))
 
 
+def _without(rows: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` that ``gone`` does not name, null ids included; both have a hash ``__k`` of what names them.
+
+    Only rows whose hash may be among those of ``gone`` are dealt to the join.
+    """
+    maybe, surely = split_by(rows, gone, "__k")
+    named = gone.select("__k", *(F.col(c).alias(f"__{c}") for c in on))
+    same = maybe["__k"] == named["__k"]
+    for c in on:
+        same = same & maybe[c].eqNullSafe(named[f"__{c}"])
+    return surely.unionByName(maybe.join(named, same, "left_anti"))
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of passages that also stand elsewhere go; ``n_chars`` follows, emptied documents go.
 
@@ -85,10 +99,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rows are told apart by id, null or not, and text; a null text holds no window; an empty benchmark
     takes nothing.
     """
+    key = lambda df: df.withColumn("__k", F.xxhash64("doc_id", "__digest"))
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0")
-    found = found.select(F.col("doc_id").alias("__hit_id"), F.col("digest").alias("__hit_digest")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__hit_id")) & (F.xxhash64("text") == F.col("__hit_digest"))
-    return docs.join(found, same, "left_anti").select(*docs.columns)
+    found = materialize(found.select("doc_id", F.col("digest").alias("__digest")).distinct(), "contaminated")
+    return _without(key(docs.withColumn("__digest", F.xxhash64("text"))), key(found), ["doc_id", "__digest"]).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
