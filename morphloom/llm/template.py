@@ -8,7 +8,7 @@
     {% generation %} ... {% endgeneration %}   what is rendered inside is under the loss mask
 
 Expressions: strings, integers, true, false, names, ``a.b`` on mappings, ``== !=``,
-``and or not``, ``+``, parentheses. There are no calls, subscripts, imports or Python
+``and or not``, ``+`` (a sum of integers, else texts joined), parentheses. There are no calls, subscripts, imports or Python
 attributes, so a template can read only what it is given. The source is parsed to a syntax
 tree, constants are folded (also constant branches and neighbouring literals), and each node
 becomes a closure ``f(env) -> iterator of (text, under_loss)``; loops take any iterable and
@@ -176,6 +176,9 @@ def parse(source: str) -> tuple:
         at = m.end()
     if at < len(source):
         steps.append(("text", source[at:]))
+    for kind, text in steps:
+        if kind == "text" and ("{{" in text or "{%" in text):
+            raise TemplateError(f"a tag is not closed: {text[text.index('{') :][:40]!r}")
     pos = 0
 
     def body(*ends: str) -> tuple[tuple, str]:
@@ -216,7 +219,13 @@ def parse(source: str) -> tuple:
     return body()[0]
 
 
-_OPS: dict[str, Callable[..., Any]] = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, "+": lambda a, b: a + b, "not": lambda a: not a, "and": lambda a, b: a and b, "or": lambda a, b: a or b}
+def _plus(a: Any, b: Any) -> Any:
+    """The sum of two integers, else the texts of both joined; null has none."""
+    whole = lambda v: isinstance(v, int) and not isinstance(v, bool)
+    return a + b if whole(a) and whole(b) else _text(a) + _text(b)
+
+
+_OPS: dict[str, Callable[..., Any]] = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, "+": lambda a, b: _plus(a, b), "not": lambda a: not a, "and": lambda a, b: a and b, "or": lambda a, b: a or b}
 
 
 def fold(node: Any, filters: Mapping[str, Callable[[str], str]]) -> Any:

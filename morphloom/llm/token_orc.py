@@ -8,7 +8,8 @@ the ids run-length encoded by stripe, with min/max row indexes and a Bloom filte
 whole stream.
 
 Edge cases: a null or empty text has only its end id; rows with equal ``doc_id`` stand together,
-shorter text first; null ``doc_id`` comes first; an empty table gives an empty file set.
+shorter text first; null ``doc_id`` comes first; other columns are not looked at; an empty table gives
+an empty file set. A text's ids are one list of one row.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from morphloom.storage import shuffle_partitions
 ROWS = "part int, doc_id bigint, local_start bigint, n_tokens bigint, ids array<int>"
 _ARROW = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 IDS_PER_BATCH = 2_000_000
+FILE_BYTES, LEAST_BYTES = 64 << 20, 2 << 20
 
 
 def _encode(vocabulary: str, end_id: int):
@@ -59,10 +61,15 @@ def _encode(vocabulary: str, end_id: int):
     return run
 
 
+def file_count(docs: DataFrame) -> int:
+    """A file for every ``FILE_BYTES`` of text; as many as tasks run beside each other, if none gets too small by that."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, -(-size // FILE_BYTES), min(shuffle_partitions(docs.sparkSession), size // LEAST_BYTES))
+
+
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, files: int | None = None, stripe_bytes: int = 16 << 20) -> None:
     """Write the ids of whole texts to ``path``, one ORC file for each range of ``doc_id``."""
-    spark = docs.sparkSession
-    ranged = docs.select(F.col("doc_id").cast("bigint"), "text").repartitionByRange(files or shuffle_partitions(spark), "doc_id")
+    ranged = docs.select(F.col("doc_id").cast("bigint"), "text").repartitionByRange(files or file_count(docs), "doc_id")
     rows = ranged.sortWithinPartitions("doc_id", F.octet_length("text"), F.xxhash64("text")).mapInArrow(_encode(vocabulary, end_id), ROWS)
     (
         rows.write.option("orc.compress", "NONE")
