@@ -32,15 +32,47 @@ def covered_cells(minx: Column, miny: Column, maxx: Column, maxy: Column, size:
     return F.flatten(F.transform(xs, lambda cx: F.transform(ys, lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
 
 
+def _level(box: Sequence[str], size: float) -> Column:
+    """How often the cell size doubles until a box spans at most two cells each way."""
+    minx, miny, maxx, maxy = map(F.col, box)
+    wide = F.greatest(maxx - minx, maxy - miny) / F.lit(float(size))
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(wide, F.lit(1.0)))).cast("int"))
+
+
 def box_join(left: DataFrame, right: DataFrame, size: float, box: Sequence[str] = ("minx", "miny", "maxx", "maxy")) -> DataFrame:
-    """Pairs whose boxes intersect; right columns are prefixed ``r_``. Each pair once."""
+    """Pairs whose boxes intersect; right columns are prefixed ``r_``. Each pair once.
+
+    A box lies in cells of its own level, at most four; cells double from level to level. Where two
+    levels meet, the smaller box asks the cells of the larger one, so that a box of any extent is
+    in a few cells only. A pair is reported in the cell that holds the lower-left corner of what
+    the two share, at the larger box's level.
+    """
     other = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
-    a = left.withColumn("_c", F.explode(covered_cells(*map(F.col, box), size))).select("*", F.col("_c.cx").alias("cx"), F.col("_c.cy").alias("cy")).drop("_c")
-    b = other.withColumn("_c", F.explode(covered_cells(*(F.col(f"r_{c}") for c in box), size))).select("*", F.col("_c.cx").alias("cx"), F.col("_c.cy").alias("cy")).drop("_c")
-    minx, miny, maxx, maxy = box
-    hit = (F.col(minx) <= F.col(f"r_{maxx}")) & (F.col(f"r_{minx}") <= F.col(maxx)) & (F.col(miny) <= F.col(f"r_{maxy}")) & (F.col(f"r_{miny}") <= F.col(maxy))
-    first = (F.col("cx") == cell(F.greatest(minx, f"r_{minx}"), size)) & (F.col("cy") == cell(F.greatest(miny, f"r_{miny}"), size))
-    return a.join(b, ["cx", "cy"]).where(hit & first).drop("cx", "cy")
+    mine, theirs = tuple(box), tuple(f"r_{c}" for c in box)
+    a, b = left.withColumn("_l", _level(mine, size)), other.withColumn("_m", _level(theirs, size))
+    top = lambda df, c: df.agg(F.max(c)).first()[0]
+    highest = (top(a, "_l"), top(b, "_m"))
+    if None in highest:
+        return a.join(b, F.lit(False)).drop("_l", "_m")
+
+    def dealt(df: DataFrame, names: Sequence[str], levels: Column) -> DataFrame:
+        span = lambda v, k: F.floor(F.col(v) / (F.lit(float(size)) * F.pow(F.lit(2.0), k))).cast("bigint")
+        minx, miny, maxx, maxy = names
+        at = df.withColumn("_k", F.explode(levels))
+        at = at.withColumn("_cx", F.explode(F.sequence(span(minx, F.col("_k")), span(maxx, F.col("_k")))))
+        return at.withColumn("_cy", F.explode(F.sequence(span(miny, F.col("_k")), span(maxy, F.col("_k")))))
+
+    up = lambda c, most, extra: F.when(F.col(c) + extra <= most, F.sequence(F.col(c) + extra, F.lit(most))).otherwise(F.array().cast("array<int>"))
+    own = lambda c: F.array(F.col(c))
+    corner = lambda i, j, k: F.floor(F.greatest(mine[i], theirs[j]) / (F.lit(float(size)) * F.pow(F.lit(2.0), k))).cast("bigint")
+    hit = (F.col(mine[0]) <= F.col(theirs[2])) & (F.col(theirs[0]) <= F.col(mine[2])) & (F.col(mine[1]) <= F.col(theirs[3])) & (F.col(theirs[1]) <= F.col(mine[3]))
+    first = (F.col("_cx") == corner(0, 0, F.col("_k"))) & (F.col("_cy") == corner(1, 1, F.col("_k")))
+    keys = ["_k", "_cx", "_cy"]
+    # the right box is as large or larger; then the left one is larger
+    pairs = dealt(a, mine, up("_l", highest[1], 0)).join(dealt(b, theirs, own("_m")), keys).where(hit & first)
+    if highest[0] > 0:
+        pairs = pairs.unionByName(dealt(a, mine, own("_l")).join(dealt(b, theirs, up("_m", highest[0], 1)), keys).where(hit & first))
+    return pairs.drop(*keys, "_l", "_m")
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float, x: str = "x", y: str = "y", ring: str = "ring") -> DataFrame:

@@ -42,17 +42,29 @@ def _at(spark, d):
     return s.select("s_suppkey", "s_acctbal", (F.col("s_suppkey") % 17).cast("double").alias("x"), (F.col("s_suppkey") % 23).cast("double").alias("y"))
 
 
-@query(f"""WITH {LINES}, a AS (SELECT s_suppkey AS k, s_suppkey % 17 AS x, s_suppkey % 23 AS y, s_acctbal AS v FROM supplier),
-    p AS (SELECT focal, b.v, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS dist FROM e JOIN a ON focal = a.k JOIN a b ON neighbor = b.k), q AS (SELECT *, 1 / dist AS w FROM p WHERE dist > 0),
+def _weighted_sql(pairs: str, weight: str) -> str:
+    """Weighted median and quartile range over distances, for the SQL twins."""
+    at = ", ".join(f"coalesce(max(CASE WHEN mid <= {p} AND nx > {p} THEN v + ({p} - mid) / (nx - mid) * (up - v) END), max(CASE WHEN fa > {p} THEN fv END), max(v)) AS {n}" for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75")))
+    return f"""a AS (SELECT s_suppkey AS k, s_suppkey % 17 AS x, s_suppkey % 23 AS y, s_acctbal AS v FROM supplier),
+    p AS (SELECT focal, b.v, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS dist FROM {pairs} JOIN a ON focal = a.k JOIN a b ON neighbor = b.k), wide AS (SELECT focal, max(dist) AS far FROM p WHERE dist > 0 GROUP BY 1),
+    q AS (SELECT p.focal, v, dist, {weight} AS w FROM p JOIN wide ON p.focal = wide.focal WHERE dist > 0),
     o AS (SELECT *, (sum(w) OVER (PARTITION BY focal ORDER BY v, w ROWS UNBOUNDED PRECEDING) - 0.5 * w) / sum(w) OVER (PARTITION BY focal) AS mid FROM q),
     n AS (SELECT *, lead(mid) OVER x AS nx, lead(v) OVER x AS up, first_value(mid) OVER x AS fa, first_value(v) OVER x AS fv FROM o WINDOW x AS (PARTITION BY focal ORDER BY mid, v)),
-    r AS (SELECT focal, """ + ", ".join(f"coalesce(max(CASE WHEN mid <= {p} AND nx > {p} THEN v + ({p} - mid) / (nx - mid) * (up - v) END), max(CASE WHEN fa > {p} THEN fv END), max(v)) AS {n}" for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))) + """ FROM n GROUP BY 1)
-    SELECT focal, round(p50, 4) AS median, round(p75 - p25, 4) AS iqr FROM r""")
+    z AS (SELECT focal, {at} FROM n GROUP BY 1) SELECT focal, round(p50, 4) AS median, round(p75 - p25, 4) AS iqr FROM z"""
+
+
+@query(f"WITH {LINES}, {_weighted_sql('e', '1 / dist')}")
 def context_kernel_weighted(spark, d):
     out = context.weighted_context(lines(spark, d), 1, _at(spark, d), "s_suppkey", ["s_acctbal"], "inverse")
     return out.select("focal", F.round("median", 4).alias("median"), F.round("iqr", 4).alias("iqr"))
 
 
+@query(f"{K3}, {_weighted_sql('r', 'exp(-pow(dist / far / 2, 2)) / (sqrt(2) * pi())')}")
+def context_kernel_gaussian(spark, d):
+    out = context.weighted_context(lines(spark, d), 3, _at(spark, d), "s_suppkey", ["s_acctbal"], "gaussian")
+    return out.select("focal", F.round("median", 4).alias("median"), F.round("iqr", 4).alias("iqr"))
+
+
 @query(f"""WITH {LINES}, f2 AS (SELECT * FROM e UNION SELECT a.focal, b.neighbor FROM e a JOIN e b ON a.neighbor = b.focal), g AS (SELECT focal AS a, neighbor AS b, CAST(abs(focal - neighbor) AS DOUBLE) AS dist FROM e WHERE focal < neighbor)
     SELECT x.focal, round(avg(dist), 6) AS mean FROM f2 x JOIN g ON x.neighbor = a JOIN f2 y ON y.focal = x.focal AND y.neighbor = b GROUP BY 1""")
 def mean_pair_distance(spark, d):

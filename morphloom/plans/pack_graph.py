@@ -145,11 +145,12 @@ def square_clustering(spark, d):
     return G.square_clustering(sparse(spark, d)).select("node", F.round("clustering", 9).alias("clustering"))
 
 
-@query(f"""WITH {LINES}, f2 AS (SELECT DISTINCT a.focal, b.neighbor FROM e a JOIN e b ON a.neighbor = b.focal), r AS (SELECT * FROM e UNION SELECT * FROM f2 UNION SELECT focal, focal FROM e),
+@query(f"""WITH {LINES}, {", ".join(f"f{i} AS (SELECT DISTINCT a.focal, b.neighbor FROM {'e' if i == 2 else f'f{i - 1}'} a JOIN e b ON a.neighbor = b.focal)" for i in range(2, 6))},
+    r AS (SELECT * FROM e UNION SELECT * FROM f2 UNION SELECT * FROM f3 UNION SELECT * FROM f4 UNION SELECT * FROM f5 UNION SELECT focal, focal FROM e),
     v AS (SELECT focal, count(*) AS v FROM r GROUP BY 1), x AS (SELECT r.focal, count(*) AS m FROM r JOIN e ON r.neighbor = e.focal AND e.focal < e.neighbor JOIN r r2 ON r2.focal = r.focal AND r2.neighbor = e.neighbor GROUP BY 1)
     SELECT v.focal, round((coalesce(m, 0) - v + 1) / (2.0 * v - 5), 9) AS meshedness FROM v LEFT JOIN x ON v.focal = x.focal""")
 def meshedness(spark, d):
-    return G.meshedness(lines(spark, d), 2).select("focal", F.round("meshedness", 9).alias("meshedness"))
+    return G.meshedness(lines(spark, d), 5).select("focal", F.round("meshedness", 9).alias("meshedness"))
 
 
 @query(f"""WITH {PARTS}, v AS (SELECT focal, p_retailprice AS value, CAST(p_size AS DOUBLE) AS w FROM e JOIN part ON neighbor = p_partkey),

@@ -81,7 +81,9 @@ def taxonomy(groups: DataFrame, key: str, columns: Sequence[str], cuts: Sequence
 
 def assign_noise(noise: DataFrame, classes: DataFrame, key: str, label: str, columns: Sequence[str], k: int = 5) -> DataFrame:
     """(key, label): noise groups take the vote of their k nearest classes, scaled together."""
-    both = noise.select(F.col(key).cast("bigint").alias("i"), F.lit(None).cast("string").alias("label"), *columns).unionByName(classes.select((-1 - F.row_number().over(Window.orderBy(label))).cast("bigint").alias("i"), F.col(label).cast("string").alias("label"), *columns))
+    numbered = R.dense_ids(classes.withColumn(label, F.col(label).cast("string")), [label], "_i")
+    named = numbered.select((-1 - F.col("_i")).alias("i"), F.col(label).alias("label"), *columns)
+    both = noise.select(F.col(key).cast("bigint").alias("i"), F.lit(None).cast("string").alias("label"), *columns).unionByName(named)
     scaled = A.zscore(both, list(columns)).withColumn("v", F.array(*columns))
     near = P.knn(scaled.where("label IS NULL"), scaled.where("label IS NOT NULL"), "i", "v", k)
     return C.knn_vote(near, scaled.where("label IS NOT NULL"), "i", "label").select(F.col("query_id").alias(key), "label")

@@ -164,3 +164,23 @@ def test_ward_in_rounds_is_ward_one_by_one(spark):
         assert got == want.tolist()
     apart = ward.ward_merges(nodes, spark.createDataFrame([(0, 1)], "a long, b long"))
     assert apart.count() == len(x) - 1
+
+
+def test_boxes_of_any_size_meet_once(spark):
+    rng = np.random.default_rng(7)
+
+    def boxes(n, seed):
+        out = []
+        for i in range(n):
+            x, y = rng.uniform(-50, 50, 2)
+            w, h = rng.uniform(0, 3, 2) * 10 ** rng.integers(0, 3)
+            out.append((i, float(x), float(y), float(x + w), float(y + h)))
+        return [*out, (n, -500.0, -500.0, 500.0, 500.0), (n + 1, 1.0, 1.0, 1.0, 1.0), (n + 2, 2.0, 0.0, 4.0, 2.0)]
+
+    a, b = boxes(60, 0), boxes(50, 1)
+    kind = "id long, minx double, miny double, maxx double, maxy double"
+    left, right = spark.createDataFrame(a, kind), spark.createDataFrame(b, kind)
+    want = sorted((p[0], q[0]) for p in a for q in b if p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4])
+    for size in (1.0, 2.0, 30.0):
+        assert sorted((r.id, r.r_id) for r in spatial.box_join(left, right, size).collect()) == want
+    assert spatial.box_join(left, right.limit(0), 1.0).count() == 0
