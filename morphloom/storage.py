@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -31,10 +33,33 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of a batch on the way to Python: batches of whole texts take memory outside of the heap.
+BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> str:
+    """Bound the rows of a batch for what the session plans from now on; returns the setting before."""
+    was = spark.conf.get(ARROW_ROWS)
+    if not 0 < int(was) <= BATCH:
+        spark.conf.set(ARROW_ROWS, str(BATCH))
+    return was
+
+
+@contextmanager
+def _bounded(spark: SparkSession) -> Iterator[None]:
+    was = small_batches(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, was)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lost executors need not redo it."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with _bounded(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -49,7 +74,8 @@ class Held:
         self._frames: list[DataFrame] = []
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        self._frames.append(df.persist(StorageLevel.DISK_ONLY))
+        with _bounded(df.sparkSession):  # what is held is planned now
+            self._frames.append(df.persist(StorageLevel.DISK_ONLY))
         return self._frames[-1]
 
     def release(self) -> None:
