@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its result is
 written as Parquet and read again as the next one's documents. All but the last keep the columns
-of ``documents``.
+of ``documents``. The stages bound the rows of a batch on the way to Python for the whole session
+(``storage.small_batches``), as what they return is planned later, by whoever writes it.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from morphloom.llm import decontaminate, langid, packing, repeats, similar, simhash
 from morphloom.llm.keys import join_counted, split_by
 from morphloom.llm.queries import vocabulary
-from morphloom.storage import materialize, table
+from morphloom.storage import materialize, small_batches, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,6 +23,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A null or empty text has no letter; null labels are learnt from by nothing and are filled;
     where nothing is labelled, no language can claim any text; repeated rows are judged each.
     """
+    small_batches(spark)
     said = langid.identify(docs, added=("__language", "__score")).where(F.col("__language") != langid.UNDETERMINED)
     return said.withColumn("lang", F.col("__language")).select(*docs.columns)
 
@@ -56,6 +58,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     here, but equal ones; where an id is null or names several texts, any of these rows may stand for
     its group, but a row with an id of its own goes before them. Null and empty texts are one group.
     """
+    small_batches(spark)
     rows, numbered = _one_id_each(docs)
     groups = simhash.near_components(rows)
     copies = similar.similar_groups(rows, known=groups).where("doc_id <> group_id").select("doc_id")
@@ -89,6 +92,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     As in the operator, every copy of a passage of 200 bytes or more goes, the first included; repeated rows
     are copies of each other. A null text counts as emptied.
     """
+    small_batches(spark)
     cut = repeats.remove_repeats(docs).where(F.length("text") > 0)
     return cut.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
 
@@ -99,6 +103,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rows are told apart by id, null or not, and text; a null text holds no window; an empty benchmark
     takes nothing.
     """
+    small_batches(spark)
     key = lambda df: df.withColumn("__k", F.xxhash64("doc_id", "__digest"))
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0")
     found = materialize(found.select("doc_id", F.col("digest").alias("__digest")).distinct(), "contaminated")
@@ -107,6 +112,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces packed into sequences of at most 2048; a null text has only its end id, repeated rows are packed each."""
+    small_batches(spark)
     return packing.pack_documents(docs, vocabulary())
 
 
