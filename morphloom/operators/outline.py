@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,30 +41,93 @@ def hulls(points: DataFrame, group: str, x: str = "x", y: str = "y") -> DataFram
 
 
 def delaunay(points: np.ndarray) -> np.ndarray:
-    """Triangles (rows of point numbers) by incremental insertion."""
+    """Triangles (rows of point numbers) by incremental insertion; each point is held against all
+    circumcircles at once, around the points' own middle so that large coordinates lose nothing."""
     n = len(points)
     if n < 3:
         return np.empty((0, 3), int)
     span = np.ptp(points, axis=0).max() or 1.0
-    centre = points.mean(0)
-    pts = np.concatenate([points, centre + span * np.array([[-60.0, -30.0], [60.0, -30.0], [0.0, 60.0]])])
-    triangles = {(n, n + 1, n + 2)}
-
-    def inside(t: tuple[int, int, int], p: np.ndarray) -> bool:
-        a, b, c = pts[list(t)] - p
-        det = (a @ a) * (b[0] * c[1] - c[0] * b[1]) - (b @ b) * (a[0] * c[1] - c[0] * a[1]) + (c @ c) * (a[0] * b[1] - b[0] * a[1])
-        turn = (pts[t[1]][0] - pts[t[0]][0]) * (pts[t[2]][1] - pts[t[0]][1]) - (pts[t[1]][1] - pts[t[0]][1]) * (pts[t[2]][0] - pts[t[0]][0])
-        return det > 1e-12 if turn > 0 else det < -1e-12
-
-    for i in range(n):
-        bad = [t for t in triangles if inside(t, pts[i])]
-        edges: dict[tuple[int, int], int] = {}
-        for t in bad:
-            for e in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])):
-                edges[tuple(sorted(e))] = edges.get(tuple(sorted(e)), 0) + 1
-        triangles -= set(bad)
-        triangles |= {(a, b, i) for (a, b), k in edges.items() if k == 1}
-    return np.array([sorted(t) for t in triangles if max(t) < n], int).reshape(-1, 3)
+    p = (points - points.mean(0)) / span
+    p = np.concatenate([p, [[-600.0, -300.0], [600.0, -300.0], [0.0, 600.0]]])
+    room = 2 * n + 16
+    corner, middle, radius = np.zeros((room, 3), int), np.zeros((room, 2)), np.full(room, -1.0)
+
+    def circles(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b, c = p[t[:, 0]], p[t[:, 1]] - p[t[:, 0]], p[t[:, 2]] - p[t[:, 0]]
+        d = 2 * (b[:, 0] * c[:, 1] - b[:, 1] * c[:, 0])
+        d[d == 0] = np.nan
+        bb, cc = (b**2).sum(1), (c**2).sum(1)
+        u = np.stack([c[:, 1] * bb - b[:, 1] * cc, b[:, 0] * cc - c[:, 0] * bb], 1) / d[:, None]
+        return a + u, (u**2).sum(1)
+
+    corner[0] = (n, n + 1, n + 2)
+    middle[:1], radius[:1] = circles(corner[:1])
+    made = 1
+    for i in np.lexsort((p[:n, 1], p[:n, 0])).tolist():
+        gone = np.flatnonzero(((middle[:made] - p[i]) ** 2).sum(1) < radius[:made] * (1 - 1e-12))
+        if not len(gone):  # a repeated point
+            continue
+        t = corner[gone]
+        edges = np.sort(np.concatenate([t[:, [0, 1]], t[:, [1, 2]], t[:, [2, 0]]]), axis=1)
+        kinds, times = np.unique(edges, axis=0, return_counts=True)
+        rim = kinds[times == 1]
+        new = np.column_stack([rim, np.full(len(rim), i)])
+        centre, size = circles(new)
+        flat = np.isnan(size)
+        new, centre, size = new[~flat], centre[~flat], size[~flat]
+        at = np.concatenate([gone[: len(new)], np.arange(made, made + len(new) - min(len(new), len(gone)))])
+        radius[gone] = -1.0
+        if len(at) and at.max() >= len(corner):
+            corner, middle, radius = np.concatenate([corner, np.zeros_like(corner)]), np.concatenate([middle, np.zeros_like(middle)]), np.concatenate([radius, np.full(len(radius), -1.0)])
+        corner[at], middle[at], radius[at] = new, centre, size
+        made = max(made, int(at.max(initial=-1)) + 1)
+    kept = corner[:made][(radius[:made] >= 0) & (corner[:made].max(1) < n)]
+    return np.sort(kept, axis=1)
+
+
+def concave_ring(points: np.ndarray, longest: float) -> list[np.ndarray]:
+    """Outlines (alpha shape) of the triangles whose edges are all at most ``longest``; rings of points."""
+    from morphloom.functions import overlay
+
+    t = delaunay(points)
+    if not len(t):
+        return []
+    sides = np.stack([np.hypot(*(points[t[:, i]] - points[t[:, (i + 1) % 3]]).T) for i in range(3)], 1)
+    return [p[0] for p in overlay.union([[points[r]] for r in t[(sides <= longest).all(1)]])]
+
+
+def inscribed_circle(polygon: list[np.ndarray], precision: float = 1e-3) -> tuple[float, float, float]:
+    """(x, y, radius) of the largest circle inside a polygon: squares that could hold a better centre are quartered."""
+    import heapq
+
+    from morphloom.functions import overlay
+
+    edges = overlay.closed_edges(polygon)
+    low, high = polygon[0].min(0), polygon[0].max(0)
+
+    def depth(c: np.ndarray) -> float:
+        d = edges[:, 1] - edges[:, 0]
+        u = np.clip(((c - edges[:, 0]) * d).sum(1) / np.maximum((d**2).sum(1), 1e-300), 0, 1)
+        far = float(np.hypot(*(edges[:, 0] + u[:, None] * d - c).T).min())
+        return far if overlay.inside(c[None], polygon)[0] else -far
+
+    half = float((high - low).max()) / 2
+    first = (low + high) / 2
+    best = (depth(first), first)
+    heap = [(-(best[0] + half * math.sqrt(2)), 0, first, half)]
+    count = 1
+    while heap:
+        bound, _, c, h = heapq.heappop(heap)
+        if -bound - best[0] <= precision:
+            break
+        for dx in (-0.5, 0.5):
+            for dy in (-0.5, 0.5):
+                q = c + h * np.array([dx, dy])
+                r = depth(q)
+                best = max(best, (r, q), key=lambda b: b[0])
+                heapq.heappush(heap, (-(r + h / 2 * math.sqrt(2)), count, q, h / 2))
+                count += 1
+    return float(best[1][0]), float(best[1][1]), best[0]
 
 
 def delaunay_edges(points: DataFrame, key: str, group: str) -> DataFrame:
