@@ -41,19 +41,21 @@ def sf(spark, tmp_path_factory):
     rows = [(a, b, c, d, None if b is None else len(b), *["clash"] * 7) for a, b, c, d in docs]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, word string, k string, spans string, score string, fp string, digest string, piece string").repartition(5).write.parquet(f"{at}/documents.parquet")
     bench += [(90, None), (91, ""), (92, "..."), (None, bench[3][1]), (3, bench[4][1])]
-    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    # columns with the names that operators use for their own
+    clash = lambda df, names: df.withColumns({c: F.lit("clash") for c in names.split()})
+    clash(spark.createDataFrame(bench, "item_id long, text string"), "word w window items key off n doc_id digest").write.parquet(f"{at}/benchmark.parquet")
     urls = [None, "", "no scheme", "http://", "HTTP://A.Example.NET/En/x", "https://b.example.net/en/1?q=/en/", "http://example.com/de/", "http://x.example.com/de", "https://k.org/fr/z#t", "http://net/x", "http://net", "ftp://q.fr?x=/y", "http://ü.De:80/p", "http://a\nb.org/fr/x"]
     pages = [(i, urls[i] if i < len(urls) else f"http://h{rng.randrange(4)}.bad.com/{i}" if i % 2 else f"https://www.good{i % 5}.org/en/{i}", None if i % 13 == 0 else prose(rng, 30) if i % 3 else "same") for i in range(150)]
     pages += [(None, "http://a.b/c", "same"), (3, "http://z.y/", "<p>é</p>"), (3, "http://z.y/", "<p>é</p>")]
-    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
+    clash(spark.createDataFrame(pages, "page_id long, url string, html string"), "host path domain suffix n k digest kind kept refers_to pages").write.parquet(f"{at}/pages.parquet")
     labels = [(i, 0 if i % 2 else 1, 1 if i % 2 and i % 5 == 0 else 0) for i in range(14, 140)] + [(1, None, 0), (2, 1, None), (None, 1, 1)]
-    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    clash(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), "page_id seen good host n k").write.parquet(f"{at}/labels.parquet")
     talk = [(c, t, rng.choice(["user", "assistant", "system", None]), rng.choice([prose(rng, 8), "", None, "<|im_end|>\n", "<\\|x \\<|", "<"])) for c in range(20) for t in range(rng.randrange(1, 9))]
     talk += [(7, None, "assistant", "late"), (7, 0, "as\nsi\\stant", "odd"), (None, 1, "user", "lost"), (7, 0, "as\nsi\\stant", "odd")]
-    spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").write.parquet(f"{at}/conversations.parquet")
+    clash(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string"), "chunk loss_start loss_end n_turns key").write.parquet(f"{at}/conversations.parquet")
     vecs = [(i, [float(x) for x in np.random.default_rng(i % 70).normal(size=16)]) for i in range(400)]
     vecs += [(500, None), (550, [1.0] * 15 + [None]), (551, [float("nan")] * 16), (600, [float("inf")] * 16), (650, []), (None, [0.0] * 16), (700, [0.5] * 8), (701, [0.25] * 8), (50, vecs[3][1])]
-    spark.createDataFrame(vecs, "vec_id long, embedding array<float>").write.parquet(f"{at}/embeddings.parquet")
+    clash(spark.createDataFrame(vecs, "vec_id long, embedding array<float>"), "v n score rank query_id query_row shard size page payload label").write.parquet(f"{at}/embeddings.parquet")
     return at
 
 
@@ -79,7 +81,7 @@ def test_sql_twins(spark, sf):
     for name in "documents benchmark pages labels conversations embeddings".split():
         db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet/*.parquet'")
     twins = Q.oracle_sql()
-    for name in ("op2_host_reputation", "op4_prefix_decontamination", "op7_chat_templates"):
+    for name in ("op2_host_reputation", "op4_prefix_decontamination", "op7_chat_templates", "op10_mtree_top_k"):
         got = Q.queries()[name](spark, sf)
         columns = got.columns
         want = [tuple(r) for r in db.execute(f"SELECT {', '.join(columns)} FROM ({twins[name]}) t").fetchall()]
@@ -110,6 +112,50 @@ def test_op1(spark, sf):
         assert (r.lang_pred != "und") == lettered and 0 <= r.score <= 1
 
 
+def test_op1_against_brute_force(spark, sf):
+    import struct
+
+    from morphloom.llm import langid
+
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    hashed = {i: signed(xxhash.xxh64_intdigest(struct.pack("<q", i), 42)) for i, _, _ in rows}
+    learnt = {}
+    for i, _, lang in rows:  # of each bucket and language the usable document of the smallest hash
+        if lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            at = (lang, hashed[i] % langid.PER_LANGUAGE)
+            learnt[at] = min(learnt.get(at, (1 << 63, 0)), (hashed[i], i))
+    chosen = {(lang, i) for (lang, _), (_, i) in learnt.items()}
+    space, drawn = langid.Space(), {}
+
+    def signs(letter):
+        if letter not in drawn:
+            drawn[letter] = 1 - 2 * space.vector(letter).astype(int)
+        return drawn[letter]
+
+    def bundle(text):
+        marks = [ord(c.lower()[0]) if c.isalpha() else 0 for c in text or ""]
+        marks = [m for m, before in zip([*marks, 0], [0, *marks]) if m or before]
+        if len(marks) < 2:
+            return None
+        out = np.zeros(space.dimensions)
+        for (a, b, c), n in Counter(zip([0, *marks], marks, marks[1:])).items():
+            out += n * signs(a)[space.rho][space.rho] * signs(b)[space.rho] * signs(c)
+        return out / np.linalg.norm(out)
+
+    vectors = [bundle(t) for _, t, _ in rows]
+    langs = sorted({lang for lang, _ in chosen})
+    prototypes = [sum(v for (i, _, x), v in zip(rows, vectors) if (lang, i) in chosen and x == lang and v is not None) for lang in langs]
+    prototypes = np.array([p / np.linalg.norm(p) for p in prototypes])
+    want = Counter()
+    for (i, _, _), v in zip(rows, vectors):
+        cosines = prototypes @ v if v is not None else None
+        want[i, "und" if v is None else langs[int(cosines.argmax())], 0.0 if v is None else round(float(np.clip(cosines.max(), 0, 1)), 4)] += 1
+    got = Counter((r.doc_id, r.lang_pred, round(r.score, 4)) for r in Q.op1_hyperdimensional_langid(spark, sf).collect())
+    odd = (got - want) + (want - got)
+    assert sum(odd.values()) <= 4, odd  # the last digit may round either way
+
+
 def test_op1_held_out_accuracy(spark):
     at = "/root/testdata/sf0.01"
     got = Q.op1_hyperdimensional_langid(spark, at).where("held_out")
