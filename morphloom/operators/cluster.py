@@ -206,7 +206,7 @@ def cluster_components(cells: DataFrame, edges: DataFrame, key: str, columns: Se
     comps = connected_components(edges.select("focal", "neighbor"), "focal", "neighbor").select(F.col("node").alias(key), "component")
     data = cells.select(F.col(key).cast("bigint").alias(key), *(F.col(c).cast("double").alias(c) for c in columns)).join(comps, key, "left").withColumn("component", F.coalesce("component", F.col(key)).cast("bigint"))
     inner = edges.where("focal < neighbor").join(comps.select(F.col(key).alias("focal"), "component"), "focal")
-    links = inner.groupBy("component").agg(F.collect_list(F.struct("focal", "neighbor")).alias("links"))
+    links = inner.select("component", F.col("focal").cast("bigint").alias("focal"), F.col("neighbor").cast("bigint").alias("neighbor"))
 
     def run(pdf: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
@@ -214,7 +214,7 @@ def cluster_components(cells: DataFrame, edges: DataFrame, key: str, columns: Se
         labels = np.full(n, -1)
         if n > min_size and len(graph):
             at = {v: i for i, v in enumerate(pdf[key].tolist())}
-            pairs = np.array([(at[e["focal"]], at[e["neighbor"]]) for e in graph["links"].iloc[0] if e["focal"] in at and e["neighbor"] in at]).reshape(-1, 2)
+            pairs = np.array([(at[a], at[b]) for a, b in zip(graph["focal"].tolist(), graph["neighbor"].tolist()) if a in at and b in at]).reshape(-1, 2)
             labels = leaf_clusters(monotone(ward_tree(pdf[list(columns)].to_numpy(float), pairs)), n, min_size, excess_of_mass)
         return pd.DataFrame({key: pdf[key].to_numpy(), "component": pdf["component"].to_numpy(), "cluster": labels})
 
@@ -361,8 +361,11 @@ def internal_scores(df: DataFrame, label: str, columns: Sequence[str]) -> dict[s
     rows = centre.join(spread, label).orderBy(label).toPandas()
     m, s, n = rows[[f"m_{c}" for c in columns]].to_numpy(float), rows["s"].to_numpy(float), rows["n"].to_numpy(float)
     k = len(rows)
-    gap = np.sqrt(((m[:, None] - m[None]) ** 2).sum(2))
-    np.fill_diagonal(gap, np.inf)
+    worst = np.empty(k)
+    for i in range(k):  # one class against all: no table of all pairs
+        gap = np.sqrt(((m - m[i]) ** 2).sum(1))
+        gap[i] = np.inf
+        worst[i] = ((s + s[i]) / gap).max()
     overall = (m * n[:, None]).sum(0) / n.sum()
     between, within = float((n * ((m - overall) ** 2).sum(1)).sum()), float(rows["w"].sum())
-    return {"davies_bouldin": float(((s[:, None] + s[None]) / gap).max(1).mean()), "calinski_harabasz": float(between / within * (n.sum() - k) / (k - 1))}
+    return {"davies_bouldin": float(worst.mean()), "calinski_harabasz": float(between / within * (n.sum() - k) / (k - 1))}
