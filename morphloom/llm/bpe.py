@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import os
 import re
 from array import array
 from itertools import islice
@@ -21,15 +22,18 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 
-CACHE_ENTRIES = 300_000
+#: Pieces remembered: some 200 MB a worker at most. A caller that has less passes fewer.
+CACHE_ENTRIES = 1_200_000
 LONGEST_CACHED = 48
 _BLANK = "\u0120"  # how a byte-level vocabulary spells a blank
 
 
 class ByteBpe:
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one text at a time: threads would only idle
         from tokenizers import Tokenizer
 
+        self._entries = entries
         self._tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._unsafe = ["  ", " \n", "\n ", "\n\n\n", *added]
@@ -84,8 +88,8 @@ class ByteBpe:
             if len(p) > LONGEST_CACHED:
                 cache.pop(p, None)
                 cache.pop(p[:-1], None)
-        if len(cache) > CACHE_ENTRIES:
-            for p in list(islice(reversed(cache), CACHE_ENTRIES // 2)):
+        if len(cache) > self._entries:
+            for p in list(islice(reversed(cache), self._entries // 2)):
                 del cache[p]
 
     def __call__(self, text: str) -> bytes:
@@ -110,7 +114,7 @@ class ByteBpe:
         return ids
 
 
-_LOADED: dict[str, ByteBpe] = {}
+_LOADED: dict[tuple[str, int], ByteBpe] = {}
 
 
 def _give_back() -> None:
@@ -122,12 +126,13 @@ def _give_back() -> None:
         trim(0)
 
 
-def load(path: str) -> ByteBpe:
-    """One encoder for each worker process and vocabulary."""
-    if path not in _LOADED:
+def load(path: str, entries: int = CACHE_ENTRIES) -> ByteBpe:
+    """One encoder for each worker process, vocabulary and size."""
+    if (path, entries) not in _LOADED:
+        _LOADED.clear()
         _give_back()
-        _LOADED[path] = ByteBpe(path)
-    return _LOADED[path]
+        _LOADED[path, entries] = ByteBpe(path, entries)
+    return _LOADED[path, entries]
 
 
 def unload() -> None:

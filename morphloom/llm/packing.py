@@ -35,12 +35,12 @@ def cut(n: int, most: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, most) for s in range(first, n, most))]
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, max_tokens: int = 2048, end_id: int = 0) -> DataFrame:
-    """One row for each piece of each document, whole texts encoded."""
+def token_pieces(docs: DataFrame, vocabulary: str, max_tokens: int = 2048, end_id: int = 0, cache_entries: int = bpe.CACHE_ENTRIES) -> DataFrame:
+    """One row for each piece of each document, whole texts encoded; ``cache_entries`` bounds what the encoder remembers."""
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = bpe.load(vocabulary)
+        encode = bpe.load(vocabulary, cache_entries)
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -136,7 +136,7 @@ def pack(
     return dealt.mapInArrow(run, PACKED)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, max_tokens: int = 2048, end_id: int = 0, **limits) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, max_tokens: int = 2048, end_id: int = 0, cache_entries: int = bpe.CACHE_ENTRIES, **limits) -> DataFrame:
     """Encode whole texts, cut the long ones and pack all pieces; texts are encoded once."""
-    pieces = materialize(token_pieces(docs, vocabulary, max_tokens, end_id), "pieces")
+    pieces = materialize(token_pieces(docs, vocabulary, max_tokens, end_id, cache_entries), "pieces")
     return pack(pieces, max_tokens, **limits)
