@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from morphloom.llm import bpe
-from morphloom.llm.keys import fresh_key
+from morphloom.llm.keys import fresh_key, join_counted
 from morphloom.llm.repeats import pick
 from morphloom.llm.simhash import SEED, BkTree, fingerprint
 from morphloom.operators.components import connected_components
@@ -121,11 +121,17 @@ def _units(nodes: DataFrame, threshold: float, page: int) -> DataFrame:
     size_class = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(1.0 / threshold))).cast("int")
     placed = nodes.select("same", size_class.alias("size"), F.posexplode("keys").alias("m", "key"))
     routed = placed.select("same", "size", "m", F.xxhash64("m", "key").alias("shard"), F.lit(True).alias("top"))
-    counted = lambda rows: rows.groupBy("shard").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(fresh_key("shard"), "c")
-    sized = materialize(routed.join(counted(routed), "shard"), "shards")
+    total = nodes.count() * KEYS
+
+    def sized_of(rows: DataFrame) -> DataFrame:
+        """Rows that share a shard, with its size ``c``; a shard that many rows share is told by a bounded broadcast."""
+        sizes = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(fresh_key("shard"), "c", F.col("c").alias("n"))
+        return join_counted(rows, materialize(sizes, "sizes"), "shard", total)
+
+    sized = materialize(sized_of(routed), "shards")
     large = sized.where(F.col("c") > page).select("same", "size", "m", "shard", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("class"))
     classed = large.select("same", "m", F.xxhash64("shard", "class").alias("shard"), (F.col("class") == F.col("size")).alias("top"))
-    every = sized.where(F.col("c") <= page).select("same", "m", "shard", "top", "c").unionByName(classed.join(counted(classed), "shard").select("same", "m", "shard", "top", "c"))
+    every = sized.where(F.col("c") <= page).select("same", "m", "shard", "top", "c").unionByName(sized_of(classed).select("same", "m", "shard", "top", "c"))
     every = every.withColumn("pages", F.ceil(F.col("c") / F.lit(page)).cast("int"))
     own = F.pmod(F.xxhash64("same"), F.col("pages").cast("bigint")).cast("int")
     visited = F.transform(F.sequence(F.lit(0), F.col("pages") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
