@@ -113,7 +113,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces packed into sequences of at most 2048; a null text has only its end id, repeated rows are packed each."""
     small_batches(spark)
-    return packing.pack_documents(docs, vocabulary())
+    # four stages have left the executors' heaps full: the encoder remembers less
+    return packing.pack_documents(docs, vocabulary(), cache_entries=300_000)
 
 
 STAGES = [
