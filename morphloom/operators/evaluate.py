@@ -360,3 +360,53 @@ def bandwidth(x: np.ndarray, points: int = 2**12) -> float:
         c = (a + b) / 2
         a, b = (c, b) if rule(c) < 0 else (a, c)
     return math.sqrt(b) * (high - low)
+
+
+def compare_scalers(df: DataFrame, label: str, columns: Sequence[str], subsets: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """(scaler, columns, davies_bouldin): how well classes part under each scaling of each subset of characters."""
+    rows = []
+    for name, own in (subsets or {"all": columns}).items():
+        known_rows = df.select(label, *own).dropna()
+        scaled = {"standard": A.zscore(known_rows, list(own)), "robust": A.robust_scale(known_rows, own), "power": A.power_scale(known_rows, own)}
+        rows += [(s, name, C.internal_scores(t, label, list(own))["davies_bouldin"]) for s, t in scaled.items()]
+    return df.sparkSession.createDataFrame(rows, "scaler string, columns string, davies_bouldin double")
+
+
+def inertia_by_size(sizes: Iterable[int], run: Callable[[int], DataFrame], values: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """(size, clusters, noise, inertia): for each minimum size, the squared spread inside the groups and the share left as noise."""
+    rows = []
+    for size in sizes:
+        got = materialize(run(size).select(key, "cluster"), "grouping")
+        inside = A.inertia(got.where("cluster >= 0").join(values, key), "cluster", columns).agg(F.sum("inertia"), F.count(F.lit(1))).first()
+        noise = got.agg(F.avg((F.col("cluster") < 0).cast("double"))).first()[0]
+        rows.append((size, inside[1], noise, inside[0]))
+    return values.sparkSession.createDataFrame(rows, "size bigint, clusters bigint, noise double, inertia double")
+
+
+def profile_tree(profiles: DataFrame, label: str, columns: Sequence[str]) -> tuple[list[str], np.ndarray]:
+    """Names and single linkage of class profiles: one row a class."""
+    rows = profiles.orderBy(label).toPandas()
+    return [str(v) for v in rows[label]], C.single_tree(rows[list(columns)].to_numpy(float))
+
+
+def regional_tree(cells: DataFrame, key: str, region: str, columns: Sequence[str], cut: float, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(key, group) of each region's own Ward cut, and the merges of a second tree over the groups' medians.
+
+    Neighbours of the first tree are those of one region among each row's k nearest; groups are numbered
+    over all regions.
+    """
+    from morphloom.operators import ward
+
+    own = cells.select(F.col(key).cast("bigint").alias("id"), region, *columns)
+    scaled = materialize(A.zscore(own, list(columns), [region]).withColumn("v", F.array(*columns)), "regional")
+    # regions are kept apart by a coordinate that no feature distance reaches across
+    code = R.factorize(scaled.select("id", region, "v"), region, "_r").withColumn("v", F.concat("v", F.array(F.col("_r") * F.lit(1e6))))
+    near = spatial.knn(code, code, "id", "v", k).select(F.col("query_id").alias("a"), F.col("id").alias("b"), "distance").where("distance < 5e5")
+    merges = ward.ward_merges(scaled.select("id", F.lit(1).alias("size"), "v"), near)
+    side = lambda end: scaled.select(F.col("id").alias(end), F.col(region).alias(f"_{end}"))
+    inside = merges.join(side("left"), "left").join(side("right"), "right").where("_left = _right").drop("_left", "_right")
+    groups = materialize(ward.cut_levels(scaled, inside, [cut]).withColumnRenamed("level_1", "group"), "groups")
+    medians = groups.join(own, "id").groupBy("group").agg(*(F.median(c).alias(c) for c in columns))
+    top = materialize(A.zscore(medians, list(columns)).select(F.col("group").alias("id"), F.lit(1).alias("size"), F.array(*columns).alias("v")), "medians")
+    pairs = spatial.knn(top, top, "id", "v", k).select(F.col("query_id").alias("a"), F.col("id").alias("b"))
+    return groups.select(F.col("id").alias(key), "group"), ward.ward_merges(top, pairs)

@@ -156,11 +156,11 @@ def l_shapes_and_courtyards(spark, d):
 @query(None)
 def hdbscan_leaves(spark, d):
     """Contiguity-constrained Ward in each component of the 5-nearest-neighbour graph."""
-    e = T(spark, d, "embeddings").select(F.col("vec_id").alias("id"), *(F.col("embedding")[i].cast("double").alias(f"c{i}") for i in range(6)))
+    e = T(spark, d, "embeddings").select(F.col("vec_id").alias("id"), *(F.col("embedding")[i].cast("double").alias(f"c{i}") for i in range(64)))
     near = P.knn(T(spark, d, "embeddings"), T(spark, d, "embeddings"), "vec_id", "embedding", 5)
     edges = near.select(F.least("query_id", "id").alias("focal"), F.greatest("query_id", "id").alias("neighbor")).distinct()
     both = edges.unionByName(edges.select(F.col("neighbor").alias("focal"), F.col("focal").alias("neighbor")))
-    return C.cluster_components(e, both, "id", [f"c{i}" for i in range(6)], 10)
+    return C.cluster_components(e, both, "id", [f"c{i}" for i in range(64)], 10)
 
 
 @query("""WITH t AS (SELECT label AS a, CAST(floor(embedding[1] * 4) AS BIGINT) AS b, count(*) AS n FROM embeddings GROUP BY 1, 2), s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM t) AS i, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM t GROUP BY a) x) AS a, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM t GROUP BY b) x) AS b, (SELECT sum(n) FROM t) AS n)

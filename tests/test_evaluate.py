@@ -186,3 +186,16 @@ def test_small_artefacts(spark, tmp_path):
     stream = landing.read_landing(spark, f"file://{tmp_path}/cells_*", "region_id long, name string, x__median double")
     timed = stream.withColumn("at", F.timestamp_seconds("region_id"))
     assert {"window", "name", "n"} == set(landing.windowed_counts(timed, "at", "name").columns)
+
+
+def test_scalers_sizes_and_regional_trees(spark, blobs):
+    scores = E.compare_scalers(blobs, "truth", ["a", "b", "c"], {"all": ["a", "b", "c"], "two": ["a", "b"]}).collect()
+    assert len(scores) == 6 and all(0 < r.davies_bouldin < 1 for r in scores)
+    rows = E.inertia_by_size([2, 3], lambda k: grouping(blobs, k), blobs, "id", ["a", "b", "c"]).collect()
+    assert rows[0].inertia > rows[1].inertia and rows[1].clusters == 3 and rows[0].noise == 0.0
+    names, z = E.profile_tree(blobs.groupBy("truth").agg(F.avg("a").alias("a"), F.avg("b").alias("b")), "truth", ["a", "b"])
+    assert names == ["0", "1", "2"] and len(z) == 2
+    cells = blobs.withColumn("region", F.when(F.col("id") < 45, "west").otherwise("east"))
+    groups, merges = E.regional_tree(cells, "id", "region", ["a", "b", "c"], 3.0)
+    told = groups.join(cells, "id").groupBy("group").agg(F.countDistinct("region").alias("r"), F.countDistinct("truth").alias("t"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(told) == 6 and all((r.r, r.t, r.n) == (1, 1, 15) for r in told) and merges.count() == 5
