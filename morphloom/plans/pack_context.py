@@ -171,7 +171,7 @@ def service_hit_count(spark, d):
     return T(spark, d, "pages").select("page_id", S.hit_count(document).alias("hits"))
 
 
-@query(f"""WITH {POINTS}, g AS (SELECT a.id, b.id AS r_id, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d FROM p a JOIN p b ON a.id <> b.id WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 0.08 * 0.08),
+@query(f"""WITH {POINTS}, g AS (SELECT a.id, b.id AS r_id, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d FROM p a JOIN p b ON a.id <> b.id),
     ed AS (SELECT id, r_id, sqrt(d) AS w FROM g WHERE id < r_id AND NOT EXISTS (SELECT 1 FROM g k JOIN g l ON k.r_id = l.r_id WHERE k.id = g.id AND l.id = g.r_id AND k.d + l.d < g.d)) SELECT id, round(least(0.03, 0.6 * max(w)), 8) AS radius FROM (SELECT id, w FROM ed UNION ALL SELECT r_id, w FROM ed) t GROUP BY 1""")
 def adaptive_radius(spark, d):
     edges = P.proximity_graph(points(spark, d), "id", "gabriel", 0.08)
