@@ -117,7 +117,7 @@ class ByteBpe:
 _LOADED: dict[tuple[str, int], ByteBpe] = {}
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return what earlier tasks of this worker process freed to the system: workers live on between operators."""
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -130,7 +130,7 @@ def load(path: str, entries: int = CACHE_ENTRIES) -> ByteBpe:
     """One encoder for each worker process, vocabulary and size."""
     if (path, entries) not in _LOADED:
         _LOADED.clear()
-        _give_back()
+        give_back()
         _LOADED[path, entries] = ByteBpe(path, entries)
     return _LOADED[path, entries]
 
@@ -139,4 +139,4 @@ def unload() -> None:
     """Drop the encoders of this worker process: it serves other operators now."""
     if _LOADED:
         _LOADED.clear()
-    _give_back()
+    give_back()

@@ -111,6 +111,7 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Rec
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+    bpe.give_back()
 
 
 def _first_blocks(texts: DataFrame, length: int, block: int) -> DataFrame:
@@ -247,6 +248,7 @@ def _sorted_spans(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
                 held.append(row)
         if held:
             yield from shard(held)
+        bpe.give_back()
 
     cut = _asked(texts, asked).mapInArrow(lambda batches: _emit(pieces(batches), names, kinds, 10_000), "common bigint, k bigint, k2 bigint, at int, shape int, data binary")
     met = cut.repartition("common").sortWithinPartitions("common")

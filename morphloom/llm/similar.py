@@ -25,8 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from morphloom.llm import bpe
-from morphloom.llm.keys import fresh_key, join_counted
-from morphloom.llm.repeats import pick
+from morphloom.llm.keys import fresh_key, join_counted, split_by
 from morphloom.llm.simhash import SEED, BkTree, fingerprint
 from morphloom.operators.components import connected_components
 from morphloom.storage import Held, materialize
@@ -82,6 +81,7 @@ def _sketches(docs: DataFrame, marked: bool = False) -> DataFrame:
                     col.append(v)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "same", "n", "fp", "keys", "sketch", "mark"])
+        bpe.give_back()
 
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), "text")
     return texts.mapInArrow(run, "doc_id bigint, same bigint, n int, fp bigint, keys array<int>, sketch binary, mark bigint")
@@ -202,8 +202,10 @@ def _verified(likely: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: f
             made = [shingles(t.as_py()) for t in b.column(1)]
             same = pa.array([set_name(h) for h in made], pa.int64())
             yield pa.RecordBatch.from_arrays([same, pa.array([np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes() for h in made], pa.binary())], names=["same", "hashes"])
+        bpe.give_back()
 
-    known = pick(texts, ends).mapInArrow(whole, "same bigint, hashes binary").join(wanted, "same", "left_semi").dropDuplicates(["same"])
+    # rows are told without Python, so that a task has one Python process
+    known = split_by(texts, ends, "k")[0].mapInArrow(whole, "same bigint, hashes binary").join(wanted, "same", "left_semi").dropDuplicates(["same"])
     both = likely.select("unit", "pos", fresh_key("same"), "group", "later").join(hold(known), "same")
 
     def judge(key: tuple, t: pa.Table) -> pa.Table:
