@@ -114,7 +114,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Token pieces packed into sequences of at most 2048; a null text has only its end id, repeated rows are packed each."""
     small_batches(spark)
     # four stages have left the executors' heaps full: the encoder remembers less
-    return packing.pack_documents(docs, vocabulary(), cache_entries=300_000)
+    return packing.pack_documents(docs, vocabulary(), cache_entries=120_000)
 
 
 STAGES = [
