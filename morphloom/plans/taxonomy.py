@@ -84,9 +84,10 @@ def assign_noise(noise: DataFrame, classes: DataFrame, key: str, label: str, col
     numbered = R.dense_ids(classes.withColumn(label, F.col(label).cast("string")), [label], "_i")
     named = numbered.select((-1 - F.col("_i")).alias("i"), F.col(label).alias("label"), *columns)
     both = noise.select(F.col(key).cast("bigint").alias("i"), F.lit(None).cast("string").alias("label"), *columns).unionByName(named)
-    scaled = A.zscore(both, list(columns)).withColumn("v", F.array(*columns))
-    near = P.knn(scaled.where("label IS NULL"), scaled.where("label IS NOT NULL"), "i", "v", k)
-    return C.knn_vote(near, scaled.where("label IS NOT NULL"), "i", "label").select(F.col("query_id").alias(key), "label")
+    over = both.agg(*(F.avg(c).alias(f"m_{c}") for c in columns), *(F.stddev_pop(c).alias(f"s_{c}") for c in columns)).first()
+    rows = both.withColumn("v", F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(over[f"m_{c}"]).cast("double"), F.lit(0.0)) for c in columns)))
+    near = P.knn(rows.where("label IS NULL"), rows.where("label IS NOT NULL"), "i", "v", k, scale=[over[f"s_{c}"] or 1.0 for c in columns])
+    return C.knn_vote(near, rows.where("label IS NOT NULL"), "i", "label").select(F.col("query_id").alias(key), "label")
 
 
 def unique_noise_labels(cells: DataFrame, edges: DataFrame, key: str, region: str) -> DataFrame:
