@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from morphloom.functions import geometry as G
@@ -73,30 +74,102 @@ def diagnostics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "char string, range_in_std double, flat_start boolean")
 
 
+#: Ranges that pair distances are counted in; distances that are told one by one; rows of a block that meet another block at a time.
+RANGES, FEW, STRIPE = 4096, 20_000, 64
+
+
 def median_pair_distance(df: DataFrame, group: str, key: str, vector: str, block: int = 2048) -> DataFrame:
     """(group, median): the median distance of all pairs in a group (the smaller id first).
 
-    Rows of a group are dealt to blocks, and each pair of blocks is a task's matrix: the pairs are
-    the feature, only the blocks of one pair are together.
+    Rows of a group are dealt to blocks, and each pair of blocks is a task's matrix, taken in stripes.
+    Squared distances, from products, are counted in ranges; the range that holds the median is cut
+    again until few are left, which are then measured by differences. Products are off by ``slack`` at
+    most, and so is what stands at a rank: ranges are widened by it. No pair leaves its task but the last few.
     """
-    own = df.select(group, F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    sizes = own.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_b"))
+    own = df.select(group, F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull() & F.col("id").isNotNull())
+    norm = F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x)
+    sizes = own.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_b"), F.max(norm).alias("_norm"))
     dealt = own.join(sizes, group).withColumn("_i", F.pmod(F.xxhash64("id"), F.col("_b").cast("bigint")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("_b") - 1), lambda j: F.struct(F.least("_i", j).alias("i"), F.greatest("_i", j).alias("j")))
-    met = dealt.select(group, "id", "v", "_i", F.explode(pairs).alias("p")).select(group, "id", "v", "_i", "p.i", "p.j")
+    met = materialize(dealt.select(group, "id", "v", "_i", F.explode(pairs).alias("p")).select(group, "id", "v", "_i", "p.i", "p.j"), "blocks")
     kind = df.schema[group].dataType.simpleString()
-
-    def run(keys: tuple, t: pa.Table) -> pa.Table:
-        ids, at = t.column("id").to_numpy(), t.column("_i").to_numpy()
-        x = np.array(t.column("v").to_pylist(), float)
-        i, j = keys[1].as_py(), keys[2].as_py()
-        a, b = (at == i), (at == j)
-        gap = np.sqrt(((x[a][:, None] - x[b][None]) ** 2).sum(2))
-        d = gap[ids[a][:, None] < ids[b][None]] if i == j else gap.ravel()
-        return pa.table([pa.array([keys[0].as_py()] * len(d), keys[0].type), pa.array(d)], names=[group, "d"])
-
-    found = met.groupBy(group, "i", "j").applyInArrow(run, f"{group} {kind}, d double")
-    return found.groupBy(group).agg(F.median("d").alias("median"))
+    norms = {r[0]: r["_norm"] for r in sizes.collect()}
+
+    def counted(asked: dict) -> list:
+        """(group, part, k, d, n) of each group's asked ranges: squared distances below (k is -1), in the k-th part, or one by one."""
+
+        def run(keys: tuple, t: pa.Table) -> pa.Table:
+            name = keys[0].as_py()
+            ids, at = t.column("id").to_numpy(), t.column("_i").to_numpy()
+            x = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            i, j = keys[1].as_py(), keys[2].as_py()
+            a, b, ida, idb = x[at == i], x[at == j], ids[at == i], ids[at == j]
+            slack, squares = 1e-11 * norms[name] + 1e-290, (b**2).sum(1)
+            out: list[tuple[int, int, float, int]] = []
+            asks = asked.get(name, [])
+            below, n, told = [0] * len(asks), np.zeros((len(asks), RANGES), np.int64), [[np.empty(0)] for _ in asks]
+            for s in range(0, len(a) if asks else 0, STRIPE):
+                p = a[s : s + STRIPE]
+                rough = (p**2).sum(1)[:, None] + squares - 2 * p @ b.T
+                if i == j:
+                    rough[ida[s : s + STRIPE, None] >= idb[None]] = np.nan  # each pair once
+                for part, (lo, hi, single) in enumerate(asks):
+                    rim = slack if single else 0.0
+                    below[part] += int((rough < lo - rim).sum())
+                    near = (rough >= lo - rim) & (rough <= hi + rim)
+                    if single:
+                        r, c = np.nonzero(near)
+                        d = np.concatenate([np.empty(0), *(((p[r[u : u + 16384]] - b[c[u : u + 16384]]) ** 2).sum(1) for u in range(0, len(r), 16384))])
+                        below[part] += int((d < lo).sum())
+                        told[part].append(d[(d >= lo) & (d <= hi)])
+                    else:
+                        at_ = ((rough[near] - lo) * (RANGES / (hi - lo))).astype(np.int64)
+                        n[part] += np.bincount(np.clip(at_, 0, RANGES - 1), minlength=RANGES)
+            for part, (_, _, single) in enumerate(asks):
+                out.append((part, -1, 0.0, below[part]))
+                out += [(part, 0, v, m) for v, m in zip(*(z.tolist() for z in np.unique(np.concatenate(told[part]), return_counts=True)))] if single else [(part, k, 0.0, int(n[part, k])) for k in np.flatnonzero(n[part]).tolist()]
+            part, k, d, m = zip(*out) if out else ((), (), (), ())
+            return pa.table([pa.array([name] * len(out), keys[0].type), pa.array(part, pa.int32()), pa.array(k, pa.int64()), pa.array(d, pa.float64()), pa.array(m, pa.int64())], names=[group, "part", "k", "d", "n"])
+
+        found = met.groupBy(group, "i", "j").applyInArrow(run, f"{group} {kind}, part int, k bigint, d double, n bigint")
+        return found.groupBy(group, "part", "k", "d").agg(F.sum("n").alias("n")).collect()
+
+    # from products, a squared distance of copies may fall below zero
+    asked = {g: [(-1e-9 * v, 4.0 * v * (1 + 1e-9) + 1e-300, False)] for g, v in norms.items() if v is not None}
+    ranks: dict = {}  # of the two in the middle, from 0, the part asked for each, or its value
+    while asked:
+        by: dict = {}
+        for r in counted(asked):
+            by.setdefault((r[0], r["part"]), []).append((r["k"], r["d"], r["n"]))
+        following: dict = {}
+        for g, asks in asked.items():
+            if g not in ranks:
+                total = sum(n for k, _, n in by.get((g, 0), []))
+                ranks[g] = [[w, 0, None] for w in ((total - 1) // 2, total // 2)] if total else []
+            todo: list = []
+            for rank in ranks[g]:
+                if rank[2] is not None:
+                    continue
+                lo, hi, single = asks[rank[1]]
+                seen = 0
+                for k, d, n in sorted(by[g, rank[1]]):
+                    if seen <= rank[0] < seen + n:
+                        break
+                    seen += n
+                if single:
+                    rank[2] = math.sqrt(d)
+                    continue
+                step, slack = (hi - lo) / RANGES, 1e-11 * norms[g] + 1e-290
+                k = max(k, 0)
+                ask = (lo + k * step - 2 * slack - 1e-3 * step, lo + (k + 1) * step + 2 * slack + 1e-3 * step, n <= FEW or step <= 8 * slack)
+                if ask not in todo:
+                    todo.append(ask)
+                rank[1] = todo.index(ask)
+            if todo:
+                following[g] = todo
+        asked = following
+    rows = [(g, v[0][2] + (v[1][2] - v[0][2]) * 0.5) for g, v in ranks.items() if v]
+    return df.sparkSession.createDataFrame(rows, T.StructType([df.schema[group], T.StructField("median", T.DoubleType())]))
 
 
 def class_distances(profiles: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:
