@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from morphloom.functions import geometry as G
+from morphloom.functions.scalar import rounded
 from morphloom.operators import aggregates as A
 from morphloom.operators import evaluate as E
 from morphloom.operators import graph, learn
@@ -184,7 +185,7 @@ def extract_inside_boundary(spark, d):
 def overlay_areas(spark, d):
     """Areas shared by pairs of polygons, by the general overlay."""
     own = boxes(spark, d).select("id", F.array("ring").alias("rings"))
-    return P.overlapping(own, "id", 0.5).where("overlap > 0.0001").select("a", "b", F.round("overlap", 5).alias("overlap"))
+    return P.overlapping(own, "id", 0.5).where("overlap > 0.0001").select("a", "b", rounded(F.col("overlap"), 5).alias("overlap"))
 
 
 @query(f"""WITH {TOWN}, m AS (SELECT n, b, avg(a) OVER (PARTITION BY b) AS ma, stddev_samp(a) OVER (PARTITION BY b) AS sa FROM g)
