@@ -70,9 +70,7 @@ def smallest_area_match(spark, d):
     FROM b a JOIN b ON a.id <> b.id AND least(a.minx + a.w, b.minx + b.w) > greatest(a.minx, b.minx) AND least(a.miny + a.h, b.miny + b.h) > greatest(a.miny, b.miny))
     SELECT id, r_id, round(overlap, 9) AS overlap FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(overlap, 9) DESC, r_id) AS r FROM j WHERE round(overlap, 9) > 0) t WHERE r = 1""")
 def overlap_largest(spark, d):
-    b = boxes(spark, d)
-    pairs = P.polygon_overlaps(b, b, 0.5).where("id <> r_id").withColumn("overlap", F.round("overlap", 9)).where("overlap > 0")
-    return P.largest_overlap(pairs, "id", "r_id").select("id", "r_id", F.round("overlap", 9).alias("overlap"))
+    return P.largest_overlaps(boxes(spark, d), "id", 0.5, 9)
 
 
 @query(f"WITH {POINTS}, r AS (SELECT DISTINCT CAST(floor(x / 0.25) AS BIGINT) AS cx, CAST(floor(y / 0.25) AS BIGINT) AS cy FROM p) SELECT label AS zone, sum(cx * 10 + cy) AS sum, round(avg(cx * 10 + cy), 6) AS mean, count(*) AS n FROM p JOIN r ON CAST(floor(x / 0.25) AS BIGINT) = cx AND CAST(floor(y / 0.25) AS BIGINT) = cy GROUP BY 1")
