@@ -43,7 +43,8 @@ def group_stats(cells: DataFrame, labels: DataFrame, key: str, columns: Sequence
 
 def group_chars(buildings: DataFrame, labels: DataFrame, key: str = "id") -> DataFrame:
     """Thin-building shares, plot structure, and the size of the ten largest of each group."""
-    b = buildings.join(labels, key)
+    # six steps read these: characters are made once
+    b = materialize(buildings.join(labels.hint("merge"), key).select("label", "mibFR", "ssbElo", "libNCo", "sdbAre", "sdbPer", "sdbLAL"), "grouped")
     thin = (F.col("mibFR") < 8) & (F.col("ssbElo") < 0.9)
     shares = A.share_above_median(b, "label", "sdbAre", thin, "thin")
     court = b.groupBy("label").agg(F.median("libNCo").alias("_c"))
